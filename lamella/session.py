@@ -35,6 +35,7 @@ def local_session(cores: int = 8, app: str = "lamella") -> SparkSession:
         builder = builder.config(key, value)
     spark = (
         builder.config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.streaming.checkpoint.fileManagerClass", CHECKPOINT_MANAGER)
         .getOrCreate()

@@ -58,6 +58,12 @@ class CommitLog:
         if self.exists(path) or not self._fs.rename(self._paths(hidden), self._paths(path)):
             raise FileExistsError(f"{path} was written by someone else")
 
+    def replace_file(self, new: str, old: str) -> None:
+        """Put the file ``new`` in the place of the file ``old``."""
+        self._fs.delete(self._paths(old), False)
+        if not self._fs.rename(self._paths(new), self._paths(old)):
+            raise OSError(f"could not move {new} to {old}")
+
     def numbers(self) -> list[int]:
         names = self.children(self._folder)
         return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())

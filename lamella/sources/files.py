@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 FORMATS = ("json", "parquet", "csv", "avro", "orc")
-MICROSECONDS = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"
 CORRUPT = "_corrupt_record"
 
 
@@ -44,9 +43,7 @@ class FileSource:
     def reader_options(self) -> dict[str, str]:
         chosen: dict[str, str] = {}
         if self.format == "csv":
-            chosen = {"header": str(self.header).lower(), "escape": '"', "timestampNTZFormat": MICROSECONDS}
-        elif self.format == "json":
-            chosen = {"timestampNTZFormat": MICROSECONDS}
+            chosen = {"header": str(self.header).lower(), "escape": '"'}
         if self.format in ("csv", "json"):
             chosen["multiLine"] = str(self.multi_line).lower()
             if self.keep_corrupt:
