@@ -18,7 +18,7 @@ import uuid
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -78,7 +78,7 @@ class SilverTable:
         last = self._log.latest()
         if last:
             return last
-        empty = {"buckets": self._buckets, "schema": None, "applied": {}, "log": []}
+        empty = {"buckets": self._buckets, "schema": None, "applied": {}, "log": {}}
         return -1, {**empty, "closed": {}, "open": {}, "quarantine": []}
 
     @staticmethod
@@ -175,7 +175,10 @@ class SilverTable:
             }
         )
         incoming = f"{self._path}/log/{GEN}={gen}"
+        counted = Observation()
+        marked = marked.observe(counted, F.count_if("usable").alias("rows"))
         marked.hint("rebalance", "usable", BUCKET).write.partitionBy("usable", BUCKET).parquet(incoming)
+        rows = int(counted.get["rows"])
         if self._log.exists(f"{incoming}/usable=false"):
             state["quarantine"].append(gen)
         state["applied"][stream] = batch
@@ -186,8 +189,8 @@ class SilverTable:
                 runs = self._apply_latest(spark, state, batch_events, touched)
                 rewritten = {}
             else:
-                state["log"].append(gen)
-                runs, rewritten = self._apply_history(spark, state, batch_events, touched)
+                state["log"][gen] = rows
+                runs, rewritten = self._apply_history(spark, state, batch_events, touched, rows)
             self._write_runs(runs, gen, state, touched, rewritten)
         self._log.commit(number + 1, state)
         return True
@@ -220,7 +223,7 @@ class SilverTable:
         return latest.withColumns({VALID_FROM: F.col(self._sequence), VALID_TO: F.lit(None).cast(seq)})
 
     def _apply_history(
-        self, spark: SparkSession, state: dict, batch: DataFrame, touched: list[int]
+        self, spark: SparkSession, state: dict, batch: DataFrame, touched: list[int], rows: int
     ) -> tuple[DataFrame, dict[str, list[int]]]:
         """New runs of the touched buckets, and the closed folders they replace.
 
@@ -237,11 +240,11 @@ class SilverTable:
         late_buckets = sorted(r[0] for r in late.select(BUCKET).distinct().collect())
         as_runs = batch.drop(BUCKET).withColumn(VALID_FROM, F.col(seq))
         if not late_buckets:
-            return collapse_runs(opened.unionByName(as_runs), spec, self._skew), {}
+            return collapse_runs(opened.unionByName(as_runs), spec, self._check_for(rows)), {}
 
         late_keys = late.select(*keys)
         in_order = opened.unionByName(as_runs).join(late_keys, keys, "left_anti")
-        runs = collapse_runs(in_order, spec, self._skew)
+        runs = collapse_runs(in_order, spec, self._check_for(rows))
 
         closed = self._closed(spark, state, late_buckets)
         bound = late.select(*keys, "_earliest", "_opened")
@@ -255,11 +258,12 @@ class SilverTable:
             *keys, F.least("_earliest", "_opened", "_first").alias("_start")
         )
 
-        events = self._logged(spark, state, state["log"])
+        logged = sum(state["log"].values())
+        events = self._logged(spark, state, list(state["log"]))
         events = events.where(F.col(BUCKET).isin(late_buckets)).drop(GEN, BUCKET)
         suffix = events.join(start, keys).where(F.col(seq) >= F.col("_start")).drop("_start")
         runs = runs.unionByName(
-            collapse_runs(suffix.withColumn(VALID_FROM, F.col(seq)), spec, self._skew).select(*runs.columns)
+            collapse_runs(suffix.withColumn(VALID_FROM, F.col(seq)), spec, self._check_for(logged)).select(*runs.columns)
         )
         if replaced:
             places = [(F.col(GEN) == g) & F.col(BUCKET).isin(bs) for g, bs in replaced.items()]
@@ -268,6 +272,10 @@ class SilverTable:
             runs = runs.unionByName(kept.select(*runs.columns))
         return runs, replaced
 
+    def _check_for(self, events: int) -> SkewPolicy | None:
+        """No key can be too large when all events together are not; there is one open run per key."""
+        return self._skew if self._skew and events > self._skew.min_rows else None
+
     def start(self, events: DataFrame, checkpoint: str, *, interval: str | None = None) -> StreamingQuery:
         """Apply a stream. Without ``interval`` it takes what is there, then stops.
 
