@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lamella.operators.history import INGESTED
-from lamella.plans.gold import enrich
+from lamella.plans.control import read_operations, run_group
+from lamella.plans.gold import enrich, inventory_value
 from lamella.plans.registry import query, table
 from lamella.plans.steps import Step, run_steps
 from lamella.session import work_dir
-from lamella.sources.export import write_files
+from lamella.sources.export import write_control_table, write_files
 from lamella.sources.files import FileSource
 from lamella.sources.tables import read_table, replace_table, stream_table
 from lamella.streaming.bronze import ingest
@@ -137,3 +138,36 @@ def medallion_end_to_end(spark, sf_dir):
     )
     replace_table(summary, f"{root}/gold")
     return read_table(spark, f"{root}/gold")
+
+
+@query(
+    "control_table_run",
+    """
+    SELECT p_type, count(*) AS products, CAST(sum(p_size) AS BIGINT) AS stock_quantity,
+           CAST(sum(CAST(p_retailprice AS DECIMAL(18,2)) * p_size) AS DECIMAL(38,2)) AS inventory_value
+    FROM part WHERE p_size > 10 GROUP BY p_type
+    """,
+)
+def control_table_run(spark, sf_dir):
+    """Parts as CSV files through bronze, silver, gold and one manual step, all named in a TSV table."""
+    root = work_dir(spark, "control")
+    write_files(table(spark, sf_dir, "part"), f"{root}/files", "csv")
+    silver = '{"keys": ["p_partkey"], "track_history_except_column_list": ["p_name"], "stored_as_scd_type": "2"}'
+    rows = [
+        ("bronze", "parts", "file", "csv", f"{root}/files", "main.bronze.parts", '{"header": "true"}'),
+        ("silver", "parts", "table", None, "main.bronze.parts", "main.silver.parts", silver),
+        ("gold", "parts", "notebook", None, "large_parts", "main.gold.large_parts", "{}"),
+        ("manual", "parts", "notebook", None, "inventory", "main.gold.inventory", '{"order": 1}'),
+    ]
+    columns = "operation_type, pipeline_group, source_type, file_format, source_path, target_table, pipeline_config"
+    write_control_table(spark.createDataFrame(rows, columns.split(", ")).coalesce(1), f"{root}/control")
+
+    def large_parts(spark, tables, params):
+        return tables["silver.parts"].where(F.col("_is_current") & (F.col("p_size") > 10))
+
+    def inventory(spark, tables, params):
+        return inventory_value(tables["gold.large_parts"], ["p_type"], "p_retailprice", "p_size")
+
+    operations = read_operations(spark, f"{root}/control")
+    bodies = {"large_parts": large_parts, "inventory": inventory}
+    return run_group(spark, operations, "parts", f"{root}/tables", bodies, buckets=8)["gold.inventory"]

@@ -41,12 +41,17 @@ class Step:
 
 
 def run_steps(
-    spark: SparkSession, group: str, steps: Sequence[Step], inputs: Mapping[str, DataFrame], root: str
+    spark: SparkSession,
+    group: str,
+    steps: Sequence[Step],
+    inputs: Mapping[str, DataFrame],
+    root: str,
+    paths: Mapping[str, str] | None = None,
 ) -> dict[str, DataFrame]:
     """Run steps by ascending order, equal orders as given, each after the one before.
 
-    A step's output is written below ``root`` before the next step reads it. A failing step
-    ends the chain; what earlier steps wrote stays. Steps without a body are skipped.
+    A step's output is written below ``root``, or to its entry in ``paths``, before the next
+    step reads it. A failing step ends the chain; what earlier steps wrote stays. Steps without a body are skipped.
     """
     if len({s.name for s in steps}) != len(steps):
         raise ValueError("two steps write the same table")
@@ -57,7 +62,7 @@ def run_steps(
             log.warning("step %s has no body and is skipped", step.name)
             continue
         params = StepParams(group, "manual", index, len(ordered))
-        path = f"{root.rstrip('/')}/{step.name}"
+        path = (paths or {}).get(step.name) or f"{root.rstrip('/')}/{step.name}"
         replace_table(step.body(spark, tables, params), path)
         tables[step.name] = ran[step.name] = read_table(spark, path)
     if not ran:

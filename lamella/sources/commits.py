@@ -64,6 +64,9 @@ class CommitLog:
         if not self._fs.rename(self._paths(new), self._paths(old)):
             raise OSError(f"could not move {new} to {old}")
 
+    def delete_folder(self, path: str) -> None:
+        self._fs.delete(self._paths(path), True)
+
     def numbers(self) -> list[int]:
         names = self.children(self._folder)
         return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())

@@ -272,6 +272,45 @@ class SilverTable:
             runs = runs.unionByName(kept.select(*runs.columns))
         return runs, replaced
 
+    def compact(self, spark: SparkSession, keep: int = 8) -> None:
+        """Fold all but the newest ``keep`` generations of closed runs and of the log into one each.
+
+        The newest stay apart because late events mostly fall there, and what they touch
+        is rewritten by generation and bucket.
+        """
+        number, state = self._state()
+        gen = f"g{number + 1:08d}-{uuid.uuid4().hex[:8]}"
+        old = {part: dict(list(state[part].items())[:-keep] if keep else state[part]) for part in ("closed", "log")}
+        if len(old["closed"]) < 2 and len(old["log"]) < 2:
+            return
+        if old["closed"]:
+            runs = self._closed(spark, {**state, "closed": old["closed"]}).drop(GEN).withColumn(STATE, F.lit("closed"))
+            runs.hint("rebalance", BUCKET).write.partitionBy(STATE, BUCKET).parquet(f"{self._path}/runs/{GEN}={gen}")
+            rest = {g: gone for g, gone in state["closed"].items() if g not in old["closed"]}
+            folded = {gen: []} if self._log.exists(f"{self._path}/runs/{GEN}={gen}/{STATE}=closed") else {}
+            state["closed"] = {**folded, **rest}
+        if old["log"]:
+            events = self._logged(spark, state, list(old["log"])).drop(GEN).withColumn("usable", F.lit(True))
+            events.hint("rebalance", BUCKET).write.partitionBy("usable", BUCKET).parquet(f"{self._path}/log/{GEN}={gen}")
+            rest = {g: rows for g, rows in state["log"].items() if g not in old["log"]}
+            state["log"] = {gen: sum(old["log"].values()), **rest}
+        self._log.commit(number + 1, state)
+
+    def vacuum(self, keep_commits: int = 2) -> int:
+        """Delete generations that none of the last commits names; run it between batches."""
+        used = {"runs": set(), "log": set()}
+        for number in self._log.numbers()[-keep_commits:]:
+            state = self._log.get(number)
+            used["runs"] |= {*state["closed"], *state["open"].values()}
+            used["log"] |= {*state["log"], *state["quarantine"]}
+        removed = 0
+        for part, live in used.items():
+            for name in self._log.children(f"{self._path}/{part}"):
+                if name.startswith(f"{GEN}=") and name.removeprefix(f"{GEN}=") not in live:
+                    self._log.delete_folder(f"{self._path}/{part}/{name}")
+                    removed += 1
+        return removed
+
     def _check_for(self, events: int) -> SkewPolicy | None:
         """No key can be too large when all events together are not; there is one open run per key."""
         return self._skew if self._skew and events > self._skew.min_rows else None
