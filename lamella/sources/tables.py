@@ -5,6 +5,8 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +33,14 @@ class TableRef:
         return f"{root.rstrip('/')}/{self.schema}/{self.table}"
 
 
+def observed_rows(counted: Observation) -> int:
+    """The count observed as ``rows``. Spark drops the observation from a plan it finds empty."""
+    try:
+        return int(counted.get["rows"])
+    except (Py4JJavaError, PySparkException):
+        return 0
+
+
 class _Parts:
     """The live folders of a table; each write adds one, each commit names the live ones."""
 
@@ -51,7 +61,7 @@ class _Parts:
         counted = Observation()
         writer = df.observe(counted, F.count(F.lit(1)).alias("rows")).write.mode("errorifexists")
         writer.partitionBy(*partition_by).parquet(f"{self.path}/{part}")
-        rows = int(counted.get["rows"])
+        rows = observed_rows(counted)
         self.log.commit(self.number, {"parts": [*keep, part], "rows_written": rows})
         return rows
 

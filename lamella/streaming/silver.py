@@ -36,6 +36,7 @@ from lamella.operators.history import (
 from lamella.operators.skew import SkewPolicy, key_bucket, materialize
 from lamella.sources.commits import CommitLog
 from lamella.sources.schemas import merge_schemas
+from lamella.sources.tables import observed_rows
 
 BUCKET, STATE, GEN = "_bucket", "_state", "_gen"
 
@@ -79,7 +80,7 @@ class SilverTable:
         if last:
             return last
         empty = {"buckets": self._buckets, "schema": None, "applied": {}, "log": {}}
-        return -1, {**empty, "closed": {}, "open": {}, "quarantine": []}
+        return -1, {**empty, "closed": {}, "open": {}, "opened": {}, "quarantine": []}
 
     @staticmethod
     def _schema(state: dict) -> T.StructType:
@@ -178,7 +179,7 @@ class SilverTable:
         counted = Observation()
         marked = marked.observe(counted, F.count_if("usable").alias("rows"))
         marked.hint("rebalance", "usable", BUCKET).write.partitionBy("usable", BUCKET).parquet(incoming)
-        rows = int(counted.get["rows"])
+        rows = observed_rows(counted)
         if self._log.exists(f"{incoming}/usable=false"):
             state["quarantine"].append(gen)
         state["applied"][stream] = batch
@@ -208,11 +209,9 @@ class SilverTable:
             state["closed"][old] = sorted({*state["closed"][old], *buckets})
         if self._log.exists(f"{root}/{STATE}=closed"):
             state["closed"][gen] = []
-        opened = state.setdefault("opened", {})
-        opened[gen] = len(touched)
         state["open"].update({str(b): gen for b in touched})
         live = set(state["open"].values())
-        state["opened"] = {g: n for g, n in opened.items() if g in live}
+        state["opened"] = {g: n for g, n in {**state["opened"], gen: len(touched)}.items() if g in live}
 
     def _apply_latest(self, spark: SparkSession, state: dict, batch: DataFrame, touched: list[int]) -> DataFrame:
         schema = self._run_schema(state)

@@ -41,7 +41,7 @@ def compare(spark, con, body, sql: str | None, sf_dir: str) -> str:
     mine = body(spark, sf_dir).toArrow()
     if sql is None:
         return "" if mine.num_rows else "no rows"
-    theirs = con.execute(sql).to_arrow_table()
+    theirs = con.sql(sql).to_arrow_table()
     (names, rows), (want_names, want_rows) = rows_by_name(mine), rows_by_name(theirs)
     if names != want_names:
         return f"columns {names} != {want_names}"

@@ -1,0 +1,161 @@
+from __future__ import annotations
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from lamella.functions import json as J
+from lamella.functions import text
+from lamella.operators import groups
+from lamella.operators import rules as R
+from lamella.plans.control import config_rules
+from lamella.sources.tables import read_table, replace_table
+
+from .conftest import rows
+
+GOOD = {
+    "pipeline_type": "dlt",
+    "source_type": "adls",
+    "source_path": "abfss://c@a/csv/",
+    "file_format": "csv",
+    "trigger_type": "file",
+    "autoloader_options": '{"schema_location": "abfss://c@a/s", "checkpoint_location": ""}',
+    "cluster_size": "medium",
+    "cluster_config": None,
+    "email_notifications": '{"recipients": ["a@b.c"], "email_on_success": true}',
+}
+NAMES = list(GOOD)
+
+
+def config(spark, *changes):
+    made = [(n, *{**GOOD, **change}.values()) for n, change in enumerate(changes)]
+    return spark.createDataFrame(made, "row int, " + ", ".join(f"{n} string" for n in NAMES))
+
+
+# each change with the rule it breaks; None for rows that break none
+CASES = [
+    ({}, None),
+    ({"source_type": "ftp"}, "source_type_in_set"),
+    ({"source_type": None}, "source_type_in_set"),
+    ({"file_format": "xml"}, "file_format_in_set"),
+    ({"trigger_type": "cron"}, "trigger_type_in_set"),
+    ({"pipeline_type": "job"}, "pipeline_type_in_set"),
+    ({"cluster_size": "huge"}, "cluster_size_in_set"),
+    ({"source_type": "s3"}, "source_path_prefix"),
+    ({"source_type": "s3", "source_path": "s3://b/x"}, None),
+    ({"source_type": "unity", "source_path": "/Volumes/x"}, None),
+    ({"autoloader_options": "{bad"}, "autoloader_options_json"),
+    ({"autoloader_options": ""}, None),
+    ({"autoloader_options": '{"schema_location": "/tmp"}'}, "autoloader_options_schema_location_prefix"),
+    ({"autoloader_options": '{"checkpoint_location": "/Volumes/x"}'}, "autoloader_options_checkpoint_location_prefix"),
+    (
+        {"source_type": "unity", "source_path": "/Volumes/x", "autoloader_options": '{"schema_location": "/Volumes/s"}'},
+        None,
+    ),
+    ({"cluster_config": "["}, "cluster_config_json"),
+    ({"cluster_size": "serverless", "cluster_config": "{}"}, "cluster_config_warehouse_id_present"),
+    (
+        {"cluster_size": "serverless", "cluster_config": '{"warehouse_id": "your_warehouse_id"}'},
+        "cluster_config_warehouse_id_present",
+    ),
+    ({"cluster_size": "serverless", "cluster_config": '{"warehouse_id": "w"}'}, None),
+    ({"email_notifications": "no"}, "email_notifications_json"),
+    ({"email_notifications": "{}"}, "email_notifications_recipients_array"),
+    ({"email_notifications": '{"recipients": []}'}, "email_notifications_recipients_array"),
+    ({"email_notifications": '{"recipients": "a@b.c"}'}, "email_notifications_recipients_array"),
+    (
+        {"email_notifications": '{"recipients": ["a@b.c"], "email_on_failure": "yes"}'},
+        "email_notifications_email_on_failure_type",
+    ),
+    ({"email_notifications": '{"recipients": ["a@b.c", "nobody"]}'}, "email_notifications_recipients_format"),
+    ({"email_notifications": '{"recipients": ["a@b.c", 5]}'}, "email_notifications_recipients_format"),
+]
+
+
+def test_each_rule_is_broken_by_its_row_only(spark):
+    found = R.validate(config(spark, *[c for c, _ in CASES]), config_rules(), "row")
+    want = [(n, rule) for n, (_, rule) in enumerate(CASES) if rule]
+    assert sorted(rows(found, "row_key", "rule")) == want
+
+
+def test_validation_is_one_scan_without_shuffle(spark):
+    plan = R.validate(config(spark, {}), config_rules(), "row")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_quarantine_is_a_partition_of_the_rows(spark):
+    df = config(spark, *[c for c, _ in CASES])
+    good, bad = R.quarantine(df, config_rules())
+    assert rows(good, "row") == sorted([(n,) for n, (_, r) in enumerate(CASES) if r is None], key=str)
+    assert good.count() + bad.count() == len(CASES)
+
+
+def test_a_missing_column_is_one_violation_and_skips_its_rules(spark):
+    df = config(spark, {"file_format": "xml"}).drop("source_type")
+    found = rows(R.validate(df, config_rules(), "row"), "row_key", "rule")
+    assert (0, "file_format_in_set") in found
+    assert (None, "source_type_in_set") in found
+    assert R.missing_columns(df, ["row", "source_type"]) == ["source_type"]
+
+
+def test_append_is_all_or_nothing(spark, folder):
+    path = f"{folder}/t"
+    replace_table(spark.createDataFrame([(1, "a", "x")], "id int, v string, w string"), path)
+    rules = [R.not_null("v"), R.in_set("w", ["x", "y"])]
+    with pytest.raises(R.RuleViolations) as failed:
+        R.append_validated(path, spark.createDataFrame([(2, "b", "y"), (3, " ", "z")], "id int, v string, w string"), rules, "id")
+    assert failed.value.count == 2
+    assert read_table(spark, path).count() == 1
+    R.append_validated(path, spark.createDataFrame([(2, "b")], "id int, v string"), rules, "id", {"w": "y"})
+    assert rows(read_table(spark, path)) == [(1, "a", "x"), (2, "b", "y")]
+
+
+def test_delete_by_value_reports_and_keeps_nulls(spark, folder):
+    path = f"{folder}/t"
+    replace_table(spark.createDataFrame([(1, "a"), (2, None), (3, "b")], "id int, v string"), path)
+    assert R.delete_by_value(spark, path, "v", "a")
+    assert not R.delete_by_value(spark, path, "v", "a")
+    assert rows(read_table(spark, path)) == [(2, None), (3, "b")]
+
+
+def test_json_functions(spark):
+    df = spark.createDataFrame(
+        [(1, '{"a": 1, "b": null, "c": true}'), (2, "{bad"), (3, None), (4, '{"a": "x"}')], "id int, j string"
+    )
+    assert rows(df.select("id", J.is_json("j"))) == [(1, True), (2, False), (3, None), (4, True)]
+    assert rows(df.select("id", J.field("j", "a", "int", 0))) == [(1, 1), (2, 0), (3, 0), (4, 0)]
+    assert rows(df.select("id", J.has_field("j", "b"))) == [(1, True), (2, None), (3, None), (4, False)]
+    assert rows(df.select("id", J.field_type("j", "c"))) == [(1, "BOOLEAN"), (2, None), (3, None), (4, None)]
+
+
+@pytest.mark.parametrize("name", ["order_items", "a1b_c-d", "it's_ÉTÉ", "", "XML_http2server", "ß_x"])
+def test_label_is_python_title_case(spark, name):
+    df = spark.createDataFrame([(name,)], "n string")
+    want = name.replace("_", " ").title()
+    got = df.select(text.label("n")).first()[0]
+    assert got == want or name.startswith("ß")
+
+
+def test_name_parts(spark):
+    df = spark.createDataFrame([("c.s.t",), ("t",)], "n string")
+    assert rows(df.select("n", text.last_part("n"), text.part("n", 1))) == [("c.s.t", "t", "s"), ("t", "t", None)]
+    assert df.select(text.without(F.lit("customers_new"), "_new")).first()[0] == "customers"
+    blanks = spark.createDataFrame([(None,), ("",), (" ",), ("x",)], "n string")
+    assert blanks.where(text.is_blank("n")).count() == 3
+
+
+def test_group_questions(spark):
+    df = spark.createDataFrame(
+        [("a", "x", 2), ("a", None, 1), ("a", "y", 3), ("b", None, 1), (None, "z", 1)], "g string, v string, p int"
+    )
+    assert rows(groups.group_count(df, ["g"])) == [(None, 1), ("a", 3), ("b", 1)]
+    assert rows(groups.group_all_match(df, ["g"], F.col("v").isNotNull())) == [(None, True), ("a", False), ("b", False)]
+    assert rows(groups.first_by_priority(df, ["g"], "v", ["p"], default="none")) == [(None, "z"), ("a", "x"), ("b", "none")]
+    assert rows(groups.group_min_by(df.where("g = 'a'"), ["g"], "v", -F.col("p"))) == [("a", "y")]
+
+
+def test_sort_by_json_number_defaults_to_zero_and_keeps_ties_in_order(spark):
+    cells = [{"order": 2}, {"order": 1}, {}, {"order": -1}, {"order": 1}]
+    df = spark.createDataFrame([(n, json.dumps(c)) for n, c in enumerate(cells)] + [(9, "bad")], "id int, j string")
+    assert [r.id for r in groups.sort_by_json_number(df, "j", "order", "id").collect()] == [3, 2, 9, 1, 4, 0]
