@@ -356,7 +356,7 @@ def _fill_forward(rows: DataFrame, within: Sequence[str]) -> DataFrame:
 def _fill_forward_sliced(rows: DataFrame, on: Sequence[str], slices: int) -> DataFrame:
     """Fill within slices, then hand the last version of each slice on to the next ones."""
     fixed = materialize(rows)
-    # positions in a checkpoint do not change, so copies can be told apart by them
+    # positions in a written table do not change, so copies can be told apart by them
     numbered = fixed.withColumn("_copy", F.monotonically_increasing_id())
     sliced = with_slices(numbered, [*on, "_at", "_side", "_copy"], slices).drop("_copy")
     filled = materialize(_fill_forward(sliced, [*on, SLICE]))

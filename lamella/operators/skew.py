@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamella.session import checkpoint_root
+from lamella.session import work_dir
 
 SLICE = "_slice"
 
@@ -78,12 +78,17 @@ def with_slices(df: DataFrame, order: Sequence[str], slices: int) -> DataFrame:
 
     A key with many rows spans several consecutive slices, each of bounded size, and the
     slice numbers follow the order. Range bounds come from a sample of one execution, so
-    a result derived from the numbers has to be checkpointed before it is used twice.
+    a result derived from the numbers has to be materialized before it is used twice.
     """
     return df.repartitionByRange(slices, *order).withColumn(SLICE, F.spark_partition_id())
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder; survives the loss of executors."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write to a table in the shared folder and read it from there.
+
+    Cuts the lineage, survives the loss of executors, and lets later filters and column
+    choices reach the scan.
+    """
+    path = work_dir(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -131,8 +131,8 @@ def bronze_max_files(spark, sf_dir):
     source = FileSource(f"{root}/files", "parquet", schema=df.schema, max_files=1)
     ingest(spark, source, f"{root}/bronze", f"{root}/checkpoint")
     bronze = spark.read.parquet(f"{root}/bronze")
-    batches = bronze.select(AUDIT).distinct().agg(F.count(F.lit(1)).alias("batches"))
-    return bronze.drop(AUDIT).crossJoin(F.broadcast(batches))
+    batches = bronze.select(AUDIT).distinct().count()
+    return bronze.drop(AUDIT).withColumn("batches", F.lit(batches).cast("bigint"))
 
 
 def _rewrite_in_place(spark: SparkSession, folder: str, column: str, scratch: str) -> None:

@@ -45,13 +45,10 @@ def by_quarter(facts: DataFrame, date: str, amount: str, by: Sequence[str] = ())
     )
 
 
-def enrich(facts: DataFrame, dimension: DataFrame, on: Sequence[str], rows_if_small: int = 100_000) -> DataFrame:
+def enrich(facts: DataFrame, dimension: DataFrame, on: Sequence[str]) -> DataFrame:
     """Left join with a dimension of unique keys.
 
-    It is broadcast only when counting shows at most ``rows_if_small`` rows; the count
-    stops there and does not scan a large dimension. Otherwise Spark picks the join.
+    No hint: Spark broadcasts the dimension if its measured size is below
+    ``spark.sql.autoBroadcastJoinThreshold``, and otherwise sorts, splitting skewed keys.
     """
-    small = dimension.limit(rows_if_small + 1).count() <= rows_if_small
-    return facts.join(F.broadcast(dimension) if small else dimension, list(on), "left")
-
-
+    return facts.join(dimension, list(on), "left")

@@ -233,9 +233,14 @@ class SilverTable:
         keys, seq = self._keys, self._sequence
         spec = self._spec(self._schema(state))
         opened = self._open(spark, state, touched).drop(VALID_TO)
-        earliest = batch.groupBy(*keys, BUCKET).agg(F.min(seq).alias("_earliest"))
-        known = opened.select(*keys, F.col(seq).alias("_seen"), F.col(VALID_FROM).alias("_opened"))
-        late = materialize(earliest.join(known, keys).where(F.col("_earliest") <= F.col("_seen")))
+        no_seq = F.lit(None).cast(self._schema(state)[seq].dataType)
+        known = opened.select(*keys, F.col(seq).alias("_seen"), F.col(VALID_FROM).alias("_opened"), no_seq.alias("_new"))
+        new = batch.select(*keys, no_seq.alias("_seen"), no_seq.alias("_opened"), F.col(seq).alias("_new"))
+        bounds = known.unionByName(new).groupBy(*keys).agg(
+            F.max("_seen").alias("_seen"), F.max("_opened").alias("_opened"), F.min("_new").alias("_earliest")
+        )
+        late = bounds.where(F.col("_earliest") <= F.col("_seen"))
+        late = materialize(late.withColumn(BUCKET, key_bucket(keys, self._buckets)))
         late_buckets = sorted(r[0] for r in late.select(BUCKET).distinct().collect())
         as_runs = batch.drop(BUCKET).withColumn(VALID_FROM, F.col(seq))
         if not late_buckets:
