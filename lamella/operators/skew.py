@@ -10,7 +10,10 @@ nothing in their result.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -83,12 +86,26 @@ def with_slices(df: DataFrame, order: Sequence[str], slices: int) -> DataFrame:
     return df.repartitionByRange(slices, *order).withColumn(SLICE, F.spark_partition_id())
 
 
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch_folder(path: str):
+    """Let ``materialize`` write below ``path``, which the caller deletes when it is done."""
+    token = _scratch.set(path)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write to a table in the shared folder and read it from there.
 
     Cuts the lineage, survives the loss of executors, and lets later filters and column
     choices reach the scan.
     """
-    path = work_dir(df.sparkSession, "table")
+    scratch = _scratch.get()
+    path = f"{scratch}/{uuid.uuid4().hex}" if scratch else work_dir(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

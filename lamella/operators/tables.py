@@ -67,26 +67,33 @@ def _settings(spark: SparkSession, **values: str):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def compact(spark: SparkSession, path: str, target_bytes: int = 256 << 20) -> tuple[int, int]:
+def compact(
+    spark: SparkSession, path: str, target_bytes: int = 256 << 20, into: str | None = None
+) -> tuple[int, int]:
     """Rewrite a table of small files into files of about ``target_bytes``.
 
+    A table that a stream appends to is compacted ``into`` another one, as its own stream
+    goes on to add files to it.
+
     Packing happens in the scan, where one task reads many small files, so nothing is
     shuffled and no task holds more than its own output. Returns files before and after.
     """
     log = CommitLog(spark, f"{path}/_commits")
+    if into is None and log.exists(f"{path}/_spark_metadata"):
+        raise ValueError(f"{path} is appended to by a stream; compact it into another table")
 
-    def files() -> int:
-        return sum(len(log.file_sizes(f)) for f in table_folders(spark, path))
+    def files(table: str) -> int:
+        return sum(len(log.file_sizes(f)) for f in table_folders(spark, table))
 
-    before = files()
+    before = files(path)
     with _settings(
         spark,
         spark__sql__files__maxPartitionBytes=str(target_bytes),
         spark__sql__files__openCostInBytes="0",
         spark__sql__files__minPartitionNum="1",
     ):
-        replace_table(read_table(spark, path), path)
-    return before, files()
+        replace_table(read_table(spark, path), into or path)
+    return before, files(into or path)
 
 
 def write_balanced(df: DataFrame, path: str) -> int:

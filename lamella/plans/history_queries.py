@@ -123,14 +123,16 @@ def _skewed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).withColumn("user_id", hot)
 
 
-# Small enough for the sliced plan to be taken on the test tables.
-SLICED = SkewPolicy(min_rows=500)
+def _sliced(events: DataFrame) -> SkewPolicy:
+    """A limit that the large key is above at every size of the table."""
+    return SkewPolicy(min_rows=max(1, events.count() // 20))
 
 
 @query("scd2_skewed_key", versions_sql(SKEWED, "user_id", "ts", "event_id", "event_type", ", ".join(EVENTS)))
 def scd2_skewed_key(spark, sf_dir):
     """A third of the rows under one key: that key is cut into slices."""
-    return scd2(_skewed(spark, sf_dir), **TYPES, skew=SLICED)
+    events = _skewed(spark, sf_dir)
+    return scd2(events, **TYPES, skew=_sliced(events))
 
 
 def _apply_in(spark: SparkSession, batches: list[DataFrame], **parameters) -> SilverTable:
@@ -292,4 +294,5 @@ def scd2_temporal_join(spark, sf_dir):
 
 @query("scd2_temporal_join_skewed", _join_sql(SKEWED))
 def scd2_temporal_join_skewed(spark, sf_dir):
-    return _join_purchases(_skewed(spark, sf_dir), SLICED)
+    events = _skewed(spark, sf_dir)
+    return _join_purchases(events, _sliced(events))

@@ -53,6 +53,11 @@ class _Parts:
         self.number = last[0] + 1 if last else 0
         self.live: list[str] = last[1]["parts"] if last else []
 
+    def require_commits(self) -> None:
+        """Changing a plain folder in part would hide the rest of it from readers."""
+        if self.number == 0 and self.log.children(self.path):
+            raise ValueError(f"{self.path} is a plain folder; bring it into a table with replace_table first")
+
     def folders(self) -> list[str]:
         return [f"{self.path}/{p}" for p in self.live]
 
@@ -78,6 +83,7 @@ def replace_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ())
 def append_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> int:
     """Add rows; what is there already is not touched. Returns the rows added."""
     parts = _Parts(df.sparkSession, path)
+    parts.require_commits()
     return parts.add(df, parts.live, partition_by)
 
 
@@ -87,6 +93,7 @@ def delete_rows(spark: SparkSession, path: str, matches: Column) -> int:
     Only the parts that hold a match are rewritten, and none when there is no match.
     """
     parts = _Parts(spark, path)
+    parts.require_commits()
     part = F.regexp_extract("_metadata.file_path", parts.PATTERN, 1).alias("part")
     hits = read_table(spark, path).where(matches).groupBy(part).agg(F.count(F.lit(1)).alias("rows")).collect()
     if not hits:
@@ -108,6 +115,16 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return reader.parquet(*table_folders(spark, path))
 
 
+def expire_parts(spark: SparkSession, path: str, keep_commits: int = 2) -> int:
+    """Delete parts that none of the last commits names; readers of older ones lose them."""
+    table = _Parts(spark, path)
+    used = {p for n in table.log.numbers()[-keep_commits:] for p in table.log.get(n)["parts"]}
+    gone = [c for c in table.log.children(table.path) if c.startswith("part-") and c not in used]
+    for name in gone if used else []:
+        table.log.delete_folder(f"{table.path}/{name}")
+    return len(gone) if used else 0
+
+
 def stream_table(spark: SparkSession, path: str, schema: T.StructType | None = None, max_files: int = 100) -> DataFrame:
     """Stream read of an append-only table, such as one written by ``ingest``."""
     schema = schema or spark.read.parquet(path).schema

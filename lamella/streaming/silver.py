@@ -33,7 +33,7 @@ from lamella.operators.history import (
     scd1,
     usable_event,
 )
-from lamella.operators.skew import SkewPolicy, key_bucket, materialize
+from lamella.operators.skew import SkewPolicy, key_bucket, materialize, scratch_folder
 from lamella.sources.commits import CommitLog
 from lamella.sources.schemas import merge_schemas
 from lamella.sources.tables import observed_rows
@@ -186,14 +186,15 @@ class SilverTable:
         if self._log.exists(f"{incoming}/usable=true"):
             batch_events = self._logged(spark, state, [gen]).drop(GEN)
             touched = sorted(int(n.split("=")[1]) for n in self._log.children(f"{incoming}/usable=true") if "=" in n)
-            if self._type == 1:
-                runs = self._apply_latest(spark, state, batch_events, touched)
-                rewritten = {}
-            else:
-                state["log"][gen] = rows
-                runs, rewritten = self._apply_history(spark, state, batch_events, touched, rows)
-            self._write_runs(runs, gen, state, touched, rewritten)
+            with scratch_folder(f"{self._path}/scratch/{gen}"):
+                if self._type == 1:
+                    runs, rewritten = self._apply_latest(spark, state, batch_events, touched), {}
+                else:
+                    state["log"][gen] = rows
+                    runs, rewritten = self._apply_history(spark, state, batch_events, touched, rows)
+                self._write_runs(runs, gen, state, touched, rewritten)
         self._log.commit(number + 1, state)
+        self._log.delete_folder(f"{self._path}/scratch/{gen}")
         return True
 
     def _write_runs(self, runs: DataFrame, gen: str, state: dict, touched: list[int], rewritten: dict) -> None:
@@ -232,24 +233,15 @@ class SilverTable:
         """
         keys, seq = self._keys, self._sequence
         spec = self._spec(self._schema(state))
+        as_runs = batch.drop(BUCKET).withColumn(VALID_FROM, F.col(seq))
+        if not any(str(b) in state["open"] for b in touched):
+            return collapse_runs(as_runs, spec, self._check_for(rows)), {}
         opened = self._open(spark, state, touched).drop(VALID_TO)
-        no_seq = F.lit(None).cast(self._schema(state)[seq].dataType)
-        known = opened.select(*keys, F.col(seq).alias("_seen"), F.col(VALID_FROM).alias("_opened"), no_seq.alias("_new"))
-        new = batch.select(*keys, no_seq.alias("_seen"), no_seq.alias("_opened"), F.col(seq).alias("_new"))
-        bounds = known.unionByName(new).groupBy(*keys).agg(
-            F.max("_seen").alias("_seen"), F.max("_opened").alias("_opened"), F.min("_new").alias("_earliest")
-        )
-        late = bounds.where(F.col("_earliest") <= F.col("_seen"))
-        late = materialize(late.withColumn(BUCKET, key_bucket(keys, self._buckets)))
+        late = materialize(self._late_keys(opened, batch))
         late_buckets = sorted(r[0] for r in late.select(BUCKET).distinct().collect())
-        as_runs = batch.drop(BUCKET).withColumn(VALID_FROM, F.col(seq))
         if not late_buckets:
             return collapse_runs(opened.unionByName(as_runs), spec, self._check_for(rows)), {}
 
-        late_keys = late.select(*keys)
-        in_order = opened.unionByName(as_runs).join(late_keys, keys, "left_anti")
-        runs = collapse_runs(in_order, spec, self._check_for(rows))
-
         closed = self._closed(spark, state, late_buckets)
         bound = late.select(*keys, "_earliest", "_opened")
         hit = closed.join(bound.select(*keys, "_earliest"), keys).where(F.col(VALID_TO) >= F.col("_earliest"))
@@ -266,9 +258,9 @@ class SilverTable:
         events = self._logged(spark, state, list(state["log"]))
         events = events.where(F.col(BUCKET).isin(late_buckets)).drop(GEN, BUCKET)
         suffix = events.join(start, keys).where(F.col(seq) >= F.col("_start")).drop("_start")
-        runs = runs.unionByName(
-            collapse_runs(suffix.withColumn(VALID_FROM, F.col(seq)), spec, self._check_for(logged)).select(*runs.columns)
-        )
+        in_order = opened.unionByName(as_runs).join(late.select(*keys), keys, "left_anti")
+        every = in_order.unionByName(suffix.withColumn(VALID_FROM, F.col(seq)))
+        runs = collapse_runs(every, spec, self._check_for(logged))
         if replaced:
             places = [(F.col(GEN) == g) & F.col(BUCKET).isin(bs) for g, bs in replaced.items()]
             kept = closed.where(reduce(lambda a, b: a | b, places)).join(start, keys, "left")
@@ -276,6 +268,18 @@ class SilverTable:
             runs = runs.unionByName(kept.select(*runs.columns))
         return runs, replaced
 
+    def _late_keys(self, opened: DataFrame, batch: DataFrame) -> DataFrame:
+        """Keys with an event not after the last one seen, by one aggregate over three columns."""
+        keys, seq = self._keys, self._sequence
+        nothing = F.lit(None).cast(batch.schema[seq].dataType)
+        known = opened.select(*keys, F.col(seq).alias("_seen"), F.col(VALID_FROM).alias("_opened"), nothing.alias("_new"))
+        new = batch.select(*keys, nothing.alias("_seen"), nothing.alias("_opened"), F.col(seq).alias("_new"))
+        bounds = known.unionByName(new).groupBy(*keys).agg(
+            F.max("_seen").alias("_seen"), F.max("_opened").alias("_opened"), F.min("_new").alias("_earliest")
+        )
+        late = bounds.where(F.col("_earliest") <= F.col("_seen"))
+        return late.withColumn(BUCKET, key_bucket(keys, self._buckets))
+
     def compact(self, spark: SparkSession, keep: int = 8) -> None:
         """Fold all but the newest ``keep`` generations of closed runs and of the log into one each.
 
@@ -307,6 +311,7 @@ class SilverTable:
             state = self._log.get(number)
             used["runs"] |= {*state["closed"], *state["open"].values()}
             used["log"] |= {*state["log"], *state["quarantine"]}
+        self._log.delete_folder(f"{self._path}/scratch")
         removed = 0
         for part, live in used.items():
             for name in self._log.children(f"{self._path}/{part}"):

@@ -11,7 +11,17 @@ from lamella.plans import gold
 from lamella.plans.control import Operation, read_operations, run_group
 from lamella.plans.steps import Step, run_steps
 from lamella.sources.commits import CommitLog
-from lamella.sources.tables import TableRef, append_table, delete_rows, read_table, replace_table, table_folders
+from lamella.sources.files import FileSource
+from lamella.sources.tables import (
+    TableRef,
+    append_table,
+    delete_rows,
+    expire_parts,
+    read_table,
+    replace_table,
+    table_folders,
+)
+from lamella.streaming.bronze import ingest
 
 from .conftest import rows
 from .test_sources import put
@@ -54,6 +64,36 @@ def test_compaction_needs_no_shuffle_and_ends_in_one_file(spark, folder):
     assert read_table(spark, path).agg(F.sum("id")).first()[0] == 499500
 
 
+def test_a_stream_table_is_compacted_into_another(spark, folder):
+    spark.range(100).repartition(20).write.parquet(f"{folder}/files")
+    source = FileSource(f"{folder}/files", "parquet", schema=spark.range(1).schema, max_files=5)
+    ingest(spark, source, f"{folder}/bronze", f"{folder}/checkpoint")
+    with pytest.raises(ValueError, match="stream"):
+        compact(spark, f"{folder}/bronze")
+    before, after = compact(spark, f"{folder}/bronze", into=f"{folder}/packed")
+    assert before > after == 1
+    assert read_table(spark, f"{folder}/packed").count() == 100
+
+
+def test_a_plain_folder_is_not_changed_in_part(spark, folder):
+    spark.range(5).write.parquet(f"{folder}/plain")
+    with pytest.raises(ValueError, match="plain folder"):
+        append_table(spark.range(5), f"{folder}/plain")
+    with pytest.raises(ValueError, match="plain folder"):
+        delete_rows(spark, f"{folder}/plain", F.col("id") > 1)
+    assert read_table(spark, f"{folder}/plain").count() == 5
+
+
+def test_expired_parts_are_deleted_and_live_ones_kept(spark, folder):
+    path = f"{folder}/t"
+    for n in range(4):
+        replace_table(spark.range(n + 1), path)
+    append_table(spark.range(10), path)
+    assert expire_parts(spark, path, keep_commits=1) == 3
+    assert expire_parts(spark, path, keep_commits=1) == 0
+    assert read_table(spark, path).count() == 14
+
+
 def test_balanced_write_ends_in_few_files(spark, folder):
     write_balanced(spark.range(1000).repartition(64), f"{folder}/t")
     (part,) = table_folders(spark, f"{folder}/t")
