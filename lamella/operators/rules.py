@@ -124,8 +124,9 @@ def validate(df: DataFrame, rules: Sequence[Rule], key: str | Column) -> DataFra
     row_key = (F.col(key) if isinstance(key, str) else key).alias("row_key")
     found = [F.when(r.broken, F.struct(F.lit(r.name).alias("rule"), r.message.alias("message"))) for r in usable]
     if found:
-        listed = F.array_compact(F.array(*found))
-        out = df.select(row_key, F.inline(listed))
+        # a projection of its own, where Spark evaluates what rules have in common once
+        listed = df.select(row_key, F.array(*found).alias("_found"))
+        out = listed.select("row_key", F.inline(F.array_compact("_found")))
     else:
         out = df.limit(0).select(row_key, F.lit("").alias("rule"), F.lit("").alias("message"))
     absent = [(r.name, f"missing columns: {missing_columns(df, r.columns)}") for r in rules if r not in usable]

@@ -25,24 +25,27 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _runs(spark: SparkSession, target: str) -> tuple[CommitLog, int, list[str]]:
+LEDGERS = 32
+
+
+def _state(spark: SparkSession, target: str) -> tuple[CommitLog, int, dict]:
     log = CommitLog(spark, f"{target.rstrip('/')}/_commits")
     last = log.latest()
-    return (log, last[0] + 1, last[1]["runs"]) if last else (log, 0, [])
+    return (log, last[0] + 1, last[1]) if last else (log, 0, {"runs": [], "ledgers": []})
 
 
 def ingest_changed_files(spark: SparkSession, source: FileSource, schema: T.StructType, target: str) -> int:
     """Append new and rewritten files to ``target``; returns how many were taken.
 
     Works through them in runs of ``source.max_files``, the only listing that reaches the
-    driver.
+    driver. After every ``LEDGERS`` runs the ledger is folded into one folder.
     """
     taken = 0
     while True:
-        log, number, runs = _runs(spark, target)
-        changed = list_files(spark, source.path)
-        if runs:
-            ledger = spark.read.parquet(*[f"{target}/{r}/files" for r in runs])
+        log, number, state = _state(spark, target)
+        changed, ledger = list_files(spark, source.path), None
+        if state["ledgers"]:
+            ledger = spark.read.parquet(*[f"{target}/{folder}" for folder in state["ledgers"]])
             changed = changed.join(ledger, FILE, "left_anti")
         files = changed.orderBy("modificationTime", "path").limit(source.max_files).collect()
         if not files:
@@ -50,14 +53,18 @@ def ingest_changed_files(spark: SparkSession, source: FileSource, schema: T.Stru
         run = f"run-{uuid.uuid4().hex}"
         rows = read_files(spark, source, schema, [f.path for f in files])
         with_audit(rows).write.parquet(f"{target}/{run}/data")
-        spark.createDataFrame(files, changed.schema).coalesce(1).write.parquet(f"{target}/{run}/files")
-        log.commit(number, {"runs": [*runs, run]})
+        entries = spark.createDataFrame(files, changed.schema).coalesce(1)
+        kept = state["ledgers"]
+        if ledger is not None and len(kept) >= LEDGERS:
+            entries, kept = entries.unionByName(ledger), []
+        entries.write.parquet(f"{target}/{run}/files")
+        log.commit(number, {"runs": [*state["runs"], run], "ledgers": [*kept, f"{run}/files"]})
         taken += len(files)
 
 
 def read_changed_files(spark: SparkSession, target: str, schema: T.StructType | None = None) -> DataFrame:
     """All committed rows of a target of ``ingest_changed_files``."""
-    _, _, runs = _runs(spark, target)
+    runs = _state(spark, target)[2]["runs"]
     if not runs:
         raise FileNotFoundError(f"nothing was ingested into {target} yet")
     reader = spark.read.schema(schema) if schema else spark.read

@@ -18,7 +18,7 @@ import uuid
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -238,13 +238,19 @@ class SilverTable:
             return collapse_runs(as_runs, spec, self._check_for(rows)), {}
         opened = self._open(spark, state, touched).drop(VALID_TO)
         late = materialize(self._late_keys(opened, batch))
-        late_buckets = sorted(r[0] for r in late.select(BUCKET).distinct().collect())
+        found = late.agg(F.collect_set(BUCKET).alias("buckets"), F.min("_earliest").cast("string").alias("floor")).first()
+        late_buckets = sorted(found.buckets)
         if not late_buckets:
             return collapse_runs(opened.unionByName(as_runs), spec, self._check_for(rows)), {}
 
+        def not_before(column: str, floor: str) -> Column:
+            """Coarse bound with a literal, which reaches the Parquet statistics."""
+            return F.col(column) >= F.lit(floor).cast(batch.schema[seq].dataType)
+
         closed = self._closed(spark, state, late_buckets)
         bound = late.select(*keys, "_earliest", "_opened")
-        hit = closed.join(bound.select(*keys, "_earliest"), keys).where(F.col(VALID_TO) >= F.col("_earliest"))
+        hit = closed.where(not_before(VALID_TO, found.floor)).join(bound.select(*keys, "_earliest"), keys)
+        hit = hit.where(F.col(VALID_TO) >= F.col("_earliest"))
         hit = materialize(hit.groupBy(*keys, GEN, BUCKET).agg(F.min(VALID_FROM).alias("_first")))
         replaced: dict[str, list[int]] = {}
         for place in hit.select(GEN, BUCKET).distinct().collect():
@@ -254,13 +260,13 @@ class SilverTable:
             *keys, F.least("_earliest", "_opened", "_first").alias("_start")
         )
 
-        logged = sum(state["log"].values())
+        floor = start.agg(F.min("_start").cast("string")).first()[0]
         events = self._logged(spark, state, list(state["log"]))
-        events = events.where(F.col(BUCKET).isin(late_buckets)).drop(GEN, BUCKET)
+        events = events.where(F.col(BUCKET).isin(late_buckets) & not_before(seq, floor)).drop(GEN, BUCKET)
         suffix = events.join(start, keys).where(F.col(seq) >= F.col("_start")).drop("_start")
         in_order = opened.unionByName(as_runs).join(late.select(*keys), keys, "left_anti")
         every = in_order.unionByName(suffix.withColumn(VALID_FROM, F.col(seq)))
-        runs = collapse_runs(every, spec, self._check_for(logged))
+        runs = collapse_runs(every, spec, self._check_for(sum(state["log"].values())))
         if replaced:
             places = [(F.col(GEN) == g) & F.col(BUCKET).isin(bs) for g, bs in replaced.items()]
             kept = closed.where(reduce(lambda a, b: a | b, places)).join(start, keys, "left")

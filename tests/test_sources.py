@@ -135,6 +135,17 @@ def test_a_rewritten_file_is_ignored_or_taken_again(spark, folder):
     assert rows(read_changed_files(spark, f"{folder}/changed"), "v") == [("newer",), ("old",), ("same",)]
 
 
+def test_the_ledger_is_folded_and_forgets_nothing(spark, folder, monkeypatch):
+    monkeypatch.setattr("lamella.sources.changed_files.LEDGERS", 2)
+    source = FileSource(f"{folder}/files", "json", schema=schema("id int"), allow_overwrites=True, max_files=1)
+    for n in range(5):
+        put(folder, f"files/{n}.json", f'{{"id": {n}}}\n')
+    assert ingest_changed_files(spark, source, source.schema, f"{folder}/bronze") == 5
+    assert ingest_changed_files(spark, source, source.schema, f"{folder}/bronze") == 0
+    assert len(CommitLog(spark, f"{folder}/bronze/_commits").latest()[1]["ledgers"]) < 3
+    assert rows(read_changed_files(spark, f"{folder}/bronze"), "id") == [(n,) for n in range(5)]
+
+
 def test_a_run_that_fails_before_its_commit_is_not_seen(spark, folder, monkeypatch):
     put(folder, "files/a.json", '{"id": 1}\n')
     source = FileSource(f"{folder}/files", "json", schema=schema("id int"), allow_overwrites=True)
