@@ -66,7 +66,13 @@ def json_valid(column: str) -> Rule:
     return Rule(f"{column}_json", ~is_blank(c) & ~J.is_json(c), _message(f"invalid JSON in {column}: ", c), (column,))
 
 
-def json_key(column: str, key: str, placeholders: Sequence[str] = (), when: Column | None = None, when_columns: Sequence[str] = ()) -> Rule:
+def json_key(
+    column: str,
+    key: str,
+    placeholders: Sequence[str] = (),
+    when: Column | None = None,
+    when_columns: Sequence[str] = (),
+) -> Rule:
     """The field is there, not empty and not a placeholder. Bad JSON is left to ``json_valid``."""
     value = J.field(column, key)
     broken = J.is_json(column) & (is_blank(value) | value.isin(["", *placeholders]))
@@ -74,7 +80,13 @@ def json_key(column: str, key: str, placeholders: Sequence[str] = (), when: Colu
     return Rule(f"{column}_{key}_present", broken, _message(f"{column} needs {key}"), (column, *when_columns))
 
 
-def json_prefix(column: str, key: str, prefixes: Sequence[str], waived: Column | None = None, when_columns: Sequence[str] = ()) -> Rule:
+def json_prefix(
+    column: str,
+    key: str,
+    prefixes: Sequence[str],
+    waived: Column | None = None,
+    when_columns: Sequence[str] = (),
+) -> Rule:
     """The field, where given, starts with one of ``prefixes`` unless ``waived`` holds."""
     value = J.field(column, key)
     starts = reduce(lambda a, b: a | b, [value.startswith(p) for p in prefixes])
@@ -103,7 +115,8 @@ def array_forall(column: str, key: str, contains: Sequence[str]) -> Rule:
         return F.coalesce(reduce(lambda a, b: a & b, [F.contains(x, F.lit(t)) for t in contains]), F.lit(False))
 
     bad = F.filter(J.string_array(column, key), lambda x: ~fits(x))
-    return Rule(f"{column}_{key}_format", F.size(bad) > 0, _message(f"invalid {key}: ", F.array_join(bad, ", ", "null")), (column,))
+    message = _message(f"invalid {key}: ", F.array_join(bad, ", ", "null"))
+    return Rule(f"{column}_{key}_format", F.size(bad) > 0, message, (column,))
 
 
 def missing_columns(df: DataFrame, required: Sequence[str]) -> list[str]:

@@ -37,6 +37,13 @@ def change_feed(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFram
     return both.select(*keys, F.inline(rows)).select(*keys, "_row.*", "_change_type").select(*new.columns, "_change_type")
 
 
+def table_changes(
+    spark: SparkSession, path: str, keys: Sequence[str], since: int, until: int | None = None
+) -> DataFrame:
+    """Row changes of a table from one of its versions to a later one, or to the current one."""
+    return change_feed(read_table(spark, path, version=since), read_table(spark, path, version=until), keys)
+
+
 def profile(df: DataFrame) -> DataFrame:
     """Name, type, position, rows and nulls of every column, by one aggregate pass."""
     counts = [F.count_if(F.col(f"`{c}`").isNull()).alias(f"n{i}") for i, c in enumerate(df.columns)]

@@ -23,6 +23,7 @@ from lamella.sources.tables import TableRef, read_table, replace_table, stream_t
 from lamella.streaming.bronze import ingest
 from lamella.streaming.silver import SilverTable
 
+# The operation types, and below the option names, of the control tables.
 KINDS = ("bronze", "silver", "gold", "manual")
 
 
@@ -155,7 +156,10 @@ def _name(op: Operation) -> str:
 
 
 def config_rules() -> list[R.Rule]:
-    """The checks of the older twelve-column control table, as row rules."""
+    """The checks of the older twelve-column control table, as row rules.
+
+    The allowed values, prefixes and field names are fixed values of that table.
+    """
     stored = ("s3://", "abfss://")
     unity = F.col("source_type") == "unity"
     serverless = F.col("cluster_size") == "serverless"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lamella.functions import text
 from lamella.operators import groups
 from lamella.operators.rules import append_validated, delete_by_value, in_set, not_null, prefix_when
-from lamella.operators.tables import change_feed, compact, profile
+from lamella.operators.tables import compact, profile, table_changes
 from lamella.plans import gold
 from lamella.plans.registry import query, table
 from lamella.session import work_dir
@@ -49,7 +49,7 @@ def compact_table(spark, sf_dir):
     """,
 )
 def change_feed_query(spark, sf_dir):
-    """Customers against an edited copy: changed, nulled, deleted and added rows."""
+    """Customers against an edited copy, two versions of a table: changed, nulled, deleted, added rows."""
     old, key = table(spark, sf_dir, "customer"), F.col("c_custkey")
     edited = old.where(key % 7 != 0).withColumns(
         {
@@ -58,7 +58,10 @@ def change_feed_query(spark, sf_dir):
         }
     )
     added = old.where(key % 5 == 0).withColumn("c_custkey", -1 - key)
-    return change_feed(old, edited.unionByName(added), ["c_custkey"])
+    path = work_dir(spark, "changes")
+    replace_table(old, path)
+    replace_table(edited.unionByName(added), path)
+    return table_changes(spark, path, ["c_custkey"], since=0)
 
 
 PRODUCT_ANALYTICS = """

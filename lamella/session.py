@@ -37,18 +37,12 @@ def local_session(cores: int = 8, app: str = "lamella") -> SparkSession:
         builder.config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
-        .config("spark.sql.streaming.checkpoint.fileManagerClass", CHECKPOINT_MANAGER)
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
-CHECKPOINT_MANAGER = (
-    "org.apache.spark.sql.execution.streaming.checkpointing.FileContextBasedCheckpointFileManager"
-)
-
-
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for ``checkpoint()`` and working tables.
 

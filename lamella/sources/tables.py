@@ -109,10 +109,23 @@ def table_folders(spark: SparkSession, path: str) -> list[str]:
     return _Parts(spark, path).folders() or [path]
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Batch read. ``schema`` may be wider than the older files; they read as null there."""
+def table_versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the commits of a table, oldest first; ``read_table`` reads any of them."""
+    return _Parts(spark, path).log.numbers()
+
+
+def read_table(
+    spark: SparkSession, path: str, schema: T.StructType | None = None, version: int | None = None
+) -> DataFrame:
+    """Batch read of the current content, or of an older version whose parts still exist.
+
+    ``schema`` may be wider than the older files; they read as null there.
+    """
     reader = spark.read.schema(schema) if schema else spark.read
-    return reader.parquet(*table_folders(spark, path))
+    if version is None:
+        return reader.parquet(*table_folders(spark, path))
+    parts = _Parts(spark, path)
+    return reader.parquet(*[f"{parts.path}/{p}" for p in parts.log.get(version)["parts"]])
 
 
 def expire_parts(spark: SparkSession, path: str, keep_commits: int = 2) -> int:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lamella.operators.history import as_of, current, scd1, scd2, split_null_keys, temporal_join
-from lamella.operators.skew import SkewPolicy, find_hot_buckets
+from lamella.operators.skew import SkewPolicy, find_hot_buckets, with_slices
 
 from .conftest import rows
 
@@ -191,6 +191,14 @@ def test_temporal_join_matches_a_range_join(spark, how, skew):
     assert rows(got, *want.columns) == rows(want)
 
 
+def test_slices_follow_the_order_and_are_balanced(spark):
+    df = spark.range(8000).selectExpr("0 as k", "id * 7 % 8000 as seq")
+    per_slice = with_slices(df, ["k", "seq"], 8).groupBy("_slice").agg(F.min("seq"), F.max("seq"), F.count("*")).collect()
+    got = sorted(tuple(r) for r in per_slice)
+    assert len(got) == 8 and max(r[3] for r in got) < 3000
+    assert all(a[2] < b[1] for a, b in zip(got, got[1:]))
+
+
 def test_hot_buckets_are_counted_per_bucket(spark):
     df = spark.range(1000).selectExpr("if(id < 400, 0, id) as k")
     hot = find_hot_buckets(df, ["k"], SkewPolicy(min_rows=100))

@@ -6,7 +6,7 @@ import logging
 import pytest
 from pyspark.sql import functions as F
 
-from lamella.operators.tables import change_feed, compact, profile, write_balanced
+from lamella.operators.tables import change_feed, compact, profile, table_changes, write_balanced
 from lamella.plans import gold
 from lamella.plans.control import Operation, read_operations, run_group
 from lamella.plans.steps import Step, run_steps
@@ -20,6 +20,7 @@ from lamella.sources.tables import (
     read_table,
     replace_table,
     table_folders,
+    table_versions,
 )
 from lamella.streaming.bronze import ingest
 
@@ -109,6 +110,16 @@ def test_change_feed_kinds(spark):
     ]
 
 
+def test_changes_between_versions_of_a_table(spark, folder):
+    path = f"{folder}/t"
+    replace_table(spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string"), path)
+    append_table(spark.createDataFrame([(3, "c")], "id int, v string"), path)
+    delete_rows(spark, path, F.col("id") == 1)
+    assert table_versions(spark, path) == [0, 1, 2]
+    assert rows(table_changes(spark, path, ["id"], 0, 1)) == [(3, "c", "insert")]
+    assert rows(table_changes(spark, path, ["id"], 0)) == [(1, "a", "delete"), (3, "c", "insert")]
+
+
 def test_profile(spark):
     df = spark.createDataFrame([(1, None), (2, "x")], "id int, v string")
     assert rows(profile(df)) == [(0, "id", "int", 2, 0), (1, "v", "string", 2, 1)]
