@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -289,7 +290,13 @@ def current(history: DataFrame) -> DataFrame:
 
 
 def as_of(history: DataFrame, moment) -> DataFrame:
-    """The versions valid at ``moment``, a literal or a column."""
+    """The versions valid at ``moment``, a value or a column.
+
+    A time without a zone is taken as wall-clock time, in the session's zone where the
+    sequence has one.
+    """
+    if isinstance(moment, datetime) and moment.tzinfo is None:
+        moment = F.lit(moment.isoformat(" ")).cast(history.schema[VALID_FROM].dataType)
     at = moment if isinstance(moment, Column) else F.lit(moment)
     return history.where((F.col(VALID_FROM) <= at) & (F.col(VALID_TO).isNull() | (at < F.col(VALID_TO))))
 

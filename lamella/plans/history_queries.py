@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamella.operators.history import (
@@ -57,6 +57,10 @@ def versions_sql(source: str, keys: str, seq: str, tie: str, tracked: str, colum
 EVENT_VERSIONS = versions_sql("events", "user_id", "ts", "event_id", "event_type", ", ".join(EVENTS))
 
 
+def _day(text: str) -> Column:
+    return F.lit(text).cast("timestamp_ntz")
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(*EVENTS)
 
@@ -146,7 +150,7 @@ def _apply_in(spark: SparkSession, batches: list[DataFrame], **parameters) -> Si
 def scd2_late_events(spark, sf_dir):
     """The newest events arrive first, then the oldest, then those in between; one batch twice."""
     events = _events(spark, sf_dir)
-    old, new = F.col("ts") < datetime(2024, 1, 10), F.col("ts") >= datetime(2024, 1, 20)
+    old, new = F.col("ts") < _day("2024-01-10"), F.col("ts") >= _day("2024-01-20")
     silver = _apply_in(spark, [events.where(new), events.where(old), events.where(~old & ~new)])
     silver.apply(events.where(old), 1)
     return silver.read(spark)
@@ -195,7 +199,7 @@ def scd2_default_sequence(spark, sf_dir):
     events = _events(spark, sf_dir)
     root = work_dir(spark, "scd2-default-sequence")
     source = FileSource(f"{root}/files", "parquet", schema=events.schema, max_files=1_000_000)
-    first = F.col("ts") < datetime(2024, 1, 16)
+    first = F.col("ts") < _day("2024-01-16")
     for arrival in (first, ~first):
         write_files(events.where(arrival), f"{root}/files", "parquet")
         ingest(spark, source, f"{root}/bronze", f"{root}/checkpoint")
@@ -263,8 +267,7 @@ def scd2_current(spark, sf_dir):
     """,
 )
 def scd2_as_of(spark, sf_dir):
-    moment = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
-    return as_of(scd2(_events(spark, sf_dir), **TYPES), moment)
+    return as_of(scd2(_events(spark, sf_dir), **TYPES), datetime(2024, 1, 15))
 
 
 def _join_purchases(events: DataFrame, skew: SkewPolicy) -> DataFrame:

@@ -61,7 +61,7 @@ def infer_schema(
 ) -> T.StructType | None:
     """Schema of the files by a batch read; None when there is no file to look at.
 
-    Parquet, ORC and Avro read footers. CSV and JSON read the text once more, or a share
+    ``modified_after`` is a time in UTC. Parquet, ORC and Avro read footers. CSV and JSON read the text once more, or a share
     ``sampling`` of it; give ``FileSource.schema`` where that pass is too dear.
     """
     reader = spark.read.format(source.format).options(**source.reader_options())
@@ -72,7 +72,7 @@ def infer_schema(
     elif source.format == "parquet":
         reader = reader.option("mergeSchema", "true")
     if modified_after:
-        reader = reader.option("modifiedAfter", modified_after)
+        reader = reader.option("modifiedAfter", modified_after).option("timeZone", "UTC")
     try:
         found = reader.load(source.path).schema
     except AnalysisException as failure:

@@ -176,6 +176,20 @@ def test_added_columns_are_null_in_older_rows(spark, folder):
     assert rows(got, "id", "extra") == [(1, None), (2, "x")]
 
 
+def test_new_columns_are_found_in_any_session_time_zone(spark, folder):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for n, spark_zone in enumerate(("America/Los_Angeles", "Asia/Tokyo")):
+            spark.conf.set("spark.sql.session.timeZone", spark_zone)
+            source = FileSource(f"{folder}/{n}/files", "json")
+            for m, line in enumerate(('{"id": 1}', '{"id": 2, "extra": 1}')):
+                put(folder, f"{n}/files/{m}.json", line + "\n")
+                found = resolve_schema(spark, source, SchemaStore(spark, f"{folder}/{n}/schemas"))
+            assert found.names == ["id", "extra"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_integers_widen_and_old_files_still_read(spark, folder):
     source = FileSource(f"{folder}/files", "csv")
     store = SchemaStore(spark, f"{folder}/schemas")
