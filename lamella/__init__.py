@@ -1,0 +1 @@
+"""Layered data pipelines on Apache Spark: bronze files, silver history, gold tables."""

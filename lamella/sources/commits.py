@@ -19,20 +19,24 @@ class CommitLog:
     def __init__(self, spark: SparkSession, folder: str):
         self._spark = spark
         self._folder = folder.rstrip("/")
-        self._paths = spark._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._paths(self._folder).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _at(self, path: str):
+        """The file system of a path, and the path; tables and checkpoints may lie on two."""
+        where = self._spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self._spark._jsc.hadoopConfiguration()), where
 
     def exists(self, path: str) -> bool:
-        return self._fs.exists(self._paths(path))
+        fs, where = self._at(path)
+        return fs.exists(where)
 
     def children(self, path: str) -> list[str]:
-        if not self.exists(path):
-            return []
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._paths(path)))
+        fs, where = self._at(path)
+        return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
 
     def file_sizes(self, path: str) -> list[int]:
         """Sizes of the data files below ``path``."""
-        sizes, files = [], self._fs.listFiles(self._paths(path), True)
+        fs, where = self._at(path)
+        sizes, files = [], fs.listFiles(where, True)
         while files.hasNext():
             status = files.next()
             if not status.getPath().getName().startswith(("_", ".")):
@@ -40,7 +44,8 @@ class CommitLog:
         return sizes
 
     def read_text(self, path: str) -> str:
-        stream = self._fs.open(self._paths(path))
+        fs, where = self._at(path)
+        stream = fs.open(where)
         try:
             return self._spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
@@ -49,23 +54,25 @@ class CommitLog:
     def write_text(self, path: str, text: str) -> None:
         """Write to a hidden file, then rename: readers see all of it or nothing."""
         parent, name = path.rsplit("/", 1)
-        hidden = f"{parent}/.{name}.{uuid.uuid4().hex}"
-        stream = self._fs.create(self._paths(hidden), False)
+        fs, hidden = self._at(f"{parent}/.{name}.{uuid.uuid4().hex}")
+        stream = fs.create(hidden, False)
         try:
             stream.write(bytearray(text, "utf-8"))
         finally:
             stream.close()
-        if self.exists(path) or not self._fs.rename(self._paths(hidden), self._paths(path)):
+        if self.exists(path) or not fs.rename(hidden, self._at(path)[1]):
             raise FileExistsError(f"{path} was written by someone else")
 
     def replace_file(self, new: str, old: str) -> None:
         """Put the file ``new`` in the place of the file ``old``."""
-        self._fs.delete(self._paths(old), False)
-        if not self._fs.rename(self._paths(new), self._paths(old)):
+        fs, where = self._at(old)
+        fs.delete(where, False)
+        if not fs.rename(self._at(new)[1], where):
             raise OSError(f"could not move {new} to {old}")
 
     def delete_folder(self, path: str) -> None:
-        self._fs.delete(self._paths(path), True)
+        fs, where = self._at(path)
+        fs.delete(where, True)
 
     def numbers(self) -> list[int]:
         names = self.children(self._folder)

@@ -34,6 +34,7 @@ from lamella.operators.history import (
     usable_event,
 )
 from lamella.operators.skew import SkewPolicy, key_bucket, materialize, scratch_folder
+from lamella.session import work_dir
 from lamella.sources.commits import CommitLog
 from lamella.sources.schemas import merge_schemas
 from lamella.sources.tables import observed_rows
@@ -168,6 +169,7 @@ class SilverTable:
         schema = merge_schemas(before, events.schema) if before else merge_schemas(T.StructType(), events.schema)
         state["schema"] = schema.json()
         gen = f"g{number + 1:08d}-{uuid.uuid4().hex[:8]}"
+        scratch = work_dir(spark, "silver")
         # usable and unusable events are written in one pass over the batch
         marked = events.withColumns(
             {
@@ -186,7 +188,7 @@ class SilverTable:
         if self._log.exists(f"{incoming}/usable=true"):
             batch_events = self._logged(spark, state, [gen]).drop(GEN)
             touched = sorted(int(n.split("=")[1]) for n in self._log.children(f"{incoming}/usable=true") if "=" in n)
-            with scratch_folder(f"{self._path}/scratch/{gen}"):
+            with scratch_folder(scratch):
                 if self._type == 1:
                     runs, rewritten = self._apply_latest(spark, state, batch_events, touched), {}
                 else:
@@ -194,7 +196,7 @@ class SilverTable:
                     runs, rewritten = self._apply_history(spark, state, batch_events, touched, rows)
                 self._write_runs(runs, gen, state, touched, rewritten)
         self._log.commit(number + 1, state)
-        self._log.delete_folder(f"{self._path}/scratch/{gen}")
+        self._log.delete_folder(scratch)
         return True
 
     def _write_runs(self, runs: DataFrame, gen: str, state: dict, touched: list[int], rewritten: dict) -> None:
@@ -317,7 +319,6 @@ class SilverTable:
             state = self._log.get(number)
             used["runs"] |= {*state["closed"], *state["open"].values()}
             used["log"] |= {*state["log"], *state["quarantine"]}
-        self._log.delete_folder(f"{self._path}/scratch")
         removed = 0
         for part, live in used.items():
             for name in self._log.children(f"{self._path}/{part}"):

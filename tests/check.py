@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 from decimal import Decimal
@@ -60,7 +61,7 @@ if __name__ == "__main__":
     from lamella.session import local_session
 
     spark = local_session()
-    sf_dir = f"{TESTDATA}/sf0.01"
+    sf_dir = f"{TESTDATA}/sf{os.environ.get('CHECK_SF', '0.01')}"
     con = connect(sf_dir)
     wanted, failed = sys.argv[1:], 0
     for name, body in entry.queries().items():
