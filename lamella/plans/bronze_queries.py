@@ -53,7 +53,7 @@ def bronze_orc(spark, sf_dir):
 def bronze_json_multiline(spark, sf_dir):
     df = table(spark, sf_dir, "customer")
     root = work_dir(spark, "bronze-multiline")
-    write_json_documents(df, f"{root}/files", F.floor(F.col("c_custkey") / 10_000))
+    write_json_documents(df, f"{root}/files")
     source = FileSource(f"{root}/files", "json", schema=df.schema, multi_line=True)
     ingest(spark, source, f"{root}/bronze", f"{root}/checkpoint")
     return spark.read.parquet(f"{root}/bronze").drop(AUDIT)

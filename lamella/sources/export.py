@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,16 +30,21 @@ def write_control_table(df: DataFrame, path: str) -> None:
     df.write.options(sep="\t", header="true", escape='"').csv(path)
 
 
-def write_json_documents(df: DataFrame, path: str, chunk, rows_per_document: int = 10_000) -> None:
+def _documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        if len(batch):
+            yield pd.DataFrame({"value": ["[\n" + ",\n".join(batch["row"]) + "\n]"]})
+
+
+def write_json_documents(df: DataFrame, path: str) -> None:
     """JSON documents, each an array over several lines in a file of its own.
 
-    ``chunk`` is a column that groups rows; a group should have about
-    ``rows_per_document`` rows, as each document is built by one task.
+    A document holds one Arrow batch, so it is bounded by
+    ``spark.sql.execution.arrow.maxRecordsPerBatch`` rows, and nothing is shuffled.
     """
-    rows = F.collect_list(F.to_json(F.struct(*df.columns), {"timestampNTZFormat": MICROSECONDS}))
-    documents = df.groupBy(chunk.alias("_chunk")).agg(rows.alias("_rows"))
-    text = F.concat(F.lit("[\n"), F.array_join("_rows", ",\n"), F.lit("\n]"))
-    documents.select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    rows = df.select(F.to_json(F.struct(*df.columns), {"timestampNTZFormat": MICROSECONDS}).alias("row"))
+    documents = rows.mapInPandas(_documents, "value string")
+    documents.write.option("maxRecordsPerFile", 1).text(path)
 
 
 def convert(spark: SparkSession, source: FileSource, schema: T.StructType, target: str) -> None:
