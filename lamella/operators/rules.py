@@ -149,6 +149,11 @@ def validate(df: DataFrame, rules: Sequence[Rule], key: str | Column) -> DataFra
     return out
 
 
+def invalid_values(df: DataFrame, column: str, allowed: Sequence) -> DataFrame:
+    """The distinct values outside ``allowed``, null among them; combined before the shuffle."""
+    return df.where(in_set(column, allowed).broken).select(column).distinct()
+
+
 def is_broken(rules: Sequence[Rule]) -> Column:
     return reduce(lambda a, b: a | b, [F.coalesce(r.broken, F.lit(False)) for r in rules], F.lit(False))
 

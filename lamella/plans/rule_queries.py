@@ -23,6 +23,20 @@ def rule_in_set(spark, sf_dir):
     return R.validate(orders, [R.in_set("o_orderstatus", ["F", "O"])], "o_orderkey")
 
 
+@query(
+    "rule_invalid_values",
+    """
+    SELECT DISTINCT o_orderpriority FROM (
+      SELECT CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_orderpriority END AS o_orderpriority FROM orders)
+    WHERE o_orderpriority IS NULL OR o_orderpriority NOT IN ('1-URGENT', '2-HIGH')
+    """,
+)
+def rule_invalid_values(spark, sf_dir):
+    priority = F.when(F.col("o_orderkey") % 10 != 0, F.col("o_orderpriority"))
+    orders = table(spark, sf_dir, "orders").withColumn("o_orderpriority", priority)
+    return R.invalid_values(orders, "o_orderpriority", ["1-URGENT", "2-HIGH"])
+
+
 @query(
     "rule_not_null",
     """
