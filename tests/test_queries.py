@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
+from lamella.plans.registry import ORACLE, QUERIES
 
 from .check import TESTDATA, compare, connect
 
@@ -16,9 +17,9 @@ def duck():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", entry.queries())
+@pytest.mark.parametrize("name", QUERIES)
 def test_query_matches_its_sql(spark, duck, name):
-    assert compare(spark, duck, entry.queries()[name], entry.oracle_sql().get(name), SF_DIR) == ""
+    assert compare(spark, duck, entry.queries()[name], entry.oracle_sql()[name], SF_DIR) == ""
 
 
 def test_entry_has_rows(spark):
@@ -26,4 +27,4 @@ def test_entry_has_rows(spark):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
