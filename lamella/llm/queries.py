@@ -8,6 +8,7 @@ from lamella.llm.catalog import query, table
 from lamella.llm.decontamination import items_digest, n_hit, overlaps
 from lamella.llm.license_scan import scan_licenses
 from lamella.llm.near_duplicates import near_duplicates
+from lamella.llm.quality import judge, learn
 from lamella.llm.sharding import shard_documents
 
 
@@ -33,3 +34,9 @@ def op3(spark, sf_dir):
 @query("op8_virtual_slot_sharding")
 def op8(spark, sf_dir):
     return shard_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op2_decision_list_quality")
+def op2(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    return judge(documents, learn(documents, table(spark, sf_dir, "labels")))
