@@ -7,7 +7,7 @@ precise there; what it covers is set aside and the next rule begins. Every step
 Spark aggregate over binned statistics, whose histogram (statistics x bins) is all that the
 driver sees. The list is emitted as an ordered CASE expression.
 
-Words that mark toxic documents are learned from the same rows and enter as one statistic.
+Word stems that mark toxic documents are learned from the same rows and enter as one statistic.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ class Covering:
     """How the list is learned.
 
     ``sample`` bounds the labelled documents, taken by hash of their id; ``lexicon`` the
-    marked words, each in at least ``support`` of the toxic documents and ``purity`` of
+    marked stems, each in at least ``support`` of the toxic documents and ``purity`` of
     whose documents are toxic.
     """
 
@@ -40,10 +40,10 @@ class Covering:
     rules: int = 8
     conditions: int = 3
     precision: float = 0.95
-    least: int = 10
+    least: int = 6
     lexicon: int = 48
-    support: float = 0.01
-    purity: float = 0.8
+    support: float = 0.02
+    purity: float = 0.97
 
 
 DEFAULT = Covering()
@@ -136,7 +136,7 @@ def with_measures(df: DataFrame, marked: tuple[str, ...]) -> DataFrame:
 
     hits = F.lit(0)
     if marked:
-        hits = count(r"(?i)(?<!\p{L})(?:" + "|".join(map(re.escape, marked)) + r")(?!\p{L})")
+        hits = F.regexp_count(F.lower("_text"), F.lit(r"(?<!\p{L})(?:" + "|".join(map(re.escape, marked)) + ")"))
     df = bind(
         df,
         length=F.col("n_words").cast("double"),
@@ -165,21 +165,30 @@ def labelled(docs: DataFrame, labels: DataFrame, how: Covering = DEFAULT) -> Dat
     return rows.select("doc_id", "text", F.col("_toxic").alias("toxic"), (F.col("_toxic") | F.col("_poor")).alias("bad"))
 
 
-def marked_words(rows: DataFrame, how: Covering = DEFAULT) -> tuple[str, ...]:
-    """Words whose documents are mostly toxic, most frequent first. Copies of a text count once."""
+def marked_stems(rows: DataFrame, how: Covering = DEFAULT) -> tuple[str, ...]:
+    """Beginnings of words whose documents are toxic, most frequent first.
+
+    Words are lower-cased; their first four, five and six letters count, shorter words
+    whole. Copies of a text count once. Of nested stems the shortest that is pure stays.
+    """
     texts = rows.groupBy(F.xxhash64("text").alias("copy")).agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))
-    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
-    counts = texts.select("toxic", F.explode(words).alias("word")).where("length(word) > 2").groupBy("word")
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.length(w) > 3)
+    stems = F.array_distinct(F.flatten(F.transform(words, lambda w: F.array(*(F.left(w, F.lit(k)) for k in (4, 5, 6))))))
+    counts = texts.select("toxic", F.explode(stems).alias("stem")).groupBy("stem")
     counts = counts.agg(F.count_if("toxic").alias("bad"), F.count("*").alias("n"))
     toxic = texts.agg(F.count_if("toxic")).first()[0]
     found = counts.where((F.col("bad") >= max(how.least, how.support * toxic)) & (F.col("bad") >= how.purity * F.col("n")))
-    return tuple(r.word for r in found.orderBy(F.desc("bad"), "word").limit(how.lexicon).collect())
+    out: list[str] = []
+    for r in found.orderBy(F.desc("bad"), F.length("stem"), "stem").limit(4 * how.lexicon).collect():
+        if len(out) < how.lexicon and not any(r.stem.startswith(known) for known in out):
+            out.append(r.stem)
+    return tuple(out)
 
 
 def learn(docs: DataFrame, labels: DataFrame, how: Covering = DEFAULT) -> DecisionList:
     """The decision list of the labelled documents; empty where there are none of either class."""
     rows = hold(labelled(docs, labels, how), "labelled")
-    marked = marked_words(rows, how)
+    marked = marked_stems(rows.where(_growing()), how)
     rows = with_measures(with_statistics(rows), marked).where(~base_failed())
     measured = hold(rows.select("doc_id", "bad", *MEASURES), "measured")
     shares = [0.01, 0.02, 0.05, *(k / 10 for k in range(1, 10)), 0.95, 0.98, 0.99]
@@ -191,8 +200,7 @@ def learn(docs: DataFrame, labels: DataFrame, how: Covering = DEFAULT) -> Decisi
     if not cuts.bad or cuts.bad == cuts.n:
         return DecisionList((), marked)
     edges = {m: sorted({c for c in cuts[m]} | ({1.0, 2.0, 3.0} if m == "marked" else set())) for m in MEASURES}
-    growing = F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(3)) > 0
-    parted = measured.withColumn("grows", growing)
+    parted = measured.withColumn("grows", _growing())
 
     rules: list[tuple[Condition, ...]] = []
     left = parted
@@ -208,6 +216,11 @@ def learn(docs: DataFrame, labels: DataFrame, how: Covering = DEFAULT) -> Decisi
     return DecisionList(tuple(rules), marked)
 
 
+def _growing() -> Column:
+    """The part of the labelled rows that rules and stems are grown on; the rest prunes."""
+    return F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(3)) > 0
+
+
 def _histogram(rows: DataFrame, edges: dict[str, list[float]]) -> dict[str, dict[int, tuple[int, int]]]:
     """Of each measure the bad and good rows per bin; bin k holds values from edge k - 1 up to edge k."""
     entries = []
