@@ -6,12 +6,21 @@ from pyspark.sql import functions as F
 
 from lamella.llm.catalog import query, table
 from lamella.llm.decontamination import items_digest, n_hit, overlaps
+from lamella.llm.language_model import held_out, score_documents, train
 from lamella.llm.license_scan import scan_licenses
 from lamella.llm.near_duplicates import near_duplicates
+from lamella.llm.packing import pack_documents
 from lamella.llm.quality import judge, learn
 from lamella.llm.sharding import shard_documents
 
 
+def byte_pairs() -> str:
+    """Place of the public tokenizer's file, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 @query("op1_minhash_near_dedup")
 def op1(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
@@ -40,3 +49,16 @@ def op8(spark, sf_dir):
 def op2(spark, sf_dir):
     documents = table(spark, sf_dir, "documents")
     return judge(documents, learn(documents, table(spark, sf_dir, "labels")))
+
+
+@query("op5_certified_best_fit_packing")
+def op5(spark, sf_dir):
+    return pack_documents(table(spark, sf_dir, "documents"), byte_pairs())
+
+
+@query("op7_backoff_automaton_scores")
+def op7(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    automaton, words = train(documents.where(~held_out()))
+    scores = score_documents(documents, automaton, words)
+    return scores.select("doc_id", held_out().alias("held_out"), *scores.columns[1:])
