@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lamella.llm import language_id
 from lamella.llm.catalog import query, table
 from lamella.llm.decontamination import items_digest, n_hit, overlaps
 from lamella.llm.language_model import held_out, score_documents, train
@@ -62,3 +63,11 @@ def op7(spark, sf_dir):
     automaton, words = train(documents.where(~held_out()))
     scores = score_documents(documents, automaton, words)
     return scores.select("doc_id", held_out().alias("held_out"), *scores.columns[1:])
+
+
+@query("op9_string_kernel_language_id")
+def op9(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    test = language_id.held_out()
+    classifier = language_id.fitted(language_id.training_texts(documents.where(~test)))
+    return language_id.identify(documents, classifier).select("doc_id", test.alias("held_out"), "lang_pred", "score")
