@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lamella.llm import language_id
+from lamella.llm import language_id, pii
 from lamella.llm.catalog import query, table
 from lamella.llm.decontamination import items_digest, n_hit, overlaps
 from lamella.llm.language_model import held_out, score_documents, train
@@ -71,3 +71,9 @@ def op9(spark, sf_dir):
     test = language_id.held_out()
     classifier = language_id.fitted(language_id.training_texts(documents.where(~test)))
     return language_id.identify(documents, classifier).select("doc_id", test.alias("held_out"), "lang_pred", "score")
+
+
+@query("op10_boosted_personal_data")
+def op10(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    return pii.find_personal_data(documents, pii.learn(documents))
