@@ -247,3 +247,13 @@ def near_duplicates(docs: DataFrame, how: MinHash = DEFAULT) -> DataFrame:
     joined = sketched.join(of_set, "set_key", "left")
     component = F.coalesce("component", "doc_id")
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, how: MinHash = DEFAULT) -> DataFrame:
+    """The rows of ``docs`` that are kept: of each component the document with the smallest id.
+
+    Rows of one id are one document and stay or go together; so do all rows without an id,
+    which stay unless each is a copy of a document that has one.
+    """
+    kept = near_duplicates(docs, how).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
