@@ -226,7 +226,7 @@ def near_duplicates(docs: DataFrame, how: MinHash = DEFAULT) -> DataFrame:
     members = unsettled.select("node").distinct()
     alone = _alone(sets.join(members, "node", "left_semi"))
     facts = known.join(members, "node", "left_semi").join(alone, "node", "left")
-    facts = facts.select("node", "packed", "n", F.coalesce("alone", F.lit(0)).alias("alone"))
+    facts = facts.select("node", "packed", "bands", "n", F.coalesce("alone", F.lit(0)).alias("alone"))
     # shingles of its own alone keep a document below the threshold with any other
     facts = facts.where(F.lit(100) * (F.col("n") - F.col("alone")) >= how.percent * F.col("n"))
     side = unsettled.join(facts, "node")
@@ -236,9 +236,11 @@ def near_duplicates(docs: DataFrame, how: MinHash = DEFAULT) -> DataFrame:
     met = x.join(
         y,
         (F.col("x.band") == F.col("y.band")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label"))
-        & (100 * shared >= how.percent * union) & _plausible("x.packed", "y.packed", how),
+        & (100 * shared >= how.percent * union) & _plausible("x.packed", "y.packed", how)
+        # a pair comes from the first of the bands it shares, not from each
+        & (F.col("x.band") == F.array_min(F.array_intersect("x.bands", "y.bands"))),
     )
-    rest = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    rest = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()  # bands may repeat in one document
     more = hold(_confirmed(rest, sets, how), "links")
     bridges = label.select(F.col("node").alias("a"), F.col("component").alias("b"))
     final = components(bridges.union(more))
