@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import math
+import struct
 import zlib
 from bisect import bisect_left, insort
 from dataclasses import dataclass
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lamella.llm.rows import hold
 
-WORDS_KEPT = 300_000
+STRETCHES_KEPT = 400_000
 
 
 @dataclass(frozen=True)
@@ -56,34 +57,41 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}  # the last full table; what is met again moves over
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        known = self.known
-        if len(known) > WORDS_KEPT:
-            known.clear()
+        if len(self.known) > STRETCHES_KEPT:
+            self.before, self.known = self.known, {}
+        known, before = self.known, self.before
         cut = [stretches(text) for text in texts]
-        new = list({s for row in cut for s in row if s not in known})
+        met = {s for row in cut for s in row if s not in known}
+        known.update((s, before[s]) for s in met if s in before)
+        new = [s for s in met if s not in known]
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             for s, found in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                known[s] = np.asarray(found.ids, "<u4").tobytes()
+                known[s] = struct.pack(f"<{len(found)}I", *found.ids)
         return [b"".join(map(known.__getitem__, row)) for row in cut]
 
 
 def stretches(text: str) -> list[str]:
     """The text cut before each blank or line end that follows another character."""
-    out, held = [], ""
+    out: list[str] = []
     for number, line in enumerate(text.split("\n")):
-        for place, part in enumerate(line.split(" ")):
-            separator = "" if not (number or place) else " " if place else "\n"
-            if held and separator and not held[-1].isspace():
-                out.append(held)
-                held = separator + part
+        parts = line.split(" ")
+        parts[1:] = [" " + part for part in parts[1:]]
+        if number:
+            parts[0] = "\n" + parts[0]
+        out += parts
+    if "  " in text or "\n\n" in text or any(s[-1:].isspace() for s in out) or "" in out:
+        whole: list[str] = []  # white space before a cut stays with what follows
+        for part in out:
+            if whole and (not whole[-1] or whole[-1][-1].isspace()):
+                whole[-1] += part
             else:
-                held += separator + part
-    if held:
-        out.append(held)
+                whole.append(part)
+        return [s for s in whole if s]
     return out
 
 
