@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from lamella.llm.rows import WordHashes, hold, mixed, spaced_words
 
+TOGETHER = 2_000_000  # tokens that a task adds up at a time
 END = np.uint64(0x2545F4914F6CDD1D)  # of the end token, and of the place before the first word
 
 
@@ -57,29 +58,37 @@ def _pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return mixed(mixed(first) ^ second)
 
 
-def _counts(texts: DataFrame) -> DataFrame:
-    """kind (0 word, 1 pair), key, n, first, second over all texts, added up batch by batch."""
+def _counts(texts: DataFrame, pairs: bool) -> DataFrame:
+    """Counts of words (key, n) or of pairs (first, second, n) over all texts, added up in tasks first."""
+    names = ["first", "second", "n"] if pairs else ["key", "n"]
+
+    def added(tokens: list[np.ndarray]) -> pa.RecordBatch:
+        second = np.concatenate(tokens)
+        if not pairs:
+            return _batch([*np.unique(second, return_counts=True)], names)
+        first = np.concatenate([_before(x) for x in tokens])
+        _, places, n = np.unique(_pair(first, second), return_index=True, return_counts=True)
+        return _batch([first[places], second[places], n], names)
 
     def run(batches):
-        words = WordHashes()
+        words, held, size = WordHashes(), [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                column = batch.column(0).slice(at, 2000).to_pylist()
-                all_ = [_hashes(t, words) for t in column]
-                first = np.concatenate([_before(x) for x in all_])
-                second = np.concatenate(all_)
-                values, n = np.unique(second, return_counts=True)
-                keys, places, m = np.unique(_pair(first, second), return_index=True, return_counts=True)
-                yield _batch([np.zeros(len(values)), values, n, values, values], names)
-                yield _batch([np.ones(len(keys)), keys, m, first[places], second[places]], names)
+            for at in range(0, batch.num_rows, 256):
+                for text in batch.column(0).slice(at, 256).to_pylist():
+                    held.append(_hashes(text, words))
+                    size += len(held[-1])
+                    if size > TOGETHER:
+                        yield added(held)
+                        held, size = [], 0
+        if held:
+            yield added(held)
 
-    names = ["kind", "key", "n", "first", "second"]
-    each = texts.select("text").mapInArrow(run, "kind long, key long, n long, first long, second long")
-    return each.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.max("first").alias("first"), F.max("second").alias("second"))
+    each = texts.select("text").mapInArrow(run, ", ".join(f"{name} long" for name in names))
+    return each.groupBy(*names[:-1]).agg(F.sum("n").alias("n"))
 
 
 def _batch(columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64)) for c in columns], names)
+    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], names)
 
 
 @dataclass
@@ -137,15 +146,20 @@ def _most_frequent(counts: DataFrame, least: int, most: int) -> DataFrame:
 
 def train(texts: DataFrame, how: Backoff = DEFAULT) -> tuple[Automaton, DataFrame]:
     """The automaton of the texts, and the table (key, n) of all words' counts."""
-    counts = hold(_counts(texts), "counts")
-    words, pairs = counts.where("kind = 0"), counts.where("kind = 1")
+    words = hold(_counts(texts, False), "words")
     totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    arcs = _most_frequent(pairs, how.least, how.pairs).select("key", "n", "first", "second")
-    from_word = pairs.groupBy("first").agg(F.sum("n").alias("total"))
-    arcs = arcs.join(from_word, "first").join(words.select(F.col("key").alias("second"), F.col("n").alias("word_n")), "second")
-    model = arcs.select("key", "first", ((F.col("n") - how.discount) / F.col("total")).alias("p"), ((F.col("word_n") + 1) / (totals.n + totals.v + 1)).alias("q"))
+    pairs = hold(_counts(texts, True).where(F.col("n") >= how.least), "pairs")
+    arcs = _most_frequent(pairs, how.least, how.pairs)
+    # something follows every word, and the end stands for the beginning: totals are the words' counts
+    arcs = arcs.join(words.select(F.col("key").alias("first"), F.col("n").alias("total")), "first")
+    arcs = arcs.join(words.select(F.col("key").alias("second"), F.col("n").alias("word_n")), "second")
+    model = arcs.select(
+        "first", "second", ((F.col("n") - how.discount) / F.col("total")).alias("p"),
+        ((F.col("word_n") + 1) / (totals.n + totals.v + 1)).alias("q"),
+    )
     got = model.toArrow()  # at most how.pairs rows
-    key, first = (got.column(c).to_numpy().view(np.uint64) for c in ("key", "first"))
+    first, second = (got.column(c).to_numpy().view(np.uint64) for c in ("first", "second"))
+    key = _pair(first, second)
     p, q = (got.column(c).to_numpy() for c in ("p", "q"))
     order = np.argsort(key)
     states, where = np.unique(first, return_inverse=True)
