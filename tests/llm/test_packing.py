@@ -6,6 +6,7 @@ import random
 import zlib
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -32,6 +33,15 @@ def test_stretches_have_the_ids_of_the_whole():
         assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_whole_vocabulary_and_given_texts():
+    whole = Tokenizer.from_file(PATH)
+    whole.encode_special_tokens = True
+    texts = [t for t, in duckdb.sql("select text from '/root/testdata/sf0.1/documents.parquet' limit 1500").fetchall()]
+    texts += [whole.decode([k]) for k in range(0, 50256, 7)]
+    ids = [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in Encoder(PATH).ids(texts)] == ids
+
+
 def check(rows, documents, capacity=1024):
     whole = Tokenizer.from_file(PATH)
     whole.encode_special_tokens = True
