@@ -41,4 +41,4 @@ def label(c: str | Column) -> Column:
 
 def is_blank(c: str | Column) -> Column:
     """Null, empty or white space."""
-    return F.coalesce(F.trim(_col(c)) == "", F.lit(True))
+    return F.coalesce(~_col(c).cast("string").rlike(r"(?U)\S"), F.lit(True))

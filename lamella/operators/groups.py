@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamella.functions import json as J
+from lamella.functions.text import is_blank
 
 
 def group_count(df: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -23,16 +24,18 @@ def group_all_match(df: DataFrame, by: Sequence[str], condition: Column, name: s
 def first_by_priority(
     df: DataFrame, by: Sequence[str], value: str, priority: Sequence[str | Column], default=None, name: str | None = None
 ) -> DataFrame:
-    """The first value per group, by ascending priority, that is neither null nor blank."""
-    given = F.when(F.trim(F.col(value).cast("string")) != "", F.col(value))
-    order = F.when(given.isNotNull(), F.struct(*priority))
+    """The first value per group, by ascending priority, nulls last, that is neither null nor blank."""
+    given = F.when(~is_blank(value), F.col(value))
+    ranks = [F.col(p) if isinstance(p, str) else p for p in priority]
+    order = F.when(given.isNotNull(), F.struct(*(c for p in ranks for c in (p.isNull(), p))))
     best = F.min_by(given, order)
     return df.groupBy(*by).agg((F.coalesce(best, F.lit(default)) if default is not None else best).alias(name or value))
 
 
 def group_min_by(df: DataFrame, by: Sequence[str], value: str, derived: Column, name: str | None = None) -> DataFrame:
-    """The value with the smallest derived number per group; of equals, the smallest value."""
-    return df.groupBy(*by).agg(F.min_by(F.col(value), F.struct(derived, F.col(value))).alias(name or value))
+    """The value with the smallest derived number per group; of equals, the smallest value. Rows without one do not count."""
+    order = F.when(derived.isNotNull(), F.struct(derived, F.col(value)))
+    return df.groupBy(*by).agg(F.min_by(F.col(value), order).alias(name or value))
 
 
 def sort_by_json_number(df: DataFrame, column: str, key: str, *then: str | Column, default: int = 0) -> DataFrame:

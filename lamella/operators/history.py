@@ -67,6 +67,8 @@ class HistorySpec:
             raise ValueError(f"columns not found: {missing}; the input has {list(columns)}")
         if set(keys) & set(drop):
             raise ValueError("key columns cannot be dropped")
+        if set(tracked or ()) & {*untracked, *drop}:
+            raise ValueError("tracked columns cannot be untracked or dropped")
         if tracked is None:
             skipped = {*keys, sequence_by, *tie_break, *untracked, *drop}
             tracked = [c for c in columns if c not in skipped and not c.startswith("_")]

@@ -43,14 +43,21 @@ def local_session(cores: int = 8, app: str = "lamella") -> SparkSession:
     return spark
 
 
+def runs_in_one_process(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for ``checkpoint()`` and working tables.
 
     The cluster names it in ``spark.checkpoint.dir``. A temporary folder is made only
-    where that is unset, which is the case in tests on one machine.
+    where that is unset and all runs in one process, as in tests; elsewhere executors could
+    not see it, so an unset folder is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
+    if not named and context.getCheckpointDir() is None and not runs_in_one_process(context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lamella-"))
     return named or context.getCheckpointDir()

@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lamella.operators.history import INGESTED
+
+# The format names of the configuration.
 FORMATS = ("json", "parquet", "csv", "avro", "orc")
 CORRUPT = "_corrupt_record"
 
@@ -108,7 +111,7 @@ def stream_files(spark: SparkSession, source: FileSource, schema: T.StructType)
 
 def with_audit(df: DataFrame) -> DataFrame:
     """Add the ingestion time, the same for all rows of a micro-batch."""
-    return df.selectExpr("*", "current_timestamp() as _ingestion_timestamp")
+    return df.withColumn(INGESTED, F.current_timestamp())
 
 
 def split_corrupt(df: DataFrame) -> tuple[DataFrame, DataFrame]:
