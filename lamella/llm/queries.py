@@ -13,6 +13,7 @@ from lamella.llm.near_duplicates import near_duplicates
 from lamella.llm.packing import pack_documents
 from lamella.llm.quality import judge, learn
 from lamella.llm.sharding import shard_documents
+from lamella.llm.token_counts import length_histogram
 
 
 def byte_pairs() -> str:
@@ -52,6 +53,11 @@ def op2(spark, sf_dir):
     return judge(documents, learn(documents, table(spark, sf_dir, "labels")))
 
 
+@query("op4_exact_length_histogram")
+def op4(spark, sf_dir):
+    return length_histogram(table(spark, sf_dir, "documents"), byte_pairs())
+
+
 @query("op5_certified_best_fit_packing")
 def op5(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), byte_pairs())
