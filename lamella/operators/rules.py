@@ -177,15 +177,15 @@ def append_validated(path: str, rows: DataFrame, rules: Sequence[Rule], key: str
     """Append all of ``rows`` to the table, or nothing and raise.
 
     The rules are checked on the union of the stored and the new rows; columns missing
-    from the new rows take their default, and nulls do too.
+    from the new rows take their default, and nulls do too. Columns that the table lacks
+    widen it. The new rows are written before they are checked, so what is checked is
+    what becomes visible, whatever ``rows`` is computed from.
     """
-    spark = rows.sparkSession
     for name, value in (defaults or {}).items():
         given = F.coalesce(F.col(name), F.lit(value)) if name in rows.columns else F.lit(value)
         rows = rows.withColumn(name, given)
-    stored = read_table(spark, path)
-    require(stored.unionByName(rows, allowMissingColumns=True), rules, key)
-    return append_table(rows.select(*[c for c in stored.columns if c in rows.columns]), path)
+    stored = read_table(rows.sparkSession, path)
+    return append_table(rows, path, lambda new: require(stored.unionByName(new, allowMissingColumns=True), rules, key))
 
 
 def delete_by_value(spark: SparkSession, path: str, column: str, value) -> bool:

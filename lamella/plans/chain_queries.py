@@ -171,3 +171,41 @@ def control_table_run(spark, sf_dir):
     operations = read_operations(spark, f"{root}/control")
     bodies = {"large_parts": large_parts, "inventory": inventory}
     return run_group(spark, operations, "parts", f"{root}/tables", bodies, buckets=8)["gold.inventory"]
+
+
+WIDENED_SUPPLIERS = """
+    SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 2 = 1 THEN s_acctbal END AS s_acctbal, s_suppkey % 2 = 1 AS in_second
+    FROM supplier
+    """
+
+
+def _widened_suppliers(spark, sf_dir, options):
+    """A second file has a further column; both runs of the group end in the silver table."""
+    suppliers, odd = table(spark, sf_dir, "supplier"), F.col("s_suppkey") % 2 == 1
+    root = work_dir(spark, "control-wider")
+    silver = '{"keys": ["s_suppkey"], "stored_as_scd_type": "2"}'
+    rows = [
+        ("bronze", "suppliers", "file", "parquet", f"{root}/files", "main.bronze.suppliers", options),
+        ("silver", "suppliers", "table", None, "main.bronze.suppliers", "main.silver.suppliers", silver),
+    ]
+    columns = "operation_type, pipeline_group, source_type, file_format, source_path, target_table, pipeline_config"
+    write_control_table(spark.createDataFrame(rows, columns.split(", ")).coalesce(1), f"{root}/control")
+    operations = read_operations(spark, f"{root}/control")
+    narrow = suppliers.where(~odd).select("s_suppkey", "s_name")
+    for arrival in (narrow, suppliers.where(odd).select("s_suppkey", "s_name", "s_acctbal")):
+        write_files(arrival, f"{root}/files", "parquet")
+        tables = run_group(spark, operations, "suppliers", f"{root}/tables", buckets=8)
+    bronze = tables["bronze.suppliers"].select("s_suppkey", F.col("s_acctbal").isNotNull().alias("in_second"))
+    current = tables["silver.suppliers"].where("_is_current").select("s_suppkey", "s_name", "s_acctbal")
+    return current.join(bronze, "s_suppkey")
+
+
+@query("bronze_schema_evolve_control", WIDENED_SUPPLIERS)
+def bronze_schema_evolve_control(spark, sf_dir):
+    return _widened_suppliers(spark, sf_dir, "{}")
+
+
+@query("control_table_overwrites", WIDENED_SUPPLIERS)
+def control_table_overwrites(spark, sf_dir):
+    """The same where rewritten files are taken again, which has a layout of its own."""
+    return _widened_suppliers(spark, sf_dir, '{"cloudFiles.allowOverwrites": "true"}')

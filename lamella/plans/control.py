@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 from lamella.operators import rules as R
 from lamella.operators.history import INGESTED
 from lamella.plans.steps import Body, Step, StepParams, run_steps
+from lamella.sources.changed_files import changed_runs
 from lamella.sources.files import FORMATS, FileSource, read_control_table
 from lamella.sources.tables import TableRef, read_table, replace_table, stream_table
-from lamella.streaming.bronze import ingest
+from lamella.streaming.bronze import bronze_schema, ingest, read_bronze
 from lamella.streaming.silver import SilverTable
 
 # The operation types, and below the option names, of the control tables.
@@ -76,6 +77,9 @@ class Operation:
             options={k: str(v) for k, v in given.items()},
         )
 
+    def schema_dir(self, root: str) -> str:
+        return self.config.get("cloudFiles.schemaLocation") or f"{self.target.path(root)}.schemas"
+
     def silver_table(self, spark: SparkSession, root: str, **settings) -> SilverTable:
         """``track_history_except_column_list`` keeps the columns without versioning on them;
         ``except_column_list`` leaves them out."""
@@ -131,13 +135,20 @@ def run_group(
     for op in (o for o in mine if o.kind == "bronze"):
         path = op.target.path(root)
         checkpoint = op.config.get("cloudFiles.checkpointLocation") or f"{path}.checkpoint"
-        schemas = op.config.get("cloudFiles.schemaLocation") or f"{path}.schemas"
-        ingest(spark, op.file_source(), path, checkpoint, schema_dir=schemas)
-        tables[_name(op)] = spark.read.parquet(path)
+        ingest(spark, op.file_source(), path, checkpoint, schema_dir=op.schema_dir(root))
+        tables[_name(op)] = read_bronze(spark, op.file_source(), path, op.schema_dir(root))
+    written = {o.target: o for o in operations if o.kind == "bronze"}
     for op in (o for o in mine if o.kind == "silver"):
         silver = op.silver_table(spark, root, **silver_settings)
-        source = stream_table(spark, TableRef.parse(op.source).path(root))
-        silver.start(source, f"{op.target.path(root)}.checkpoint")
+        origin = TableRef.parse(op.source)
+        path, bronze = origin.path(root), written.get(origin)
+        schema = bronze_schema(spark, bronze.file_source(), bronze.schema_dir(root)) if bronze else None
+        if bronze and bronze.file_source().allow_overwrites:
+            first = silver.applied(_name(bronze)) + 1
+            for number, run in enumerate(changed_runs(spark, path, schema, first), first):
+                silver.apply(run, number, _name(bronze))
+        else:
+            silver.start(stream_table(spark, path, schema), f"{op.target.path(root)}.checkpoint")
         tables[_name(op)] = silver.read(spark)
     for op in (o for o in mine if o.kind == "gold"):
         path = op.target.path(root)

@@ -170,6 +170,19 @@ def scd2_incremental(spark, sf_dir):
     return silver.read(spark)
 
 
+@query("scd2_incremental_key_widened", EVENT_VERSIONS)
+def scd2_incremental_key_widened(spark, sf_dir):
+    """The key arrives as int, then as bigint, then as int again."""
+    events = _events(spark, sf_dir)
+    stored = events.schema["user_id"].dataType
+    batches = [
+        events.where(F.col("event_id") % 3 == n).withColumn("user_id", F.col("user_id").cast(dtype))
+        for n, dtype in enumerate(("int", "bigint", "int"))
+    ]
+    history = _apply_in(spark, batches).read(spark)
+    return history.withColumn("user_id", F.col("user_id").cast(stored))
+
+
 @query(
     "scd1_incremental",
     "SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",

@@ -236,6 +236,24 @@ def append_validated_query(spark, sf_dir):
     return read_table(spark, path)
 
 
+@query(
+    "append_validated_widens",
+    """
+    SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 2 = 0 THEN s_nationkey END AS s_nationkey,
+           CASE WHEN s_suppkey % 2 = 1 THEN s_acctbal END AS s_acctbal
+    FROM supplier
+    """,
+)
+def append_validated_widens(spark, sf_dir):
+    """The second half lacks one column of the table and brings another, which the table takes over."""
+    suppliers = table(spark, sf_dir, "supplier")
+    odd = F.col("s_suppkey") % 2 == 1
+    path = work_dir(spark, "append-wider")
+    replace_table(suppliers.where(~odd).select("s_suppkey", "s_name", "s_nationkey"), path)
+    append_validated(path, suppliers.where(odd).select("s_suppkey", "s_name", "s_acctbal"), [not_null("s_name")], "s_suppkey")
+    return read_table(spark, path)
+
+
 @query("delete_by_key", "SELECT * FROM orders WHERE o_orderstatus <> 'P'")
 def delete_by_key(spark, sf_dir):
     """Two parts; a value in none of them rewrites nothing."""

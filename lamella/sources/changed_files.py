@@ -10,8 +10,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lamella.session import work_dir
 from lamella.sources.commits import CommitLog
 from lamella.sources.files import FileSource, read_files, with_audit
 
@@ -37,29 +39,43 @@ def _state(spark: SparkSession, target: str) -> tuple[CommitLog, int, dict]:
 def ingest_changed_files(spark: SparkSession, source: FileSource, schema: T.StructType, target: str) -> int:
     """Append new and rewritten files to ``target``; returns how many were taken.
 
-    Works through them in runs of ``source.max_files``, the only listing that reaches the
-    driver. After every ``LEDGERS`` runs the ledger is folded into one folder.
+    The source is listed once; what differs from the ledger is written to a working table
+    and taken from there in runs of ``source.max_files``, oldest first, of which only the
+    paths reach the driver. After every ``LEDGERS`` runs the ledger is folded into one folder.
     """
-    taken = 0
+    log, number, state = _state(spark, target)
+    changed = list_files(spark, source.path)
+    if state["ledgers"]:
+        changed = changed.join(_ledger(spark, target, state), FILE, "left_anti")
+    working = work_dir(spark, "changed-files")
+    changed.withColumn("_at", F.unix_micros("modificationTime")).write.parquet(working)
+    pending, taken = spark.read.parquet(working), 0
     while True:
-        log, number, state = _state(spark, target)
-        changed, ledger = list_files(spark, source.path), None
-        if state["ledgers"]:
-            ledger = spark.read.parquet(*[f"{target}/{folder}" for folder in state["ledgers"]])
-            changed = changed.join(ledger, FILE, "left_anti")
-        files = changed.orderBy("modificationTime", "path").limit(source.max_files).collect()
+        files = pending.select("_at", "path").orderBy("_at", "path").limit(source.max_files).collect()
         if not files:
+            log.delete_folder(working)
             return taken
-        run = f"run-{uuid.uuid4().hex}"
+        run, until = f"run-{uuid.uuid4().hex}", files[-1]
         rows = read_files(spark, source, schema, [f.path for f in files])
         with_audit(rows).write.parquet(f"{target}/{run}/data")
-        entries = spark.createDataFrame(files, changed.schema).coalesce(1)
-        kept = state["ledgers"]
-        if ledger is not None and len(kept) >= LEDGERS:
-            entries, kept = entries.unionByName(ledger), []
+        later = (F.col("_at") > until._at) | ((F.col("_at") == until._at) & (F.col("path") > until.path))
+        entries, kept = pending.where(~later).select(*FILE).coalesce(1), state["ledgers"]
+        if len(kept) >= LEDGERS:
+            entries, kept = entries.unionByName(_ledger(spark, target, state)), []
         entries.write.parquet(f"{target}/{run}/files")
-        log.commit(number, {"runs": [*state["runs"], run], "ledgers": [*kept, f"{run}/files"]})
-        taken += len(files)
+        state = {"runs": [*state["runs"], run], "ledgers": [*kept, f"{run}/files"]}
+        log.commit(number, state)
+        number, taken, pending = number + 1, taken + len(files), spark.read.parquet(working).where(later)
+
+
+def _ledger(spark: SparkSession, target: str, state: dict) -> DataFrame:
+    return spark.read.parquet(*[f"{target}/{folder}" for folder in state["ledgers"]])
+
+
+def changed_runs(spark: SparkSession, target: str, schema: T.StructType | None = None, first: int = 0) -> list[DataFrame]:
+    """The committed runs in their order, from number ``first`` on; numbers never change."""
+    reader = spark.read.schema(schema) if schema else spark.read
+    return [reader.parquet(f"{target}/{run}/data") for run in _state(spark, target)[2]["runs"][first:]]
 
 
 def read_changed_files(spark: SparkSession, target: str, schema: T.StructType | None = None) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lamella.sources.commits import CommitLog
+from lamella.sources.schemas import merge_schemas
 
 
 @dataclass(frozen=True)
@@ -42,16 +45,21 @@ def observed_rows(counted: Observation) -> int:
 
 
 class _Parts:
-    """The live folders of a table; each write adds one, each commit names the live ones."""
+    """The live folders of a table; each write adds one, each commit names the live ones.
+
+    A commit holds the schema too, so that columns of any part are read from all of them.
+    """
 
     PATTERN = r"/(part-[0-9a-f]{32})/"
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, version: int | None = None):
+        self.spark = spark
         self.path = path.rstrip("/")
         self.log = CommitLog(spark, f"{self.path}/_commits")
-        last = self.log.latest()
+        last = self.log.latest() if version is None else (version, self.log.get(version))
         self.number = last[0] + 1 if last else 0
         self.live: list[str] = last[1]["parts"] if last else []
+        self._stored = last[1].get("schema") if last else None
 
     def require_commits(self) -> None:
         """Changing a plain folder in part would hide the rest of it from readers."""
@@ -61,30 +69,49 @@ class _Parts:
     def folders(self) -> list[str]:
         return [f"{self.path}/{p}" for p in self.live]
 
-    def add(self, df: DataFrame, keep: list[str], partition_by: tuple[str, ...] = ()) -> int:
+    def schema(self) -> T.StructType:
+        """The committed schema. Plain folders have none; the footers of all files give it."""
+        if self._stored:
+            return T.StructType.fromJson(json.loads(self._stored))
+        return self.spark.read.option("mergeSchema", "true").parquet(*self.folders() or [self.path]).schema
+
+    def add(
+        self, df: DataFrame, keep: list[str], schema: T.StructType, check: Callable[[DataFrame], None] | None = None
+    ) -> int:
+        """Write a part, have ``check`` look at what was written, and commit it."""
         part = f"part-{uuid.uuid4().hex}"
         counted = Observation()
-        writer = df.observe(counted, F.count(F.lit(1)).alias("rows")).write.mode("errorifexists")
-        writer.partitionBy(*partition_by).parquet(f"{self.path}/{part}")
+        df.observe(counted, F.count(F.lit(1)).alias("rows")).write.mode("errorifexists").parquet(f"{self.path}/{part}")
         rows = observed_rows(counted)
-        self.log.commit(self.number, {"parts": [*keep, part], "rows_written": rows})
+        if check:
+            try:
+                check(self.spark.read.schema(df.schema).parquet(f"{self.path}/{part}"))
+            except Exception:
+                self.log.delete_folder(f"{self.path}/{part}")
+                raise
+        self.log.commit(self.number, {"parts": [*keep, part], "schema": schema.json(), "rows_written": rows})
         return rows
 
 
-def replace_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> int:
+def replace_table(df: DataFrame, path: str) -> int:
     """Full refresh: write the new content next to the old, then switch readers to it.
 
     The result may be computed from the table being replaced. Returns the row count, which
     is observed during the write, so nothing is scanned a second time.
     """
-    return _Parts(df.sparkSession, path).add(df, [], partition_by)
+    return _Parts(df.sparkSession, path).add(df, [], merge_schemas(T.StructType(), df.schema))
+
 
+def append_table(df: DataFrame, path: str, check: Callable[[DataFrame], None] | None = None) -> int:
+    """Add rows; what is there already is not touched. Returns the rows added.
 
-def append_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> int:
-    """Add rows; what is there already is not touched. Returns the rows added."""
+    Columns that the table lacks widen it and are null in older rows. ``check`` is given
+    the rows as they were written; when it raises, nothing is added.
+    """
     parts = _Parts(df.sparkSession, path)
     parts.require_commits()
-    return parts.add(df, parts.live, partition_by)
+    before = parts.schema() if parts.live else T.StructType()
+    return parts.add(df, parts.live, merge_schemas(before, df.schema), check)
 
 
 def delete_rows(spark: SparkSession, path: str, matches: Column) -> int:
@@ -98,9 +125,9 @@ def delete_rows(spark: SparkSession, path: str, matches: Column) -> int:
     hits = read_table(spark, path).where(matches).groupBy(part).agg(F.count(F.lit(1)).alias("rows")).collect()
     if not hits:
         return 0
-    touched = {h.part for h in hits}
-    rewritten = spark.read.parquet(*[f"{parts.path}/{p}" for p in parts.live if p in touched])
-    parts.add(rewritten.where(~F.coalesce(matches, F.lit(False))), [p for p in parts.live if p not in touched])
+    touched, schema = {h.part for h in hits}, parts.schema()
+    rewritten = spark.read.schema(schema).parquet(*[f"{parts.path}/{p}" for p in parts.live if p in touched])
+    parts.add(rewritten.where(~F.coalesce(matches, F.lit(False))), [p for p in parts.live if p not in touched], schema)
     return sum(h.rows for h in hits)
 
 
@@ -119,13 +146,11 @@ def read_table(
 ) -> DataFrame:
     """Batch read of the current content, or of an older version whose parts still exist.
 
-    ``schema`` may be wider than the older files; they read as null there.
+    ``schema`` may be wider than the older files; they read as null there. Without one it
+    is that of the commit, or for a plain folder that of all its files together.
     """
-    reader = spark.read.schema(schema) if schema else spark.read
-    if version is None:
-        return reader.parquet(*table_folders(spark, path))
-    parts = _Parts(spark, path)
-    return reader.parquet(*[f"{parts.path}/{p}" for p in parts.log.get(version)["parts"]])
+    parts = _Parts(spark, path, version)
+    return spark.read.schema(schema or parts.schema()).parquet(*parts.folders() or [path])
 
 
 def expire_parts(spark: SparkSession, path: str, keep_commits: int = 2) -> int:
@@ -139,6 +164,10 @@ def expire_parts(spark: SparkSession, path: str, keep_commits: int = 2) -> int:
 
 
 def stream_table(spark: SparkSession, path: str, schema: T.StructType | None = None, max_files: int = 100) -> DataFrame:
-    """Stream read of an append-only table, such as one written by ``ingest``."""
-    schema = schema or spark.read.parquet(path).schema
+    """Stream read of an append-only table, such as one written by ``ingest``.
+
+    Without ``schema`` the footers of all files are read for one; ``bronze_schema`` has it
+    from the schema store instead.
+    """
+    schema = schema or spark.read.option("mergeSchema", "true").parquet(path).schema
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from lamella.sources.changed_files import ingest_changed_files
+from lamella.operators.history import INGESTED
+from lamella.sources.changed_files import ingest_changed_files, read_changed_files
 from lamella.sources.files import FileSource, stream_files, with_audit
 from lamella.sources.schemas import SchemaStore, resolve_schema
 
@@ -51,3 +53,17 @@ def ingest(
             raise ValueError("sources that allow overwrites are run on demand, not on an interval")
         return ingest_changed_files(spark, source, source.read_schema(schema), target)
     return append_stream(with_audit(stream_files(spark, source, schema)), target, checkpoint, interval)
+
+
+def bronze_schema(spark: SparkSession, source: FileSource, schema_dir: str) -> T.StructType | None:
+    """All columns that files of the target may have; None before the first ingestion."""
+    stored = SchemaStore(spark, schema_dir).latest()
+    return stored and T.StructType([*source.read_schema(stored).fields, T.StructField(INGESTED, T.TimestampType())])
+
+
+def read_bronze(spark: SparkSession, source: FileSource, target: str, schema_dir: str) -> DataFrame:
+    """Batch read of what ``ingest`` wrote, in either layout, with all columns of the stored schema."""
+    schema = bronze_schema(spark, source, schema_dir)
+    if source.allow_overwrites:
+        return read_changed_files(spark, target, schema)
+    return (spark.read.schema(schema) if schema else spark.read).parquet(target)

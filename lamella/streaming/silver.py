@@ -36,10 +36,18 @@ from lamella.operators.history import (
 from lamella.operators.skew import SkewPolicy, key_bucket, materialize, scratch_folder
 from lamella.session import work_dir
 from lamella.sources.commits import CommitLog
-from lamella.sources.schemas import merge_schemas
+from lamella.sources.schemas import SchemaConflict, merge_schemas
 from lamella.sources.tables import observed_rows
 
 BUCKET, STATE, GEN = "_bucket", "_state", "_gen"
+KEY_HASH = "integral keys as bigint"
+
+
+def _as_type(field: T.StructField, wanted: T.DataType) -> Column:
+    """The column as the table has it; nested types are widened when they are read."""
+    nested = isinstance(wanted, (T.StructType, T.ArrayType, T.MapType))
+    c = F.col(f"`{field.name}`")
+    return c if nested or field.dataType == wanted else c.cast(wanted).alias(field.name)
 
 
 class SilverTable:
@@ -80,9 +88,13 @@ class SilverTable:
         last = self._log.latest()
         if last:
             return last
-        empty = {"buckets": self._buckets, "schema": None, "applied": {}, "log": {}}
+        empty = {"buckets": self._buckets, "key_hash": KEY_HASH, "schema": None, "applied": {}, "log": {}}
         return -1, {**empty, "closed": {}, "open": {}, "opened": {}, "quarantine": []}
 
+    def applied(self, stream: str = "batch") -> int:
+        """Number of the last batch of ``stream`` that was applied; -1 before the first."""
+        return self._state()[1]["applied"].get(stream, -1)
+
     @staticmethod
     def _schema(state: dict) -> T.StructType:
         return T.StructType.fromJson(json.loads(state["schema"]))
@@ -160,13 +172,24 @@ class SilverTable:
     # -- writing -----------------------------------------------------------------
 
     def apply(self, events: DataFrame, batch: int, stream: str = "batch") -> bool:
-        """Apply one batch; False if batch number ``batch`` of ``stream`` was applied before."""
+        """Apply one batch; False if batch number ``batch`` of ``stream`` was applied before.
+
+        A batch may have further columns and wider types. Integral keys may change between
+        integral types, as all of them hash alike; other changes of a key's type are refused.
+        Dropped columns are not written, unless events are ordered by them.
+        """
         spark = events.sparkSession
         number, state = self._state()
         if batch <= state["applied"].get(stream, -1):
             return False
-        before = self._schema(state) if state["schema"] else None
-        schema = merge_schemas(before, events.schema) if before else merge_schemas(T.StructType(), events.schema)
+        if state.get("key_hash") != KEY_HASH:
+            raise ValueError(f"{self._path} was written with another hash of its keys; write it anew")
+        hidden = {*self._roles["drop"]} - {self._sequence, *self._roles["tie_break"]}
+        events = events.drop(*hidden)
+        before = self._schema(state) if state["schema"] else T.StructType()
+        schema = merge_schemas(before, events.schema)
+        self._check_keys(before, schema)
+        events = events.select(*[_as_type(f, schema[f.name].dataType) for f in events.schema.fields])
         state["schema"] = schema.json()
         gen = f"g{number + 1:08d}-{uuid.uuid4().hex[:8]}"
         scratch = work_dir(spark, "silver")
@@ -174,7 +197,7 @@ class SilverTable:
         marked = events.withColumns(
             {
                 "usable": usable_event(self._keys, self._sequence),
-                BUCKET: key_bucket(self._keys, self._buckets),
+                BUCKET: self._bucket(schema),
             }
         )
         incoming = f"{self._path}/log/{GEN}={gen}"
@@ -199,11 +222,22 @@ class SilverTable:
         self._log.delete_folder(scratch)
         return True
 
+    def _bucket(self, schema: T.StructType) -> Column:
+        """Integral keys hash as bigint, so a key that is widened stays in its bucket."""
+        integral = {k for k in self._keys if isinstance(schema[k].dataType, T.IntegralType)}
+        return key_bucket([F.col(k).cast("long") if k in integral else F.col(k) for k in self._keys], self._buckets)
+
+    def _check_keys(self, before: T.StructType, schema: T.StructType) -> None:
+        for key in (k for k in self._keys if k in before.names):
+            old, new = before[key].dataType, schema[key].dataType
+            if old != new and not (isinstance(old, T.IntegralType) and isinstance(new, T.IntegralType)):
+                raise SchemaConflict(f"key column {key} is {old.simpleString()}, new events have {new.simpleString()}")
+
     def _write_runs(self, runs: DataFrame, gen: str, state: dict, touched: list[int], rewritten: dict) -> None:
         out = runs.withColumns(
             {
                 STATE: F.when(F.col(VALID_TO).isNull(), "open").otherwise("closed"),
-                BUCKET: key_bucket(self._keys, self._buckets),
+                BUCKET: self._bucket(runs.schema),
             }
         )
         root = f"{self._path}/runs/{GEN}={gen}"
@@ -286,7 +320,7 @@ class SilverTable:
             F.max("_seen").alias("_seen"), F.max("_opened").alias("_opened"), F.min("_new").alias("_earliest")
         )
         late = bounds.where(F.col("_earliest") <= F.col("_seen"))
-        return late.withColumn(BUCKET, key_bucket(keys, self._buckets))
+        return late.withColumn(BUCKET, self._bucket(late.schema))
 
     def compact(self, spark: SparkSession, keep: int = 8) -> None:
         """Fold all but the newest ``keep`` generations of closed runs and of the log into one each.

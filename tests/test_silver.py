@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lamella.operators.history import scd1, scd2
 from lamella.operators.skew import SkewPolicy
+from lamella.sources.schemas import SchemaConflict
 from lamella.streaming.silver import SilverTable
 
 from .conftest import rows
@@ -163,3 +164,29 @@ def test_late_batch_rewrites_only_the_generations_it_touches(spark, folder):
     closed = table._state()[1]["closed"]
     assert [bool(gone) for gone in closed.values()] == [False, False, False, True, False]
     assert table.read(spark).where(F.col("v") == "Z").count() == 1
+
+
+def test_integral_keys_may_change_their_type_and_others_not(spark, folder):
+    def events(dtype, first):
+        return spark.range(5).select(F.col("id").cast(dtype).alias("k"), (F.col("id") + first).alias("ts"), F.lit(first).alias("v"))
+
+    table = SilverTable(spark, f"{folder}/t", ["k"], "ts", buckets=64)
+    for batch, dtype in enumerate(("int", "bigint", "int", "smallint", "bigint")):
+        table.apply(events(dtype, 10 * batch), batch)
+        assert table.current(spark).count() == 5
+    assert table.read(spark).count() == 25
+    table.apply(events("int", 5), 5)  # late for every key
+    assert table.current(spark).count() == 5 and table.read(spark).count() == 30
+    with pytest.raises(SchemaConflict):
+        table.apply(events("string", 90), 6)
+    with pytest.raises(SchemaConflict):
+        table.apply(events("double", 90), 6)
+
+
+def test_dropped_columns_are_not_on_disk(spark, folder):
+    table = SilverTable(spark, f"{folder}/t", ["k"], "ts", drop=["pii"])
+    for batch in range(2):
+        table.apply(spark.createDataFrame([("a", batch, batch, "secret")], "k string, ts int, v int, pii string"), batch)
+    assert table.read(spark).count() == 2
+    for part in ("log", "runs"):
+        assert "pii" not in spark.read.option("recursiveFileLookup", "true").option("mergeSchema", "true").parquet(f"{folder}/t/{part}").columns

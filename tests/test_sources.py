@@ -252,3 +252,16 @@ def test_a_commit_number_is_never_written_twice(spark, folder):
     with pytest.raises(FileExistsError):
         log.commit(0, {"a": 2})
     assert log.latest() == (0, {"a": 1})
+
+
+def test_changed_files_are_listed_once_per_call(spark, folder, monkeypatch):
+    from lamella.sources import changed_files
+
+    for n in range(5):
+        spark.range(n, n + 1).coalesce(1).write.mode("append").parquet(f"{folder}/files")
+    listed = []
+    monkeypatch.setattr(changed_files, "list_files", lambda *a, f=changed_files.list_files: listed.append(a) or f(*a))
+    source = FileSource(f"{folder}/files", "parquet", schema=spark.range(1).schema, max_files=2, allow_overwrites=True)
+    assert ingest_changed_files(spark, source, source.schema, f"{folder}/bronze") == 5
+    assert len(listed) == 1 and len(changed_files.changed_runs(spark, f"{folder}/bronze")) == 3
+    assert rows(read_changed_files(spark, f"{folder}/bronze"), "id") == [(n,) for n in range(5)]

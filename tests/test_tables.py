@@ -225,3 +225,28 @@ def test_control_table_errors_are_not_swallowed(spark, folder):
     put(folder, "short.tsv", "operation_type\nbronze\n")
     with pytest.raises(ValueError, match="missing required columns"):
         read_operations(spark, f"{folder}/short.tsv")
+
+
+def test_appended_columns_widen_the_table_and_its_versions_do_not_change(spark, folder):
+    path = f"{folder}/t"
+    replace_table(spark.createDataFrame([(1, "a")], "id int, x string"), path)
+    append_table(spark.createDataFrame([(2, 5)], "id long, y int"), path)
+    append_table(spark.createDataFrame([(3,)], "id int"), path)
+    assert rows(read_table(spark, path), "id", "x", "y") == [(1, "a", None), (2, None, 5), (3, None, None)]
+    assert read_table(spark, path, version=0).columns == ["id", "x"]
+    with pytest.raises(ValueError):
+        append_table(spark.createDataFrame([(True,)], "id boolean"), path)
+    assert read_table(spark, path).count() == 3
+
+
+def test_rows_that_fail_their_check_leave_nothing(spark, folder):
+    path = f"{folder}/t"
+    replace_table(spark.createDataFrame([(1,)], "id int"), path)
+
+    def refuse(new):
+        raise RuntimeError(new.count())
+
+    with pytest.raises(RuntimeError, match="2"):
+        append_table(spark.createDataFrame([(2,), (3,)], "id int"), path, refuse)
+    assert rows(read_table(spark, path)) == [(1,)]
+    assert len(spark.read.option("recursiveFileLookup", "true").parquet(path).inputFiles()) == len(read_table(spark, path).inputFiles())
