@@ -17,9 +17,11 @@ def change_feed(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFram
     """Row changes between two states of a table with unique keys.
 
     ``_change_type`` is ``insert``, ``delete``, or a pair ``update_preimage`` and
-    ``update_postimage``. One full outer join; unchanged rows end there.
+    ``update_postimage``. One full outer join; unchanged rows end there. Columns that only
+    ``new`` has are null before.
     """
     columns = [c for c in new.columns if c not in keys]
+    old = old.withColumns({c: F.lit(None).cast(new.schema[c].dataType) for c in columns if c not in old.columns})
     before = old.select(*keys, F.struct(*columns).alias("_old"))
     after = new.select(*keys, F.struct(*columns).alias("_new"))
     both = before.join(after, list(keys), "full_outer")

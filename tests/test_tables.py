@@ -250,3 +250,11 @@ def test_rows_that_fail_their_check_leave_nothing(spark, folder):
         append_table(spark.createDataFrame([(2,), (3,)], "id int"), path, refuse)
     assert rows(read_table(spark, path)) == [(1,)]
     assert len(spark.read.option("recursiveFileLookup", "true").parquet(path).inputFiles()) == len(read_table(spark, path).inputFiles())
+
+
+def test_changes_of_a_table_that_was_widened(spark, folder):
+    path = f"{folder}/t"
+    replace_table(spark.createDataFrame([(1, "a"), (2, "b")], "id int, x string"), path)
+    append_table(spark.createDataFrame([(3, "c", 5)], "id int, x string, y int"), path)
+    changes = table_changes(spark, path, ["id"], 0)
+    assert rows(changes, "id", "x", "y", "_change_type") == [(3, "c", 5, "insert")]
