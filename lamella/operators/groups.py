@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamella.functions import json as J
@@ -41,3 +41,11 @@ def group_min_by(df: DataFrame, by: Sequence[str], value: str, derived: Column,
 def sort_by_json_number(df: DataFrame, column: str, key: str, *then: str | Column, default: int = 0) -> DataFrame:
     """Total order by a number inside JSON text; absent or bad counts as ``default``."""
     return df.orderBy(J.field(column, key, "int", default), *then)
+
+
+def rank_by_json_number(
+    df: DataFrame, by: Sequence[str], column: str, key: str, *then: str | Column, default: int = 0, name: str = "position"
+) -> DataFrame:
+    """The rows with their place, from 1, in that order within each group; a group is sorted in one task."""
+    order = Window.partitionBy(*by).orderBy(J.field(column, key, "int", default), *then)
+    return df.withColumn(name, F.row_number().over(order))

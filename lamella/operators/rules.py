@@ -11,15 +11,16 @@ from pyspark.sql import functions as F
 
 from lamella.functions import json as J
 from lamella.functions.text import is_blank
-from lamella.sources.tables import append_table, delete_rows, read_table
+from lamella.session import work_dir
+from lamella.sources.tables import append_table, delete_rows, drop_table, read_table, replace_table
 
 
 class RuleViolations(ValueError):
-    """Rows broke the rules; carries the first messages and the number of all."""
+    """Rows broke the rules; carries the first messages, the number of all and the table that holds them."""
 
-    def __init__(self, count: int, messages: list[str]):
-        super().__init__(f"{count} violations:\n" + "\n".join(messages))
-        self.count, self.messages = count, messages
+    def __init__(self, count: int, messages: list[str], path: str):
+        super().__init__(f"{count} violations, all of them in {path}:\n" + "\n".join(messages))
+        self.count, self.messages, self.path = count, messages, path
 
 
 @dataclass(frozen=True, eq=False)
@@ -165,12 +166,17 @@ def quarantine(df: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, DataFra
 
 
 def require(df: DataFrame, rules: Sequence[Rule], key: str | Column, shown: int = 100) -> None:
-    """Raise ``RuleViolations`` if any row breaks a rule; at most ``shown`` reach the driver."""
-    found = validate(df, rules, key)
-    head = found.select("rule", "message").limit(shown).collect()
-    if head:
-        count = found.count() if len(head) == shown else len(head)
-        raise RuleViolations(count, [f"{r.rule}: {r.message}" for r in head])
+    """Raise ``RuleViolations`` if any row breaks a rule.
+
+    All violations are written to a new table in the shared folder, which the error names;
+    at most ``shown`` reach the driver.
+    """
+    path = work_dir(df.sparkSession, "violations")
+    count = replace_table(validate(df, rules, key), path)
+    if count:
+        head = read_table(df.sparkSession, path).limit(shown).collect()
+        raise RuleViolations(count, [f"{r.rule}: {r.message}" for r in head], path)
+    drop_table(df.sparkSession, path)
 
 
 def append_validated(path: str, rows: DataFrame, rules: Sequence[Rule], key: str | Column, defaults: dict | None = None) -> int:

@@ -181,11 +181,25 @@ def group_min_by(spark, sf_dir):
 
 @query("sort_by_json_field", "SELECT event_id, props FROM events")
 def sort_by_json_field(spark, sf_dir):
-    """Sorted by ``k``; the check compares rows only, the order is checked in the tests."""
+    """Sorted by ``k``; the check compares rows only, ``rank_by_json_field`` shows the order."""
     events = table(spark, sf_dir, "events").select("event_id", "props")
     return groups.sort_by_json_number(events, "props", "k", "event_id")
 
 
+@query(
+    "rank_by_json_field",
+    """
+    SELECT user_id, event_id,
+           CAST(row_number() OVER (PARTITION BY user_id
+             ORDER BY coalesce(TRY_CAST(json_extract_string(props, '$.k') AS INTEGER), 0), event_id) AS INTEGER) AS position
+    FROM events
+    """,
+)
+def rank_by_json_field(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "props")
+    return groups.rank_by_json_number(events, ["user_id"], "props", "k", "event_id").drop("props")
+
+
 @query(
     "str_last_part",
     """

@@ -24,6 +24,10 @@ class FileSource:
     ``infer`` off means every CSV column is a string. ``multi_line`` is for JSON documents
     that span lines; JSON Lines, the default, must not set it. ``keep_corrupt`` adds the
     column ``_corrupt_record`` with the raw text of rows that do not fit the schema.
+
+    CSV columns are matched by position. The header of each file has to name the schema's
+    columns in their order, else reading stops; the option ``enforceSchema`` set to
+    ``"true"`` turns that off, for instance for older files that lack the last columns.
     """
 
     path: str
@@ -46,7 +50,7 @@ class FileSource:
     def reader_options(self) -> dict[str, str]:
         chosen: dict[str, str] = {}
         if self.format == "csv":
-            chosen = {"header": str(self.header).lower(), "escape": '"'}
+            chosen = {"header": str(self.header).lower(), "escape": '"', "enforceSchema": "false"}
         if self.format in ("csv", "json"):
             chosen["multiLine"] = str(self.multi_line).lower()
             if self.keep_corrupt:

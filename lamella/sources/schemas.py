@@ -55,26 +55,34 @@ def merge_schemas(old: T.StructType, new: T.StructType, prefix: str = "") -> T.S
 
 
 class SchemaStore:
-    """Numbered schema versions below one folder."""
+    """Numbered schema versions below one folder, and the time up to which files were inferred."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self._log = CommitLog(spark, folder)
+        self._looks_folder = f"{folder.rstrip('/')}/looks"
+        self._looks = CommitLog(spark, self._looks_folder)
 
     def latest(self) -> T.StructType | None:
         last = self._log.latest()
         return T.StructType.fromJson(json.loads(last[1]["schema"])) if last else None
 
     def looked_until(self) -> str | None:
-        last = self._log.latest()
-        return last[1]["looked_until"] if last else None
+        last = self._looks.latest() or self._log.latest()
+        return last[1].get("looked_until") if last else None
+
+    def looked(self, until: str) -> None:
+        """Remember a look; only the last one is kept."""
+        before = self._looks.numbers()
+        self._looks.commit(before[-1] + 1 if before else 0, {"looked_until": until})
+        for number in before:
+            self._looks.delete_folder(f"{self._looks_folder}/{number:010d}.json")
 
     def versions(self) -> int:
         return len(self._log.numbers())
 
-    def save(self, schema: T.StructType, looked_until: str | None = None) -> None:
+    def save(self, schema: T.StructType) -> None:
         last = self._log.latest()
-        number = last[0] + 1 if last else 0
-        self._log.commit(number, {"schema": schema.json(), "looked_until": looked_until})
+        self._log.commit(last[0] + 1 if last else 0, {"schema": schema.json()})
 
 
 def resolve_schema(
@@ -83,7 +91,8 @@ def resolve_schema(
     """Schema to read ``source`` with: stored, widened by what files added since then have.
 
     An explicit schema is not inferred over, but merged with the stored one in the same
-    way. Only files changed since the last look are inferred, less a margin for clocks.
+    way. Only files changed since the last look are inferred, less a margin for clocks;
+    a look that finds nothing new moves that time on too.
     CSV columns are matched by position, so there new columns have to come last.
     """
     stored = store.latest() if store else None
@@ -101,7 +110,9 @@ def resolve_schema(
             raise SchemaConflict(f"CSV columns moved: stored {stored.names}, new files have {found.names}")
     merged = merge_schemas(stored, found) if stored is not None else _nullable(found)
     if store and merged != stored:
-        store.save(merged, now.strftime("%Y-%m-%dT%H:%M:%S"))
+        store.save(merged)
+    if store and source.schema is None:
+        store.looked(now.strftime("%Y-%m-%dT%H:%M:%S"))
     return merged
 
 

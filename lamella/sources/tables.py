@@ -153,6 +153,11 @@ def read_table(
     return spark.read.schema(schema or parts.schema()).parquet(*parts.folders() or [path])
 
 
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Delete a table with all its versions."""
+    CommitLog(spark, path).delete_folder(path)
+
+
 def expire_parts(spark: SparkSession, path: str, keep_commits: int = 2) -> int:
     """Delete parts that none of the last commits names; readers of older ones lose them."""
     table = _Parts(spark, path)

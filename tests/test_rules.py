@@ -111,6 +111,17 @@ def test_append_is_all_or_nothing(spark, folder):
     assert rows(read_table(spark, path)) == [(1, "a", "x"), (2, "b", "y")]
 
 
+def test_all_violations_are_kept_and_the_error_shows_some(spark):
+    df = spark.range(300).select(F.col("id"), F.lit(" ").alias("v"))
+    with pytest.raises(R.RuleViolations) as failed:
+        R.require(df, [R.not_null("v")], "id", shown=5)
+    assert failed.value.count == 300
+    assert len(failed.value.messages) == 5
+    assert failed.value.path in str(failed.value)
+    assert read_table(spark, failed.value.path).select("row_key").distinct().count() == 300
+    R.require(df.where("id < 0"), [R.not_null("v")], "id")
+
+
 def test_delete_by_value_reports_and_keeps_nulls(spark, folder):
     path = f"{folder}/t"
     replace_table(spark.createDataFrame([(1, "a"), (2, None), (3, "b")], "id int, v string"), path)
@@ -159,3 +170,5 @@ def test_sort_by_json_number_defaults_to_zero_and_keeps_ties_in_order(spark):
     cells = [{"order": 2}, {"order": 1}, {}, {"order": -1}, {"order": 1}]
     df = spark.createDataFrame([(n, json.dumps(c)) for n, c in enumerate(cells)] + [(9, "bad")], "id int, j string")
     assert [r.id for r in groups.sort_by_json_number(df, "j", "order", "id").collect()] == [3, 2, 9, 1, 4, 0]
+    ranked = groups.rank_by_json_number(df.withColumn("g", F.col("id") % 2), ["g"], "j", "order", "id")
+    assert rows(ranked, "id", "position") == [(0, 3), (1, 3), (2, 1), (3, 1), (4, 2), (9, 2)]

@@ -214,6 +214,40 @@ def test_a_type_that_cannot_widen_stops_with_an_error(spark, folder):
         resolve_schema(spark, FileSource(f"{folder}/files", "csv"), store)
 
 
+def test_moved_csv_columns_stop_the_read(spark, folder):
+    put(folder, "files/a.csv", "a,b\n1,2\n")
+    put(folder, "files/b.csv", "b,a\n20,10\n")
+    source = FileSource(f"{folder}/files", "csv", schema=schema("a int, b int"))
+    with pytest.raises(Exception, match="FAILED_READ_FILE|CSV header"):
+        bronze(spark, folder, source)
+    with pytest.raises(Exception, match="FAILED_READ_FILE|CSV header"):
+        read_files(spark, source, source.schema).collect()
+
+
+def test_shorter_csv_files_need_the_header_check_off(spark, folder):
+    put(folder, "files/a.csv", "a\n1\n")
+    put(folder, "files/b.csv", "a,b\n2,3\n")
+    strict = FileSource(f"{folder}/files", "csv", schema=schema("a int, b int"))
+    with pytest.raises(Exception, match="CSV header"):
+        read_files(spark, strict, strict.schema).collect()
+    loose = FileSource(strict.path, "csv", schema=strict.schema, options={"enforceSchema": "true"})
+    assert rows(read_files(spark, loose, loose.schema)) == [(1, None), (2, 3)]
+
+
+def test_every_look_moves_the_time_on_and_one_is_kept(spark, folder, monkeypatch):
+    source, store = FileSource(f"{folder}/files", "json"), SchemaStore(spark, f"{folder}/schemas")
+    seen = []
+    for day in (1, 2, 3):
+        put(folder, f"files/{day}.json", f'{{"id": {day}}}\n')
+        clock = type("Clock", (dt.datetime,), {"now": classmethod(lambda c, z, d=day: dt.datetime(2000, 1, d, tzinfo=z))})
+        monkeypatch.setattr("lamella.sources.schemas.datetime", clock)
+        assert resolve_schema(spark, source, store).names == ["id"]
+        seen.append(store.looked_until())
+    assert seen == ["1999-12-31T23:50:00", "2000-01-01T23:50:00", "2000-01-02T23:50:00"]
+    assert store.versions() == 1
+    assert CommitLog(spark, f"{folder}/schemas/looks").numbers() == [2]
+
+
 def test_stored_schema_is_used_as_is_when_it_may_not_evolve(spark, folder):
     store = SchemaStore(spark, f"{folder}/schemas")
     store.save(schema("id string"))
