@@ -7,10 +7,12 @@ its log-probability; the failure arc leads to the root and costs the state's bac
 weight; the root's arcs are single words with add-one estimates. One pass from left to
 right carries the state and adds up log-probabilities, for all texts of a batch at once.
 
-What tasks hold is bounded by parameters: the pairs are the most frequent ones, from a
-minimum count that is raised until they fit, and the root's arcs in memory are the most
-frequent words. A word beyond those is looked up by a join: the pass hands on its hash and
-adds the rest, so every count enters the scores whatever the size of the vocabulary.
+What tasks hold is bounded by parameters and is a cache only: the most frequent pairs, and
+the most frequent words with their backoff weights. The pass follows the failure arc for a
+pair that it does not hold and hands on the pair's hash; a join adds what each such pair
+that the model has gains over that arc. Words beyond the cache are joined alike, so every
+count and every pair enters the scores whatever the size of the input. A bit set of fixed
+size keeps most pairs that the model does not have out of the join.
 """
 
 from __future__ import annotations
@@ -22,20 +24,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm.rows import WordHashes, hold, mixed, spaced_words
+from lamella.llm.rows import WordHashes, hold, spaced_words
 
 TOGETHER = 2_000_000  # tokens that a task adds up at a time
 END = np.uint64(0x2545F4914F6CDD1D)  # of the end token, and of the place before the first word
+PRIMES = [0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5]  # of XXH64
 
 
 @dataclass(frozen=True)
 class Backoff:
-    """Pairs and words that a task holds, the least count of a pair, and the discount."""
+    """Pairs and words that a task holds, the least count of a pair, the discount, and bits for the pairs not held."""
 
     pairs: int = 1 << 20
     words: int = 1 << 20
     least: int = 2
     discount: float = 0.75
+    bits: int = 1 << 26  # a power of two, 64 at least
 
 
 DEFAULT = Backoff()
@@ -54,8 +58,21 @@ def _before(tokens: np.ndarray) -> np.ndarray:
     return np.concatenate([[END], tokens[:-1]])
 
 
+def _turned(values: np.ndarray, by: int) -> np.ndarray:
+    return (values << np.uint64(by)) | (values >> np.uint64(64 - by))
+
+
 def _pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return mixed(mixed(first) ^ second)
+    """Spark's ``xxhash64`` of two longs."""
+    a, b, c, d, e = (np.uint64(x) for x in PRIMES)
+    seed = np.full(1, 42, np.uint64)
+    for values in (first, second):
+        seed = (seed + e + np.uint64(8)) ^ (_turned(values * b, 31) * a)
+        seed = _turned(seed, 27) * a + d
+        seed = (seed ^ (seed >> np.uint64(33))) * b
+        seed = (seed ^ (seed >> np.uint64(29))) * c
+        seed = seed ^ (seed >> np.uint64(32))
+    return seed
 
 
 def _counts(texts: DataFrame, pairs: bool) -> DataFrame:
@@ -93,33 +110,55 @@ def _batch(columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
 
 @dataclass
 class Automaton:
-    """Sorted hashes with their values: root arcs, pair arcs, and states with their backoff weight."""
+    """Sorted hashes with their values: words with count and backoff weight, and pair arcs; ``rare`` marks the other pairs."""
 
     words: np.ndarray
     word_counts: np.ndarray
+    backoff: np.ndarray
     pairs: np.ndarray
     pair_scores: np.ndarray
-    states: np.ndarray
-    backoff: np.ndarray
+    rare: np.ndarray
     tokens: int
     vocabulary: int
 
-    def score(self, tokens: np.ndarray) -> tuple[float, float, int, np.ndarray, np.ndarray]:
-        """Log-probability and base score without the words not held, words known, and those words' hashes.
+    def score(self, tokens: np.ndarray) -> tuple[float, float, int, tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+        """Log-probability and base score of what is held, words known, and what is to be joined.
 
-        The hashes of those reached through the root come first, then of those on a pair's arc.
+        Of words not held: hashes, how often they occur, are reached through the root, and are left by the
+        failure arc. Of pairs not held, which count as failures here: hashes and how often they occur.
         """
-        state = _before(tokens)  # a pair's end is the next state
-        arc, scored = _find(self.pairs, _pair(state, tokens))
-        total = self.pair_scores[arc[scored]].sum()
-        failing, known = _find(self.states, state[~scored])
-        total += self.backoff[failing[known]].sum()
+        key = _pair(_before(tokens), tokens)
+        arc, scored = _find(self.pairs, key)
         place, held = _find(self.words, tokens)
+        total = self.pair_scores[arc[scored]].sum()
         base = np.log10((self.word_counts[place[held]] + 1) / (self.tokens + self.vocabulary + 1))
         root = np.zeros(len(tokens))
         root[held] = base
         total += root[~scored].sum()
-        return float(total), float(base.sum()), int(held.sum()), tokens[~held & ~scored], tokens[~held & scored]
+        fails = np.append(~scored[1:], ~scored[0])  # at the word after each; the end stands before the first
+        total += self.backoff[place[held & fails]].sum()
+        words, which = np.unique(tokens[~held], return_inverse=True)
+        counts = (np.bincount(which, weights=x[~held], minlength=len(words)) for x in (np.ones(len(tokens)), ~scored, fails))
+        pairs = key[~scored]
+        pairs = np.unique(pairs[self._marked(pairs)], return_counts=True)
+        return float(total), float(base.sum()), int(held.sum()), (words, *(c.astype(np.int64) for c in counts)), pairs
+
+    def _marked(self, pairs: np.ndarray) -> np.ndarray:
+        if not len(self.rare):
+            return np.zeros(len(pairs), bool)
+        bits = self.rare[(pairs >> np.uint64(6)) & np.uint64(len(self.rare) - 1)]
+        return (bits >> (pairs & np.uint64(63))) & np.uint64(1) > 0
+
+
+@dataclass
+class Tables:
+    """What tasks do not hold: (key, n, backoff) of all words, and (key, gain) of the pairs beyond the cache.
+
+    A pair's gain is what its arc's log-probability is above the failure arc and the root's arc.
+    """
+
+    words: DataFrame
+    pairs: DataFrame
 
 
 def _find(sorted_: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,49 +170,65 @@ def _find(sorted_: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return at, sorted_[at] == wanted
 
 
-def _most_frequent(counts: DataFrame, least: int, most: int) -> DataFrame:
-    """Rows with a count of at least ``least``, raised to the least at which there are no more than ``most``."""
-    per = counts.where(F.col("n") >= least).groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count("*").alias("rows"))
+def _bound(counts: DataFrame, most: int) -> int:
+    """The least count at which there are no more than ``most`` rows; what is below stays out of the cache."""
+    per = counts.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count("*").alias("rows"))
     rows = sorted(((r.n, r.rows) for r in per.collect()), reverse=True)  # at most 100,000 counts
-    total, bound = 0, None
+    total, bound = 0, 1 << 62
     for n, many in rows:
         total += many
         if total > most:
-            break
+            return bound
         bound = n
-    return counts.where(F.lit(False) if bound is None else F.col("n") >= bound)
+    return 0
+
 
+def _bits(keys: DataFrame, bits: int) -> np.ndarray:
+    """A bit set with the bit of each ``key``, in 64-bit words; empty without keys."""
+    place = F.shiftrightunsigned("key", 6).bitwiseAND(bits // 64 - 1)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("key").bitwiseAND(63).cast("int"))
+    got = keys.groupBy(place.alias("place")).agg(F.bit_or(bit).alias("bits")).toArrow()  # at most bits / 64 rows
+    out = np.zeros(bits // 64 if got.num_rows else 0, np.uint64)
+    out[got.column("place").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+    return out
 
-def train(texts: DataFrame, how: Backoff = DEFAULT) -> tuple[Automaton, DataFrame]:
-    """The automaton of the texts, and the table (key, n) of all words' counts."""
+
+def train(texts: DataFrame, how: Backoff = DEFAULT) -> tuple[Automaton, Tables]:
+    """The automaton of the texts, and the tables of all words and of the pairs that it does not hold."""
     words = hold(_counts(texts, False), "words")
     totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    pairs = hold(_counts(texts, True).where(F.col("n") >= how.least), "pairs")
-    arcs = _most_frequent(pairs, how.least, how.pairs)
+    size = float(totals.n + totals.v + 1)
+    pairs = _counts(texts, True).where(F.col("n") >= how.least)
+    pairs = hold(pairs.join(words.select(F.col("key").alias("second"), F.col("n").alias("word_n")), "second"), "pairs")
     # something follows every word, and the end stands for the beginning: totals are the words' counts
-    arcs = arcs.join(words.select(F.col("key").alias("first"), F.col("n").alias("total")), "first")
-    arcs = arcs.join(words.select(F.col("key").alias("second"), F.col("n").alias("word_n")), "second")
-    model = arcs.select(
-        "first", "second", ((F.col("n") - how.discount) / F.col("total")).alias("p"),
-        ((F.col("word_n") + 1) / (totals.n + totals.v + 1)).alias("q"),
+    states = pairs.groupBy(F.col("first").alias("key")).agg(
+        F.sum(F.col("n") - how.discount).alias("held"), F.sum((F.col("word_n") + 1) / size).alias("q"),
+    )
+    left, unseen = (F.greatest(1 - x, F.lit(1e-12)) for x in (F.col("held") / F.col("n"), F.col("q")))
+    words = words.join(states, "key", "left").select("key", "n", F.coalesce(F.log10(left / unseen), F.lit(0.0)).alias("backoff"))
+    words = hold(words, "states")
+
+    bound = _bound(pairs, how.pairs)
+    firsts = words.select(F.col("key").alias("first"), F.col("n").alias("total"), "backoff")
+    key, score = F.xxhash64("first", "second"), F.log10((F.col("n") - how.discount) / F.col("total"))
+    got = pairs.where(F.col("n") >= bound).join(firsts, "first").select(key.alias("key"), score.alias("score")).toArrow()  # at most how.pairs rows
+    pair, pair_score = got.column("key").to_numpy().view(np.uint64), got.column("score").to_numpy()
+    by_pair = np.argsort(pair)
+    rare = pairs.where(F.col("n") < bound)
+    gain = score - F.col("backoff") - F.log10((F.col("word_n") + 1) / size)
+    marks = _bits(rare.select(key.alias("key")), how.bits) if bound else np.zeros(0, np.uint64)
+    rare = rare.join(firsts, "first").select(key.alias("key"), gain.alias("gain"))
+
+    head = words.where(F.col("n") >= _bound(words, how.words)).toArrow()  # at most how.words rows
+    word, n, backoff = (head.column(c).to_numpy() for c in ("key", "n", "backoff"))
+    by_word = np.argsort(word := word.view(np.uint64))
+    automaton = Automaton(
+        word[by_word], n[by_word], backoff[by_word], pair[by_pair], pair_score[by_pair], marks, totals.n, totals.v
     )
-    got = model.toArrow()  # at most how.pairs rows
-    first, second = (got.column(c).to_numpy().view(np.uint64) for c in ("first", "second"))
-    key = _pair(first, second)
-    p, q = (got.column(c).to_numpy() for c in ("p", "q"))
-    order = np.argsort(key)
-    states, where = np.unique(first, return_inverse=True)
-    left = 1 - np.bincount(where, weights=p, minlength=len(states))
-    unseen = 1 - np.bincount(where, weights=q, minlength=len(states))
-    backoff = np.log10(np.maximum(left, 1e-12) / np.maximum(unseen, 1e-12))
-    head = _most_frequent(words, 1, how.words).select("key", "n").toArrow()  # at most how.words rows
-    word, n = head.column("key").to_numpy().view(np.uint64), head.column("n").to_numpy()
-    by_word = np.argsort(word)
-    automaton = Automaton(word[by_word], n[by_word], key[order], np.log10(p[order]), states, backoff, totals.n, totals.v)
-    return automaton, words.select("key", "n")
-
-
-def score_documents(docs: DataFrame, automaton: Automaton, words: DataFrame) -> DataFrame:
+    return automaton, Tables(words, rare)
+
+
+def score_documents(docs: DataFrame, automaton: Automaton, tables: Tables) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score, one row per row of ``docs``.
 
     Null and empty texts are one end token. A word that was never counted has count 0 and
@@ -190,25 +245,30 @@ def score_documents(docs: DataFrame, automaton: Automaton, words: DataFrame) ->
                 rows = []
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     tokens = _hashes(text, hashes)
-                    total, base, known, rest, on_arcs = model.score(tokens)
-                    rows.append((doc_id, len(tokens), known, base, total, rest.view(np.int64), on_arcs.view(np.int64)))
+                    total, base, known, rest, rare = model.score(tokens)
+                    lists = (x.view(np.int64) for x in (*rest, *rare))
+                    rows.append((doc_id, len(tokens), known, base, total, *lists))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-    names = ["doc_id", "n_tokens", "n_known", "base", "total", "rest", "on_arcs"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-    scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, n_known long, base double, total double, rest array<long>, on_arcs array<long>")
+    names = ["doc_id", "n_tokens", "n_known", "base", "total", "word", "times", "root", "fails", "pair", "pair_times"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), *[pa.list_(pa.int64())] * 6]
+    schema = "doc_id long, n_tokens long, n_known long, base double, total double, " + ", ".join(f"{x} array<long>" for x in names[5:])
+    scored = docs.select("doc_id", "text").mapInArrow(run, schema)
     scored = hold(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     # words that no task holds; those on a pair's arc count for the base alone
-    rest = scored.select("row", F.explode("rest").alias("key"), F.lit(1).alias("root"))
-    rest = rest.union(scored.select("row", F.explode("on_arcs"), F.lit(0)))
-    rest = rest.groupBy("row", "key").agg(F.count("*").alias("times"), F.sum("root").alias("root"))
-    found = rest.join(words.withColumnRenamed("n", "c"), "key", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    rest = scored.select("row", F.inline(F.arrays_zip(F.col("word").alias("key"), "times", "root", "fails")))
+    found = rest.join(tables.words.withColumnRenamed("n", "c"), "key", "left").na.fill(0, ["c", "backoff"])
     share = F.log10((F.col("c") + 1) / F.lit(float(automaton.tokens + automaton.vocabulary + 1)))
-    added = found.groupBy("row").agg(
-        F.sum(F.col("times") * share).alias("base_more"), F.sum(F.col("root") * share).alias("more"),
-        F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("also"),
+    found = found.select(
+        "row", (F.col("times") * share).alias("base_more"), (F.col("root") * share + F.col("fails") * F.col("backoff")).alias("more"),
+        F.when(F.col("c") > 0, F.col("times")).otherwise(0).alias("also"),
     )
-    whole = scored.drop("rest", "on_arcs").join(added, "row", "left").na.fill(0, ["base_more", "more", "also"])
+    if len(automaton.rare):
+        rare = scored.select("row", F.inline(F.arrays_zip(F.col("pair").alias("key"), F.col("pair_times").alias("times"))))
+        rare = rare.join(tables.pairs, "key")
+        found = found.union(rare.select("row", F.lit(0.0), F.col("times") * F.col("gain"), F.lit(0).cast("long")))
+    added = found.groupBy("row").agg(*(F.sum(x).alias(x) for x in ("base_more", "more", "also")))
+    whole = scored.drop(*names[5:]).join(added, "row", "left").na.fill(0, ["base_more", "more", "also"])
     return whole.select(
         "doc_id", "n_tokens", (F.col("n_known") + F.col("also")).alias("n_known"), F.lit(automaton.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.col("base_more")).alias("base_score"), (F.col("total") + F.col("more")).alias("score"),

@@ -66,8 +66,8 @@ def op5(spark, sf_dir):
 @query("op7_backoff_automaton_scores")
 def op7(spark, sf_dir):
     documents = table(spark, sf_dir, "documents")
-    automaton, words = train(documents.where(~held_out()))
-    scores = score_documents(documents, automaton, words)
+    automaton, tables = train(documents.where(~held_out()))
+    scores = score_documents(documents, automaton, tables)
     return scores.select("doc_id", held_out().alias("held_out"), *scores.columns[1:])
 
 

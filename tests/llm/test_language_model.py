@@ -8,9 +8,10 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from lamella.llm.language_model import Backoff, held_out, score_documents, train
+from lamella.llm.language_model import Backoff, _pair, held_out, score_documents, train
 
 DOCS = "doc_id long, text string, score string"
 
@@ -93,3 +94,22 @@ def test_repeated_rows_and_nothing(spark):
     automaton, words = train(df.limit(0))
     assert score_documents(df.limit(0), automaton, words).count() == 0
     assert [r.score for r in score_documents(df.where("doc_id = 1"), automaton, words).collect()] == [0.0]
+
+
+@pytest.mark.parametrize("how", [Backoff(pairs=20), Backoff(pairs=20, words=5, bits=64), Backoff(pairs=0, words=0)])
+def test_pairs_beyond_the_cache_count(spark, how):
+    documents = corpus(3)
+    df = spark.createDataFrame([(d, t, "") for d, t in documents], DOCS)
+    expected, *_ = by_hand(documents, how.least, how.discount)
+    automaton, tables = train(df.where(~held_out()), how)
+    for r in score_documents(df, automaton, tables).collect():
+        assert r.n_known == expected[r.doc_id][2]
+        assert math.isclose(r.base_score, expected[r.doc_id][4], rel_tol=1e-9) and math.isclose(r.score, expected[r.doc_id][5], rel_tol=1e-9)
+
+
+def test_pairs_are_hashed_as_by_spark(spark):
+    pick = random.Random(5)
+    values = [[pick.randrange(-(1 << 63), 1 << 63) for _ in "ab"] for _ in range(50)] + [[0, -1]]
+    expected = [r[0] for r in spark.createDataFrame(values, "a long, b long").selectExpr("xxhash64(a, b)").collect()]
+    first, second = np.array(values, np.int64).view(np.uint64).T
+    assert _pair(first, second).view(np.int64).tolist() == expected
