@@ -16,6 +16,7 @@ from __future__ import annotations
 import functools
 import json
 import math
+import re
 import struct
 import zlib
 from bisect import bisect_left, insort
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 from lamella.llm.rows import hold
 
 STRETCHES_KEPT = 400_000
+LONG_RUN = 4096  # characters of white space in one run that are left to the library
 
 
 @dataclass(frozen=True)
@@ -71,14 +73,32 @@ class Encoder:
     """Token ids of texts, with the ids of stretches already met.
 
     A blank or line end after another character always begins a new token, so the ids of a
-    text are those of its stretches up to such places, one after the other.
+    text are those of its stretches up to such places, one after the other. The ranks' engine
+    overflows its stack on runs of about a million white-space characters, so stretches with
+    long runs are encoded by ``tokenizers``.
     """
 
     def __init__(self, path: str):
+        self.path = path
         self.encode = byte_pair_encoder(path)
+        self.long_run = re.compile(rf"\s{{{LONG_RUN}}}")
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}  # the last full table; what is met again moves over
 
+    @functools.cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        whole = Tokenizer.from_file(self.path)
+        whole.encode_special_tokens = True  # as the ranks do
+        return whole
+
+    def encode_long(self, stretch: str) -> list[int]:
+        """Ids of a stretch of ``LONG_RUN`` characters or more."""
+        if self.long_run.search(stretch):
+            return self.library.encode(stretch, add_special_tokens=False).ids
+        return self.encode(stretch)
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.known) > STRETCHES_KEPT:
@@ -89,7 +109,7 @@ class Encoder:
         known.update((s, before[s]) for s in met if s in before)
         new = [s for s in met if s not in known]
         for stretch in new:
-            found = self.encode(stretch)
+            found = self.encode(stretch) if len(stretch) < LONG_RUN else self.encode_long(stretch)
             known[stretch] = struct.pack(f"<{len(found)}I", *found)
         return [b"".join(map(known.__getitem__, row)) for row in cut]
 
@@ -104,13 +124,17 @@ def stretches(text: str) -> list[str]:
             parts[0] = "\n" + parts[0]
         out += parts
     if "  " in text or "\n\n" in text or any(s[-1:].isspace() for s in out) or "" in out:
-        whole: list[str] = []  # white space before a cut stays with what follows
+        whole: list[str] = []
+        run: list[str] = []  # white space before a cut stays with what follows
         for part in out:
-            if whole and (not whole[-1] or whole[-1][-1].isspace()):
-                whole[-1] += part
+            if not part or part[-1].isspace():
+                run.append(part)
+            elif run:
+                whole.append("".join(run) + part)
+                run = []
             else:
                 whole.append(part)
-        return [s for s in whole if s]
+        return [*whole, "".join(run)] if any(run) else whole
     return out
 
 

@@ -42,6 +42,16 @@ def test_whole_vocabulary_and_given_texts():
     assert [np.frombuffer(x, "<u4").tolist() for x in Encoder(PATH).ids(texts)] == ids
 
 
+@pytest.mark.parametrize("run", [" ", "\n", "a", "\t", "\u2003", "\r\n"])
+def test_long_runs(run):
+    whole = Tokenizer.from_file(PATH)
+    whole.encode_special_tokens = True
+    texts = [run * (2_000_000 // len(run)), "a b" + run * 5000 + "c  d " + run * 4095]
+    for ids, text in zip(Encoder(PATH).ids(texts), texts):
+        assert "".join(stretches(text)) == text
+        assert np.array_equal(np.frombuffer(ids, "<u4"), whole.encode(text, add_special_tokens=False).ids)
+
+
 def check(rows, documents, capacity=1024):
     whole = Tokenizer.from_file(PATH)
     whole.encode_special_tokens = True
