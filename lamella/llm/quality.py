@@ -14,7 +14,8 @@ from __future__ import annotations
 
 import math
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,13 +28,16 @@ BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 MEASURES = ["length", "mean_word", "symbols", "repeats", "dup_lines", "upper", "exclaims", "bars", "digits", "variety", "marked"]
 
 
+MARKS = [1.0, 2.0, 3.0, 4.0, 6.0, 8.0, 12.0]  # thresholds on ``marked``
+
+
 @dataclass(frozen=True)
 class Covering:
     """How the list is learned.
 
-    ``sample`` bounds the labelled documents, taken by hash of their id; ``lexicon`` the
-    marked stems, each in at least ``support`` of the toxic documents and ``purity`` of
-    whose documents are toxic.
+    ``sample`` bounds the labelled documents, taken by hash of their id. A marked stem is in
+    at least ``least`` toxic documents, whatever their share, and ``purity`` of its
+    documents are toxic.
     """
 
     sample: int = 10_000
@@ -41,8 +45,6 @@ class Covering:
     conditions: int = 3
     precision: float = 0.95
     least: int = 6
-    lexicon: int = 48
-    support: float = 0.02
     purity: float = 0.97
 
 
@@ -66,7 +68,7 @@ class Condition:
 
 @dataclass(frozen=True)
 class DecisionList:
-    """Rules in order; a document that one of them covers is rejected."""
+    """Rules in order; a document that one of them covers is rejected. A stem that ends in a blank is a whole word."""
 
     rules: tuple[tuple[Condition, ...], ...] = ()
     marked: tuple[str, ...] = ()
@@ -136,7 +138,7 @@ def with_measures(df: DataFrame, marked: tuple[str, ...]) -> DataFrame:
 
     hits = F.lit(0)
     if marked:
-        hits = F.regexp_count(F.lower("_text"), F.lit(r"(?<!\p{L})(?:" + "|".join(map(re.escape, marked)) + ")"))
+        hits = F.regexp_count(F.lower("_text"), F.lit(r"(?<!\p{L})" + _either(sorted(marked))))
     df = bind(
         df,
         length=F.col("n_words").cast("double"),
@@ -154,6 +156,16 @@ def with_measures(df: DataFrame, marked: tuple[str, ...]) -> DataFrame:
     return df.drop("_text", "_words", "_lines")
 
 
+def _either(stems: list[str], at: int = 0) -> str:
+    """Pattern of any of the sorted stems, from letter ``at`` on: beginnings in common are tried once."""
+    if any(len(stem) == at for stem in stems):
+        return ""
+    parts = []
+    for letter, own in groupby(stems, key=lambda stem: stem[at]):
+        parts.append(r"(?!\p{L})" if letter == " " else re.escape(letter) + _either(list(own), at + 1))
+    return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
+
+
 def labelled(docs: DataFrame, labels: DataFrame, how: Covering = DEFAULT) -> DataFrame:
     """doc_id, text, toxic, bad of at most ``how.sample`` labelled documents; nulls are no labels."""
     marks = labels.where("doc_id is not null").groupBy("doc_id").agg(
@@ -166,22 +178,22 @@ def labelled(docs: DataFrame, labels: DataFrame, how: Covering = DEFAULT) -> Dat
 
 
 def marked_stems(rows: DataFrame, how: Covering = DEFAULT) -> tuple[str, ...]:
-    """Beginnings of words whose documents are toxic, most frequent first.
+    """Beginnings of words, and whole words, whose documents are toxic, most frequent first.
 
-    Words are lower-cased; their first four, five and six letters count, shorter words
-    whole. Copies of a text count once. Of nested stems the shortest that is pure stays.
+    Words are lower-cased. Their first four to nine letters count, and the whole word, which
+    ends in a blank here. Copies of a text count once. Of nested stems the shortest that is
+    pure stays.
     """
     texts = rows.groupBy(F.xxhash64("text").alias("copy")).agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))
-    words = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.length(w) > 3)
-    stems = F.array_distinct(F.flatten(F.transform(words, lambda w: F.array(*(F.left(w, F.lit(k)) for k in (4, 5, 6))))))
-    counts = texts.select("toxic", F.explode(stems).alias("stem")).groupBy("stem")
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.length(w) > 3))
+    parts = F.transform(words, lambda w: F.array(*(F.left(w, F.lit(k)) for k in range(4, 10)), F.concat(w, F.lit(" "))))
+    counts = texts.select("toxic", F.explode(F.array_distinct(F.flatten(parts))).alias("stem")).groupBy("stem")
     counts = counts.agg(F.count_if("toxic").alias("bad"), F.count("*").alias("n"))
-    toxic = texts.agg(F.count_if("toxic")).first()[0]
-    found = counts.where((F.col("bad") >= max(how.least, how.support * toxic)) & (F.col("bad") >= how.purity * F.col("n")))
-    out: list[str] = []
-    for r in found.orderBy(F.desc("bad"), F.length("stem"), "stem").limit(4 * how.lexicon).collect():
-        if len(out) < how.lexicon and not any(r.stem.startswith(known) for known in out):
-            out.append(r.stem)
+    found = counts.where((F.col("bad") >= how.least) & (F.col("bad") >= how.purity * F.col("n")))
+    out: dict[str, None] = {}
+    for r in found.orderBy(F.desc("bad"), F.length("stem"), "stem").collect():  # stems of at most ``sample`` texts
+        if not any(r.stem[:k] in out for k in range(4, len(r.stem))):
+            out[r.stem] = None
     return tuple(out)
 
 
@@ -199,13 +211,13 @@ def learn(docs: DataFrame, labels: DataFrame, how: Covering = DEFAULT) -> Decisi
     ).first()
     if not cuts.bad or cuts.bad == cuts.n:
         return DecisionList((), marked)
-    edges = {m: sorted({c for c in cuts[m]} | ({1.0, 2.0, 3.0} if m == "marked" else set())) for m in MEASURES}
+    edges = {m: sorted({c for c in cuts[m]} | (set(MARKS) if m == "marked" else set())) for m in MEASURES}
     parted = measured.withColumn("grows", _growing())
 
     rules: list[tuple[Condition, ...]] = []
     left = parted
     while len(rules) < how.rules:
-        rule = _pruned(left, _grown(left, edges, how), how)
+        rule = _pruned(left, _settled(left, _grown(left, edges, how), how), how)
         if not rule:
             break
         rules.append(rule)
@@ -262,6 +274,24 @@ def _grown(left: DataFrame, edges: dict[str, list[float]], how: Covering) -> lis
     return rule
 
 
+def _settled(left: DataFrame, rule: list[Condition], how: Covering) -> list[Condition]:
+    """The rule with the least threshold on ``marked`` that is precise on the other part, if there is one.
+
+    Stems are learned where the rule was grown and look better there than they are.
+    """
+    for k, condition in enumerate(rule):
+        if condition.measure == "marked" and condition.at_least:
+            rows = left.where(~F.col("grows"))
+            for other in rule[:k]:
+                rows = rows.where(other.column())
+            counts = rows.agg(*(F.count_if(F.col("bad") & (F.col("marked") >= m)).alias(f"p{m:g}") for m in MARKS),
+                              *(F.count_if(F.col("marked") >= m).alias(f"n{m:g}") for m in MARKS)).first()
+            precise = [m for m in MARKS if counts[f"p{m:g}"] >= how.precision * max(1, counts[f"n{m:g}"])]
+            if precise:
+                return [*rule[:k], replace(condition, value=precise[0]), *rule[k + 1 :]]
+    return rule
+
+
 def _pruned(left: DataFrame, rule: list[Condition], how: Covering) -> tuple[Condition, ...]:
     """The beginning of the rule with the best (bad - good) / (bad + good) on the other part, if precise."""
     if not rule:

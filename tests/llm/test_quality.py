@@ -9,7 +9,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from lamella.llm.quality import BASE, Condition, Covering, DecisionList, judge, kept_documents, learn
+from lamella.llm.quality import BASE, Condition, Covering, DecisionList, judge, kept_documents, learn, marked_stems
 
 DOCS = "doc_id long, text string, kept string, length int"
 
@@ -83,3 +83,20 @@ def test_base_in_sql(spark):
     got = {r.doc_id: r for r in judge(spark.read.parquet(path), DecisionList()).collect()}
     for doc_id, text in duckdb.sql(f"select doc_id, text from '{path}'").fetchall():
         assert (*(got[doc_id][c] for c in BASE), got[doc_id].base_failed) == base_by_hand(text)
+
+
+def test_stems_beyond_six_letters_and_whole_words(spark):
+    pick = random.Random(7)
+    texts_, rude = [], [f"achlich{a}{b}ung" for a in "bdfgk" for b in "aeiou"] + ["idiota"]
+    for k in range(900):
+        words = [f"wort{pick.randrange(300)}" for _ in range(60)] + ["achlichsam", "idiotas", "idiotario"]
+        texts_.append((k, " ".join(words + ([rude[k // 2 % 26], rude[(k // 2 + 1) % 26]] if k % 2 else [])), k % 2 == 1))
+    rows = spark.createDataFrame(texts_, "doc_id long, text string, toxic boolean")
+    stems = marked_stems(rows)
+    assert "idiota " in stems and {f"achlich{a}" for a in "bdfgk"} <= set(stems)
+    rules = DecisionList(((Condition("marked", True, 1.0),),), stems)
+    verdicts = judge(rows, rules).join(rows.select("doc_id", "toxic"), "doc_id")
+    assert verdicts.where("toxic = (rule is null)").count() == 0
+    labels = rows.selectExpr("doc_id", "1 as quality", "int(toxic) as toxic")
+    left = judge(rows, learn(rows, labels)).join(labels, "doc_id").where("kept")
+    assert {r.toxic: r.n for r in left.groupBy("toxic").agg({"*": "count"}).toDF("toxic", "n").collect()} == {0: 450}
