@@ -13,11 +13,13 @@ from lamella.sources.changed_files import read_changed_files
 from lamella.sources.commits import CommitLog
 from lamella.sources.export import convert, write_control_table, write_files, write_json_documents
 from lamella.sources.files import FileSource, read_control_table
+from lamella.sources.records import CORRUPT, UNMATCHED
 from lamella.sources.schemas import SchemaStore
 from lamella.sources.tables import stream_table
-from lamella.streaming.bronze import append_stream, ingest
+from lamella.streaming.bronze import append_stream, ingest, read_bronze
 
 AUDIT = "_ingestion_timestamp"
+ADDED = (AUDIT, UNMATCHED)
 
 
 def _round_trip(spark: SparkSession, df: DataFrame, format: str) -> DataFrame:
@@ -31,22 +33,22 @@ def _round_trip(spark: SparkSession, df: DataFrame, format: str) -> DataFrame:
 
 @query("bronze_csv", "SELECT * FROM part")
 def bronze_csv(spark, sf_dir):
-    return _round_trip(spark, table(spark, sf_dir, "part"), "csv").drop(AUDIT)
+    return _round_trip(spark, table(spark, sf_dir, "part"), "csv").drop(*ADDED)
 
 
 @query("bronze_json", "SELECT * FROM events")
 def bronze_json(spark, sf_dir):
-    return _round_trip(spark, table(spark, sf_dir, "events"), "json").drop(AUDIT)
+    return _round_trip(spark, table(spark, sf_dir, "events"), "json").drop(*ADDED)
 
 
 @query("bronze_parquet", "SELECT * FROM orders")
 def bronze_parquet(spark, sf_dir):
-    return _round_trip(spark, table(spark, sf_dir, "orders"), "parquet").drop(AUDIT)
+    return _round_trip(spark, table(spark, sf_dir, "orders"), "parquet").drop(*ADDED)
 
 
 @query("bronze_orc", "SELECT * FROM customer")
 def bronze_orc(spark, sf_dir):
-    return _round_trip(spark, table(spark, sf_dir, "customer"), "orc").drop(AUDIT)
+    return _round_trip(spark, table(spark, sf_dir, "customer"), "orc").drop(*ADDED)
 
 
 @query("bronze_json_multiline", "SELECT * FROM customer")
@@ -56,7 +58,7 @@ def bronze_json_multiline(spark, sf_dir):
     write_json_documents(df, f"{root}/files")
     source = FileSource(f"{root}/files", "json", schema=df.schema, multi_line=True)
     ingest(spark, source, f"{root}/bronze", f"{root}/checkpoint")
-    return spark.read.parquet(f"{root}/bronze").drop(AUDIT)
+    return spark.read.parquet(f"{root}/bronze").drop(*ADDED)
 
 
 INFERRED_SUPPLIER = """
@@ -69,7 +71,7 @@ def bronze_schema_infer(spark, sf_dir):
     root = work_dir(spark, "bronze-infer")
     write_files(table(spark, sf_dir, "supplier"), f"{root}/files", "csv")
     ingest(spark, FileSource(f"{root}/files", "csv"), f"{root}/bronze", f"{root}/checkpoint")
-    return spark.read.parquet(f"{root}/bronze").drop(AUDIT)
+    return spark.read.parquet(f"{root}/bronze").drop(*ADDED)
 
 
 @query("bronze_schema_persist", INFERRED_SUPPLIER)
@@ -119,7 +121,7 @@ def bronze_incremental(spark, sf_dir):
         if arrival < 3:
             write_files(df.where(F.col("o_orderkey") % 3 == arrival), f"{root}/files", "csv")
         ingest(spark, source, f"{root}/bronze", f"{root}/checkpoint")
-    return spark.read.parquet(f"{root}/bronze").drop(AUDIT)
+    return spark.read.parquet(f"{root}/bronze").drop(*ADDED)
 
 
 @query("bronze_max_files", "SELECT *, CAST(5 AS BIGINT) AS batches FROM orders")
@@ -132,7 +134,7 @@ def bronze_max_files(spark, sf_dir):
     ingest(spark, source, f"{root}/bronze", f"{root}/checkpoint")
     bronze = spark.read.parquet(f"{root}/bronze")
     batches = bronze.select(AUDIT).distinct().count()
-    return bronze.drop(AUDIT).withColumn("batches", F.lit(batches).cast("bigint"))
+    return bronze.drop(*ADDED).withColumn("batches", F.lit(batches).cast("bigint"))
 
 
 def _rewrite_in_place(spark: SparkSession, folder: str, column: str, scratch: str) -> None:
@@ -162,7 +164,7 @@ def _ingest_rewritten(spark: SparkSession, sf_dir: str, allow: bool) -> tuple[st
 @query("bronze_no_overwrites", "SELECT * FROM supplier")
 def bronze_no_overwrites(spark, sf_dir):
     bronze, _ = _ingest_rewritten(spark, sf_dir, allow=False)
-    return spark.read.parquet(bronze).drop(AUDIT)
+    return spark.read.parquet(bronze).drop(*ADDED)
 
 
 @query(
@@ -174,13 +176,13 @@ def bronze_no_overwrites(spark, sf_dir):
 )
 def bronze_allow_overwrites(spark, sf_dir):
     bronze, _ = _ingest_rewritten(spark, sf_dir, allow=True)
-    return read_changed_files(spark, bronze).drop(AUDIT)
+    return read_changed_files(spark, bronze).drop(*ADDED)
 
 
 @query("bronze_audit_column", "SELECT *, true AS stamped FROM customer")
 def bronze_audit_column(spark, sf_dir):
     bronze = _round_trip(spark, table(spark, sf_dir, "customer"), "parquet")
-    return bronze.withColumn("stamped", F.col(AUDIT).isNotNull()).drop(AUDIT)
+    return bronze.withColumn("stamped", F.col(AUDIT).isNotNull()).drop(*ADDED)
 
 
 @query("stream_table_read", "SELECT * FROM events")
@@ -191,7 +193,7 @@ def stream_table_read(spark, sf_dir):
     write_files(df, f"{root}/files", "parquet")
     ingest(spark, FileSource(f"{root}/files", "parquet", schema=df.schema), f"{root}/bronze", f"{root}/c1")
     append_stream(stream_table(spark, f"{root}/bronze"), f"{root}/copy", f"{root}/c2")
-    return spark.read.parquet(f"{root}/copy").drop(AUDIT)
+    return spark.read.parquet(f"{root}/copy").drop(*ADDED)
 
 
 @query("tsv_json_read", "SELECT event_id, event_type, CAST(props ->> '$.k' AS INTEGER) AS k FROM events")
@@ -223,3 +225,85 @@ def convert_json_to_parquet(spark, sf_dir):
     write_files(df, f"{root}/files", "json")
     convert(spark, FileSource(f"{root}/files", "json"), df.schema, f"{root}/parquet")
     return spark.read.parquet(f"{root}/parquet")
+
+
+@query(
+    "bronze_csv_mixed_headers",
+    """
+    SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderkey % 3 = 1 THEN NULL ELSE o_totalprice END AS o_totalprice,
+           CASE WHEN o_orderkey % 3 = 2 THEN o_orderpriority END AS o_orderpriority
+    FROM orders
+    """,
+)
+def bronze_csv_mixed_headers(spark, sf_dir):
+    """Files with and without some columns, all taken in one look."""
+    df = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    root = work_dir(spark, "bronze-mixed-headers")
+    for rest, left_out in enumerate((["o_orderpriority"], ["o_totalprice", "o_orderpriority"], [])):
+        write_files(df.where(F.col("o_orderkey") % 3 == rest).drop(*left_out), f"{root}/files", "csv")
+    source = FileSource(f"{root}/files", "csv", max_files=1000)
+    ingest(spark, source, f"{root}/bronze", f"{root}/checkpoint", schema_dir=f"{root}/schemas")
+    bronze = read_bronze(spark, source, f"{root}/bronze", f"{root}/schemas")
+    return bronze.select(*[F.col(f.name).cast(f.dataType) for f in df.schema.fields])
+
+
+@query("bronze_csv_header_moved", "SELECT * FROM supplier")
+def bronze_csv_header_moved(spark, sf_dir):
+    """Later files have the same columns in another order."""
+    df = table(spark, sf_dir, "supplier")
+    root = work_dir(spark, "bronze-header-moved")
+    source = FileSource(f"{root}/files", "csv")
+    for rest, order in ((0, df.columns), (1, df.columns[::-1])):
+        write_files(df.where(F.col("s_suppkey") % 2 == rest).select(*order), f"{root}/files", "csv")
+        ingest(spark, source, f"{root}/bronze", f"{root}/checkpoint", schema_dir=f"{root}/schemas")
+    bronze = read_bronze(spark, source, f"{root}/bronze", f"{root}/schemas")
+    return bronze.select(*[F.col(f.name).cast(f.dataType) for f in df.schema.fields])
+
+
+@query(
+    "bronze_malformed_kept",
+    """
+    SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'broken ' || event_id END AS broken,
+           CASE WHEN event_id % 10 <> 0 THEN user_id END AS user_id
+    FROM events
+    """,
+)
+def bronze_malformed_kept(spark, sf_dir):
+    """Every tenth line is no JSON; its text is in the bronze table, beside the events."""
+    events = table(spark, sf_dir, "events")
+    root = work_dir(spark, "bronze-malformed")
+    line = F.when(F.col("event_id") % 10 == 0, F.concat(F.lit("broken "), "event_id")).otherwise(F.to_json(F.struct("event_id", "user_id")))
+    events.select(line).write.text(f"{root}/files")
+    source = FileSource(f"{root}/files", "json")
+    ingest(spark, source, f"{root}/bronze", f"{root}/checkpoint")
+    bronze = read_bronze(spark, source, f"{root}/bronze").withColumn("broken", F.try_element_at(UNMATCHED, F.lit(CORRUPT)))
+    number = F.coalesce("event_id", F.substring_index("broken", " ", -1).cast("bigint"))
+    return bronze.select(number.alias("event_id"), "broken", F.col("user_id").cast(events.schema["user_id"].dataType))
+
+
+@query(
+    "bronze_unmatched_fields",
+    """
+    SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN user_id END AS user_id,
+           CASE WHEN event_id % 7 = 0 THEN '"user ' || user_id || '"' END AS other_user,
+           CASE WHEN event_id % 5 = 0 THEN '{"k":"' || event_type || '"}' END AS extra
+    FROM events
+    """,
+)
+def bronze_unmatched_fields(spark, sf_dir):
+    """Later events have texts in a numeric field, and a field that the frozen schema lacks."""
+    events = table(spark, sf_dir, "events")
+    root = work_dir(spark, "bronze-unmatched")
+    source = FileSource(f"{root}/files", "json")
+    store = SchemaStore(spark, f"{root}/schemas")
+    store.save(events.select("event_id", "user_id").schema)
+    plain = F.to_json(F.struct("event_id", "user_id"))
+    odd = F.to_json(F.struct("event_id", F.concat(F.lit("user "), "user_id").alias("user_id")))
+    extra = F.concat(F.lit(',"extra":'), F.to_json(F.struct(F.col("event_type").alias("k"))), F.lit("}"))
+    line = F.when(F.col("event_id") % 7 == 0, odd).otherwise(plain)
+    line = F.when(F.col("event_id") % 5 == 0, F.concat(F.regexp_replace(line, r"\}$", ""), extra)).otherwise(line)
+    events.select(line).write.text(f"{root}/files")
+    ingest(spark, source, f"{root}/bronze", f"{root}/checkpoint", schema_dir=f"{root}/schemas", evolve=False)
+    bronze = read_bronze(spark, source, f"{root}/bronze", f"{root}/schemas")
+    rest = lambda name: F.try_element_at(UNMATCHED, F.lit(name)).alias({"user_id": "other_user"}.get(name, name))
+    return bronze.select("event_id", "user_id", rest("user_id"), rest("extra"))

@@ -8,6 +8,7 @@ run that fails half-way leaves nothing behind for readers.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,18 +16,12 @@ from pyspark.sql import types as T
 
 from lamella.session import work_dir
 from lamella.sources.commits import CommitLog
-from lamella.sources.files import FileSource, read_files, with_audit
+from lamella.sources.files import FileSource, list_files, read_files, with_audit
+from lamella.sources.schemas import Resolved
 
 FILE = ["path", "modificationTime", "length"]
 
 
-def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """Path, modification time and length of the files; contents are not read."""
-    return (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(*FILE)
-    )
-
-
 LEDGERS = 32
 
 
@@ -36,12 +31,15 @@ def _state(spark: SparkSession, target: str) -> tuple[CommitLog, int, dict]:
     return (log, last[0] + 1, last[1]) if last else (log, 0, {"runs": [], "ledgers": []})
 
 
-def ingest_changed_files(spark: SparkSession, source: FileSource, schema: T.StructType, target: str) -> int:
+def ingest_changed_files(
+    spark: SparkSession, source: FileSource, schema: T.StructType | Callable[[list[str]], Resolved], target: str
+) -> int:
     """Append new and rewritten files to ``target``; returns how many were taken.
 
     The source is listed once; what differs from the ledger is written to a working table
     and taken from there in runs of ``source.max_files``, oldest first, of which only the
-    paths reach the driver. After every ``LEDGERS`` runs the ledger is folded into one folder.
+    paths reach the driver. ``schema`` may be a function of a run's files. After every
+    ``LEDGERS`` runs the ledger is folded into one folder.
     """
     log, number, state = _state(spark, target)
     changed = list_files(spark, source.path)
@@ -56,7 +54,9 @@ def ingest_changed_files(spark: SparkSession, source: FileSource, schema: T.Stru
             log.delete_folder(working)
             return taken
         run, until = f"run-{uuid.uuid4().hex}", files[-1]
-        rows = read_files(spark, source, schema, [f.path for f in files])
+        paths = [f.path for f in files]
+        known = schema(paths) if callable(schema) else Resolved(schema)
+        rows = read_files(spark, source, known.schema or T.StructType(), paths, known.all_known)
         with_audit(rows).write.parquet(f"{target}/{run}/data")
         later = (F.col("_at") > until._at) | ((F.col("_at") == until._at) & (F.col("path") > until.path))
         entries, kept = pending.where(~later).select(*FILE).coalesce(1), state["ledgers"]

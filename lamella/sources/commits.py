@@ -51,6 +51,22 @@ class CommitLog:
         finally:
             stream.close()
 
+    def first_line(self, path: str, encoding: str = "UTF-8") -> str | None:
+        """The first line that is not blank, of a plain or compressed text file; None when there is none."""
+        fs, where = self._at(path)
+        jvm = self._spark._jvm
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(self._spark._jsc.hadoopConfiguration()).getCodec(where)
+        stream = fs.open(where)
+        try:
+            plain = codec.createInputStream(stream) if codec else stream
+            lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(plain, encoding))
+            line = lines.readLine()
+            while line is not None and not line.strip("\ufeff \t"):
+                line = lines.readLine()
+            return None if line is None else line.removeprefix("\ufeff")
+        finally:
+            stream.close()
+
     def write_text(self, path: str, text: str) -> None:
         """Write to a hidden file, then rename: readers see all of it or nothing."""
         parent, name = path.rsplit("/", 1)
@@ -70,6 +86,11 @@ class CommitLog:
         if not fs.rename(self._at(new)[1], where):
             raise OSError(f"could not move {new} to {old}")
 
+    def move(self, path: str, to: str) -> None:
+        fs, where = self._at(path)
+        if not fs.rename(where, self._at(to)[1]):
+            raise OSError(f"could not move {path} to {to}")
+
     def delete_folder(self, path: str) -> None:
         fs, where = self._at(path)
         fs.delete(where, True)
@@ -87,5 +108,8 @@ class CommitLog:
     def get(self, number: int) -> dict[str, Any]:
         return json.loads(self.read_text(f"{self._folder}/{number:010d}.json"))
 
+    def committed(self, number: int) -> bool:
+        return self.exists(f"{self._folder}/{number:010d}.json")
+
     def commit(self, number: int, content: dict[str, Any]) -> None:
         self.write_text(f"{self._folder}/{number:010d}.json", json.dumps(content))

@@ -12,8 +12,8 @@ from lamella.sources.changed_files import ingest_changed_files, read_changed_fil
 from lamella.sources.commits import CommitLog
 from lamella.sources.export import convert, write_files
 from lamella.sources.files import FileSource, infer_schema, read_control_table, read_files, split_corrupt
-from lamella.sources.schemas import SchemaConflict, SchemaStore, merge_schemas, resolve_schema
-from lamella.streaming.bronze import ingest
+from lamella.sources.schemas import SchemaConflict, SchemaStore, merge_schemas, resolve, resolve_schema
+from lamella.streaming.bronze import ingest, read_bronze
 
 from .conftest import rows
 
@@ -30,7 +30,7 @@ def schema(text: str) -> T.StructType:
 
 def bronze(spark, folder, source, **more):
     ingest(spark, source, f"{folder}/bronze", f"{folder}/checkpoint", **more)
-    return spark.read.parquet(f"{folder}/bronze").drop("_ingestion_timestamp")
+    return spark.read.parquet(f"{folder}/bronze").drop("_ingestion_timestamp", "_unmatched")
 
 
 def test_csv_with_header_and_explicit_schema_keeps_leading_zeros(spark, folder):
@@ -206,46 +206,142 @@ def test_a_type_that_cannot_widen_stops_with_an_error(spark, folder):
         merge_schemas(schema("id int, x int"), schema("id int, x string"))
     merged = merge_schemas(schema("a int, s struct<x:int>"), schema("s struct<x:bigint,y:string>, b date"))
     assert merged.simpleString() == "struct<a:int,s:struct<x:bigint,y:string>,b:date>"
-    put(folder, "files/a.csv", "id,v\n1,x\n")
+    assert merge_schemas(schema("id int, x int"), schema("id bigint, x string"), keep=True) == schema("id bigint, x int")
+    spark.sql("select 1 as x").write.parquet(f"{folder}/typed/a")
+    spark.sql("select 'x' as x").write.parquet(f"{folder}/typed/b")
     store = SchemaStore(spark, f"{folder}/schemas")
-    resolve_schema(spark, FileSource(f"{folder}/files", "csv"), store)
-    put(folder, "files/a.csv", "v,id\nx,1\n")
-    with pytest.raises(SchemaConflict, match="moved"):
-        resolve_schema(spark, FileSource(f"{folder}/files", "csv"), store)
+    resolve_schema(spark, FileSource(f"{folder}/typed/a", "parquet"), store)
+    with pytest.raises(SchemaConflict, match="x is int"):
+        resolve_schema(spark, FileSource(f"{folder}/typed/b", "parquet"), store)
+    put(folder, "files/a.json", '{"s": {"x": 1}}\n')
+    assert resolve(spark, FileSource(f"{folder}/files", "json"), None).all_known
+    store.save(schema("s struct<x:string>, x int"))
+    assert not resolve(spark, FileSource(f"{folder}/files", "json"), store).all_known
 
 
-def test_moved_csv_columns_stop_the_read(spark, folder):
+def test_csv_columns_are_matched_by_the_header_of_each_file(spark, folder):
     put(folder, "files/a.csv", "a,b\n1,2\n")
     put(folder, "files/b.csv", "b,a\n20,10\n")
+    put(folder, "files/c.csv", "a\n100\n")
+    put(folder, "files/d.csv", '"A",,b,b\n5,x,y,z\n')
+    put(folder, "files/empty.csv", "")
     source = FileSource(f"{folder}/files", "csv", schema=schema("a int, b int"))
-    with pytest.raises(Exception, match="FAILED_READ_FILE|CSV header"):
+    wanted = [(1, 2), (5, None), (10, 20), (100, None)]
+    assert rows(read_files(spark, source, source.schema), "a", "b") == sorted(wanted, key=str)
+    assert rows(bronze(spark, folder, source)) == sorted(wanted, key=str)
+    rest = read_files(spark, source, source.schema).where("_unmatched is not null")
+    assert rest.first()._unmatched == {"_c1": "x", "b2": "y", "b3": "z"}
+
+
+def test_csv_files_may_gain_lose_and_move_columns_from_run_to_run(spark, folder):
+    source = FileSource(f"{folder}/files", "csv")
+    for name, text in {"a": "a,b\n1,x\n", "b": "a,b,c\n2,y,2.5\n", "c": "a\n3\n", "d": "c,a\n4.5,4\n"}.items():
+        put(folder, f"files/{name}.csv", text)
         bronze(spark, folder, source)
-    with pytest.raises(Exception, match="FAILED_READ_FILE|CSV header"):
-        read_files(spark, source, source.schema).collect()
-
-
-def test_shorter_csv_files_need_the_header_check_off(spark, folder):
-    put(folder, "files/a.csv", "a\n1\n")
-    put(folder, "files/b.csv", "a,b\n2,3\n")
-    strict = FileSource(f"{folder}/files", "csv", schema=schema("a int, b int"))
-    with pytest.raises(Exception, match="CSV header"):
-        read_files(spark, strict, strict.schema).collect()
-    loose = FileSource(strict.path, "csv", schema=strict.schema, options={"enforceSchema": "true"})
-    assert rows(read_files(spark, loose, loose.schema)) == [(1, None), (2, 3)]
-
-
-def test_every_look_moves_the_time_on_and_one_is_kept(spark, folder, monkeypatch):
-    source, store = FileSource(f"{folder}/files", "json"), SchemaStore(spark, f"{folder}/schemas")
-    seen = []
-    for day in (1, 2, 3):
-        put(folder, f"files/{day}.json", f'{{"id": {day}}}\n')
-        clock = type("Clock", (dt.datetime,), {"now": classmethod(lambda c, z, d=day: dt.datetime(2000, 1, d, tzinfo=z))})
-        monkeypatch.setattr("lamella.sources.schemas.datetime", clock)
-        assert resolve_schema(spark, source, store).names == ["id"]
-        seen.append(store.looked_until())
-    assert seen == ["1999-12-31T23:50:00", "2000-01-01T23:50:00", "2000-01-02T23:50:00"]
-    assert store.versions() == 1
-    assert CommitLog(spark, f"{folder}/schemas/looks").numbers() == [2]
+    got = read_bronze(spark, source, f"{folder}/bronze")
+    assert rows(got, "a", "b", "c") == [(1, "x", None), (2, "y", 2.5), (3, None, None), (4, None, 4.5)]
+    both = FileSource(source.path, "csv", max_files=100)
+    ingest(spark, both, f"{folder}/at-once", f"{folder}/at-once-checkpoint")
+    assert rows(read_bronze(spark, both, f"{folder}/at-once"), "a", "b", "c") == rows(got, "a", "b", "c")
+    assert rows(got.where("_unmatched is not null")) == []
+
+
+def test_compressed_csv_and_other_separators(spark, folder):
+    df = spark.createDataFrame([(1, "x;y"), (2, None)], "id int, v string")
+    df.coalesce(1).write.option("header", "true").option("sep", ";").option("compression", "gzip").csv(f"{folder}/files")
+    source = FileSource(f"{folder}/files", "csv", options={"sep": ";"})
+    assert rows(bronze(spark, folder, source)) == rows(df)
+
+
+def test_json_that_does_not_fit_is_kept_beside_what_does(spark, folder):
+    source = FileSource(f"{folder}/files", "json")
+    put(folder, "files/a.json", '{"a": 1, "s": {"x": 1}, "l": [1]}\n')
+    bronze(spark, folder, source)
+    lines = ['{"a": "x", "s": {"x": 1, "y": 2}, "l": [1, "z"], "new": true}', "not json", '{"a": 1.5, "s": 3}', '{"a": 3000000000}', "[1]"]
+    put(folder, "files/b.json", "\n".join(lines) + "\n\n")
+    bronze(spark, folder, source)
+    got = read_bronze(spark, source, f"{folder}/bronze")
+    assert dict(got.dtypes)["a"] == "bigint" and dict(got.dtypes)["s"] == "struct<x:bigint>"
+    wanted = [
+        (1, (1,), None, None), (None, (1,), True, {"a": '"x"', "l": '[1,"z"]', "s": '{"x":1,"y":2}'}), (None, None, None, {"_corrupt_record": "not json"}),
+        (None, None, None, {"a": "1.5", "s": "3"}), (3000000000, None, None, None), (None, None, None, {"_corrupt_record": "1"}),
+    ]
+    plain = [(r.a, r.s and tuple(r.s), r.new, r._unmatched) for r in got.collect()]
+    assert sorted(plain, key=str) == sorted(wanted, key=str)
+
+
+def test_fields_unknown_to_a_given_schema_are_kept(spark, folder):
+    put(folder, "files/a.json", '{"id": 1, "s": {"x": 1, "y": 2}, "more": [1]}\n{"id": 2, "s": {"x": 1}}\n{"id": 3, "more": null}\n')
+    put(folder, "files/b.json", '{"id": 4, "l": [{"x": 1, "z": 0}]}\n')
+    wanted = schema("id int, s struct<x:int>, l array<struct<x:int>>")
+    source = FileSource(f"{folder}/files", "json", schema=wanted)
+    got = {r.id: r for r in read_files(spark, source, wanted).collect()}
+    assert got[1]._unmatched == {"s": '{"x":1,"y":2}', "more": "[1]"} and got[1].s.x == 1
+    assert got[2]._unmatched is None and got[3]._unmatched == {"more": "null"}
+    assert got[4]._unmatched == {"l": '[{"x":1,"z":0}]'} and got[4].l[0].x == 1
+    documents = FileSource(source.path, "json", schema=wanted, multi_line=True, max_files=1)
+    put(folder, "files/a.json", '[{"id": 1,\n "more": 2},\n {"id": 2}]')
+    assert rows(read_files(spark, documents, wanted, [f"{folder}/files/a.json"]), "id", "_unmatched") == [(1, {"more": "2"}), (2, None)]
+    off = FileSource(source.path, "json", schema=wanted, keep_unmatched=False)
+    assert read_files(spark, off, wanted).columns == wanted.names
+
+
+def test_csv_values_that_do_not_fit_are_kept(spark, folder):
+    put(folder, "files/a.csv", "id,day,n\n1,2024-01-15,5\nx,soon,6\n3,,\n4\n")
+    wanted = schema("id int, day date, n int")
+    source = FileSource(f"{folder}/files", "csv", schema=wanted, keep_corrupt=True)
+    got = [(r.id, r.day, r.n, r._unmatched, r._corrupt_record) for r in read_files(spark, source, wanted).collect()]
+    day = dt.date(2024, 1, 15)
+    assert sorted(got, key=str) == sorted([
+        (1, day, 5, None, None), (None, None, 6, {"id": "x", "day": "soon"}, "x,soon,6"), (3, None, None, None, None),
+        (4, None, None, {"_corrupt_record": "4"}, "4"),
+    ], key=str)
+
+
+def test_columns_that_come_while_an_interval_query_runs(spark, folder):
+    source = FileSource(f"{folder}/files", "json")
+    put(folder, "files/0.json", '{"id": 0}\n')
+    query = ingest(spark, source, f"{folder}/bronze", f"{folder}/checkpoint", interval="1 second")
+    try:
+        query.processAllAvailable()
+        put(folder, "files/1.json", '{"id": 1, "extra": "x"}\n')
+        query.processAllAvailable()
+        put(folder, "files/2.json", '{"id": 3000000000, "extra": "y", "third": 0.5}\n')
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    put(folder, "files/3.json", '{"id": 3}\n')
+    ingest(spark, source, f"{folder}/bronze", f"{folder}/checkpoint")
+    got = read_bronze(spark, source, f"{folder}/bronze")
+    assert rows(got, "id", "extra", "third") == [(0, None, None), (1, "x", None), (3, None, None), (3000000000, "y", 0.5)]
+    assert got.where("_unmatched is not null").count() == 0
+
+
+@pytest.mark.parametrize("broken", ["move", "commit", "delete_folder"])
+def test_a_batch_that_fails_half_way_is_there_once_in_the_end(spark, folder, monkeypatch, broken):
+    spark.range(30).repartition(3).write.json(f"{folder}/files")
+    source = FileSource(f"{folder}/files", "json")
+    plain, calls = getattr(CommitLog, broken), []
+
+    def failing(log, *args):
+        calls.append(args)
+        if len(calls) == 2 - (broken == "commit"):
+            raise OSError("lost")
+        return plain(log, *args)
+
+    with monkeypatch.context() as m, pytest.raises(Exception):
+        m.setattr(CommitLog, broken, failing)
+        bronze(spark, folder, source, schema_dir=f"{folder}/schemas")
+    assert len(calls) > 0
+    assert rows(bronze(spark, folder, source, schema_dir=f"{folder}/schemas")) == rows(spark.range(30))
+
+
+def test_folder_columns_and_odd_file_names(spark, folder):
+    put(folder, "files/day=2024-01-15/a [1].json", '{"id": 1}\n')
+    put(folder, "files/day=2024-01-16/b.json", '{"id": 2}\n')
+    source = FileSource(f"{folder}/files", "json")
+    got = bronze(spark, folder, source)
+    assert rows(got, "id", "day") == [(1, dt.date(2024, 1, 15)), (2, dt.date(2024, 1, 16))]
 
 
 def test_stored_schema_is_used_as_is_when_it_may_not_evolve(spark, folder):
