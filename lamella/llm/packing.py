@@ -72,7 +72,8 @@ def byte_pair_encoder(path: str):
 class Encoder:
     """Token ids of texts, with the ids of stretches already met.
 
-    A blank or line end after another character always begins a new token, so the ids of a
+    A text that holds one of the file's added tokens literally is left to ``tokenizers``,
+    which gives these their own ids. A blank or line end after another character always begins a new token, so the ids of a
     text are those of its stretches up to such places, one after the other. The ranks' engine
     overflows its stack on runs of about a million white-space characters, so stretches with
     long runs are encoded by ``tokenizers``.
@@ -82,6 +83,8 @@ class Encoder:
         self.path = path
         self.encode = byte_pair_encoder(path)
         self.long_run = re.compile(rf"\s{{{LONG_RUN}}}")
+        with open(path, encoding="utf-8") as file:
+            self.added = [t["content"] for t in json.load(file)["added_tokens"]]
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}  # the last full table; what is met again moves over
 
@@ -89,9 +92,7 @@ class Encoder:
     def library(self):
         from tokenizers import Tokenizer
 
-        whole = Tokenizer.from_file(self.path)
-        whole.encode_special_tokens = True  # as the ranks do
-        return whole
+        return Tokenizer.from_file(self.path)
 
     def encode_long(self, stretch: str) -> list[int]:
         """Ids of a stretch of ``LONG_RUN`` characters or more."""
@@ -99,8 +100,13 @@ class Encoder:
             return self.library.encode(stretch, add_special_tokens=False).ids
         return self.encode(stretch)
 
+    def ids_with_added(self, text: str) -> bytes:
+        return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        if any(token in text for token in self.added for text in texts):
+            return [self.ids_with_added(t) if any(token in t for token in self.added) else self.ids([t])[0] for t in texts]
         if len(self.known) > STRETCHES_KEPT:
             self.before, self.known = self.known, {}
         known, before = self.known, self.before

@@ -26,7 +26,6 @@ def odd_texts():
 
 def test_stretches_have_the_ids_of_the_whole():
     whole = Tokenizer.from_file(PATH)
-    whole.encode_special_tokens = True
     texts = odd_texts()
     assert all("".join(stretches(t)) == t for t in texts)
     for ids, text in zip(Encoder(PATH).ids(texts), texts):
@@ -35,7 +34,6 @@ def test_stretches_have_the_ids_of_the_whole():
 
 def test_whole_vocabulary_and_given_texts():
     whole = Tokenizer.from_file(PATH)
-    whole.encode_special_tokens = True
     texts = [t for t, in duckdb.sql("select text from '/root/testdata/sf0.1/documents.parquet' limit 1500").fetchall()]
     texts += [whole.decode([k]) for k in range(0, 50256, 7)]
     ids = [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
@@ -45,16 +43,22 @@ def test_whole_vocabulary_and_given_texts():
 @pytest.mark.parametrize("run", [" ", "\n", "a", "\t", "\u2003", "\r\n"])
 def test_long_runs(run):
     whole = Tokenizer.from_file(PATH)
-    whole.encode_special_tokens = True
     texts = [run * (2_000_000 // len(run)), "a b" + run * 5000 + "c  d " + run * 4095]
     for ids, text in zip(Encoder(PATH).ids(texts), texts):
         assert "".join(stretches(text)) == text
         assert np.array_equal(np.frombuffer(ids, "<u4"), whole.encode(text, add_special_tokens=False).ids)
 
 
+def test_added_tokens_have_their_own_ids():
+    whole = Tokenizer.from_file(PATH)
+    texts = ["a <|endoftext|> b", "plain", "<|endoftext|><|endoftext|>", "x" * 5000 + " <|endoftext|>\n\n y", "<|endoftext", "<|endoftext|>" + " " * 2_000_000]
+    ids = [np.frombuffer(x, "<u4").tolist() for x in Encoder(PATH).ids(texts)]
+    assert ids == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 50256 in ids[0] and 50256 not in ids[4]
+
+
 def check(rows, documents, capacity=1024):
     whole = Tokenizer.from_file(PATH)
-    whole.encode_special_tokens = True
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in rows:
         by_doc[r.doc_id].append(r)

@@ -16,7 +16,6 @@ DOCS = "doc_id long, text string, length string, docs string, block string"
 
 def lengths_by_hand(texts):
     whole = Tokenizer.from_file(byte_pairs())
-    whole.encode_special_tokens = True
     return [len(e.ids) for e in whole.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
