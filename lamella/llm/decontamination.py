@@ -157,13 +157,15 @@ def overlaps(
     """The columns ``keep``, among them ``text``, n_words, spans (hit word numbers, first to last) and items.
 
     ``items`` has ``item_id`` and ``text``. Null and wordless texts have no words, and
-    wordless items no windows; an item with a null id is ignored. One row per row of
-    ``docs``; other columns are ignored.
+    wordless items no windows. An item without an id hits like any other, but is not among
+    ``items``; repeated items count once. One row per row of ``docs``; other columns are
+    ignored.
     """
     out = docs.select(*keep, F.lit(0).cast("long").alias("n_words"), F.array().cast(SPANS).alias("spans"), F.array().cast("array<string>").alias("items"))
     at, window = list(keep).index(text), how.window
     spark = docs.sparkSession
-    for block in _blocks(items.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null"), how):
+    once = items.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null").distinct()
+    for block in _blocks(once, how):
         texts = [(r.item_id, plain_words(r.text)) for r in block.collect()]
         shared = spark.sparkContext.broadcast(texts)
 
@@ -174,7 +176,7 @@ def overlaps(
                 words = plain_words(row[at])
                 spans, found = automaton.overlaps(words)
                 spans = merged([*((s["first"], s["last"]) for s in row[-2]), *spans]) if row[-2] else spans
-                named = sorted({*row[-1], *found}) if found else row[-1]
+                named = sorted({*row[-1], *found} - {None}) if found else row[-1]
                 return [(*row[:-3], len(words), [{"first": a, "last": b} for a, b in spans], named)]
 
             return body

@@ -18,14 +18,14 @@ def by_hand(text, items, window=10):
     hit, found = set(), set()
     for item, content in items:
         content = plain_words(content)
-        if not content or item is None:
+        if not content:
             continue
         size = min(window, len(content))
         windows = {tuple(content[k : k + size]) for k in range(len(content) - size + 1)}
         for at in range(len(words) - size + 1):
             if tuple(words[at : at + size]) in windows:
                 hit.update(range(at, at + size))
-                found.add(str(item))
+                found.update([] if item is None else [str(item)])
     return len(words), sorted(hit), sorted(found)
 
 
@@ -33,7 +33,7 @@ def case(seed):
     pick = random.Random(seed)
     word = lambda n=12: f"w{pick.randrange(n)}"
     items = [(k, " ".join(word() for _ in range(pick.choice([1, 3, 9, 10, 11, 30])))) for k in range(25)]
-    items += [(30, None), (31, " .. "), (None, "w1 w2"), (32, items[0][1]), (33, items[4][1] + " W1"), (34, "w3 w3 w3 w3 w3 w3 w3 w3 w3 w3 w3 w3")]
+    items += [(30, None), (31, " .. "), (None, "w1 w2"), (None, " ".join(f"w{k % 11}" for k in range(14))), (2, None), (2, "w5 w5 w5"), (2, "w5 w5 w5"), (32, items[0][1]), (33, items[4][1] + " W1"), (34, "w3 w3 w3 w3 w3 w3 w3 w3 w3 w3 w3 w3")]
     texts = [" ".join(word() for _ in range(pick.randrange(80))) for _ in range(40)]
     texts += [f"a-b, {t}! zz" for _, t in items if t] + [" ".join(t for _, t in items if t), None, "", "?!", "w3 " * 40]
     return items, [(k, t) for k, t in enumerate(texts)]
