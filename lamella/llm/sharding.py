@@ -5,26 +5,32 @@ are added up per slot, and a small versioned table says which shard holds each s
 first version deals the slots in turn; rebalancing edits it, moving slots until shards are
 near equal in bytes, and stores the next version beside it. A record's shard is a lookup.
 
+Rows that share id and text would share a slot. Where a slot has many times the mean bytes,
+its records are numbered in a written table and hashed again with their number.
+
 What reaches the driver is one row per slot. Texts are not shuffled, only ids and sizes.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lamella.llm.rows import hold
 from lamella.session import work_dir
 
 
 @dataclass(frozen=True)
 class Slots:
-    """Shards, slots per record hash, and the fixed bytes that each record counts besides its text."""
+    """Shards, slots per record hash, and the fixed bytes that each record counts besides its text; when a slot is hot."""
 
     shards: int = 40
     slots: int = 8192
     overhead: int = 16
+    hot: float = 8.0  # times the mean bytes of a slot
 
 
 DEFAULT = Slots()
@@ -82,13 +88,20 @@ def rebalanced(shard_of: list[int], sizes: list[int], shards: int, tolerance: fl
 
 def slot_map(spark: SparkSession, shard_of: list[int], first: list[int], version: int) -> DataFrame:
     """version, virtual_slot, shard, first: one row per slot."""
-    pick = lambda values: F.get(F.lit(values), F.col("id").cast("int"))
-    return spark.range(len(shard_of)).select(
-        F.lit(version).alias("version"), F.col("id").cast("int").alias("virtual_slot"),
-        pick(shard_of).cast("int").alias("shard"), pick(first).cast("long").alias("first"),
+    rows = F.from_json(F.lit(json.dumps(list(zip(shard_of, first)))), "array<array<bigint>>")
+    return spark.range(1).select(F.posexplode(rows).alias("virtual_slot", "of")).select(
+        F.lit(version).alias("version"), "virtual_slot", F.col("of")[0].cast("int").alias("shard"), F.col("of")[1].alias("first")
     )
 
 
+def _slot_sizes(records: DataFrame, how: Slots) -> tuple[list[int], list[int]]:
+    """Bytes and rows of each slot."""
+    sizes, rows = [0] * how.slots, [0] * how.slots
+    for r in records.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect():
+        sizes[r.virtual_slot], rows[r.virtual_slot] = r.bytes, r["rows"]
+    return sizes, rows
+
+
 def shard_documents(docs: DataFrame, how: Slots = DEFAULT, map_path: str | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot, map_version.
 
@@ -103,10 +116,14 @@ def shard_documents(docs: DataFrame, how: Slots = DEFAULT, map_path: str | None
     text = F.coalesce("text", F.lit("")).cast("binary")
     records = docs.select("doc_id", (F.octet_length(text) + how.overhead).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     records = records.withColumn("virtual_slot", virtual_slot(how.slots))
-    held = records.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()
-    sizes, rows = [0] * how.slots, [0] * how.slots
-    for r in held:  # one row per slot
-        sizes[r.virtual_slot], rows[r.virtual_slot] = r.bytes, r.rows
+    sizes, rows = _slot_sizes(records, how)
+    hot = [slot for slot, size in enumerate(sizes) if size > how.hot * sum(sizes) / how.slots]
+    if hot:
+        numbered = records.withColumn("number", F.monotonically_increasing_id())
+        again = F.pmod(F.xxhash64("doc_id", "text_crc32", "number"), F.lit(how.slots)).cast("int")
+        spread = F.when(F.col("virtual_slot").isin(hot), again).otherwise(F.col("virtual_slot"))
+        records = hold(numbered.withColumn("virtual_slot", spread).drop("number"), "records")
+        sizes, rows = _slot_sizes(records, how)
 
     def starts(shard_of):
         filled, out = [0] * how.shards, []

@@ -40,6 +40,23 @@ def test_given_documents(spark):
     assert max(load) < 1.02 * sum(load) / 40
 
 
+def test_a_quarter_of_all_rows_alike(spark, folder):
+    pick = random.Random(8)
+    documents = [(k, "x" * pick.randrange(400)) for k in range(9000)]
+    df = spark.createDataFrame([(d, t, "", "") for d, t in documents] + [(None, "the same text without an id", "", "")] * 3000, DOCS)
+    df = df.union(spark.createDataFrame([(7, "y" * 1_000_000, "", "")], DOCS))
+    out = shard_documents(df.where("doc_id is null or length(text) < 1000").repartition(5), map_path=folder)
+    rows = out.collect()
+    load, slots = [0] * 40, {}
+    for r in rows:
+        load[r.shard] += r.size
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert len(rows) == 12000 and max(load) - min(load) < 0.02 * sum(load) / 40
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert len({r.virtual_slot for r in rows if r.doc_id is None}) > 1000
+    assert shard_documents(df).count() == 12001  # one very long text
+
+
 def test_null_ids_repeated_rows_and_nothing(spark):
     df = spark.createDataFrame([(None, "a", "", ""), (None, "a", "", ""), (1, None, "", ""), (1, None, "", "")], DOCS)
     out = shard_documents(df, Slots(shards=3, slots=16)).collect()
