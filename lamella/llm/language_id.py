@@ -24,11 +24,16 @@ _BATCH = 128
 
 @dataclass(frozen=True)
 class Spectrum:
-    """Landmarks and training texts per language, languages at most, and the ridge."""
+    """Landmarks and training texts per language, landmarks and texts in all, numbers in the landmarks, the ridge.
+
+    With many languages each has fewer landmarks and texts, but one at least.
+    """
 
     landmarks: int = 32
     training: int = 400
-    languages: int = 400
+    landmarks_in_all: int = 1024
+    texts_in_all: int = 160_000
+    numbers: int = 1 << 26  # float32 each
     ridge: float = 1e-3
 
 
@@ -78,20 +83,30 @@ class Classifier:
         return out
 
 
+def _first_of_each(texts: list[tuple[str, str]], n: int) -> list[int]:
+    taken: dict[str, int] = {}
+    chosen = []
+    for k, (lang, _) in enumerate(texts):
+        if taken.setdefault(lang, 0) < n:
+            taken[lang] += 1
+            chosen.append(k)
+    return chosen
+
+
 def fitted(texts: list[tuple[str, str]], how: Spectrum = DEFAULT) -> Classifier:
     """Classifier of (language, text) rows; the first of each language are its landmarks."""
     texts = [(lang, text) for lang, text in texts if any(map(str.isalpha, text))]
     languages = sorted({lang for lang, _ in texts})
     spectra = [spectrum(text) for _, text in texts]
-    taken = dict.fromkeys(languages, 0)
-    chosen = []
-    for k, (lang, _) in enumerate(texts):
-        if taken[lang] < how.landmarks:
-            taken[lang] += 1
-            chosen.append(k)
-    if not chosen:
+    if not texts:
         return Classifier(np.empty(0, np.int32), np.empty((0, 0), np.float32), np.empty((0, 0), np.float32), [])
+    each = min(how.landmarks, max(1, how.landmarks_in_all // len(languages)))
+    chosen = _first_of_each(texts, each)
     codes = np.unique(np.concatenate([spectra[k] for k in chosen]))
+    while len(chosen) * len(codes) > how.numbers and each > 1:
+        each //= 2
+        chosen = _first_of_each(texts, each)
+        codes = np.unique(np.concatenate([spectra[k] for k in chosen]))
     model = Classifier(codes, np.zeros((1, len(codes)), np.float32), np.empty((0, 0)), languages)
     rows = np.zeros((len(chosen), len(codes)), np.float32)
     for row, k in zip(rows, chosen):
@@ -102,26 +117,33 @@ def fitted(texts: list[tuple[str, str]], how: Spectrum = DEFAULT) -> Classifier:
     kept = values > 1e-8 * values.max()
     root = vectors[:, kept] / np.sqrt(values[kept])  # between^(-1/2), up to a rotation
     features = np.concatenate([model.kernel(spectra[k : k + _BATCH]) for k in range(0, len(spectra), _BATCH)]) @ root
-    target = np.array([[float(lang == other) for other in languages] for lang, _ in texts])
+    place = {lang: k for k, lang in enumerate(languages)}
+    which = np.array([place[lang] for lang, _ in texts])
+    target = np.zeros((len(texts), len(languages)))
+    target[np.arange(len(texts)), which] = 1
     # each language weighs the same, however many texts it has
-    weight = 1 / np.array([sum(x == lang for x, _ in texts) for lang in languages])
-    weight = weight[[languages.index(lang) for lang, _ in texts]][:, None]
+    weight = (1 / np.bincount(which))[which][:, None]
     gram = features.T @ (features * weight) + how.ridge * np.eye(features.shape[1])
     model.weights = (root @ np.linalg.solve(gram, features.T @ (target * weight))).astype(np.float32)
     return model
 
 
 def training_texts(docs: DataFrame, how: Spectrum = DEFAULT) -> list[tuple[str, str]]:
-    """At most ``how.training`` texts or so of each of the most frequent languages.
+    """At most ``how.training`` texts or so of each language, of all of them.
 
-    Taken by hash of the id under a threshold that the language's count sets, so the sample
-    is spread over the table and no language is missed.
+    Taken by hash of id and text under a threshold that the language's count sets, so the
+    sample is spread over the table; copies of one id and text count once. With more than
+    ``texts_in_all`` languages, the more frequent ones are learned.
     """
     known = docs.where("lang is not null and text is not null and trim(text) <> ''").select("doc_id", "text", "lang")
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(how.languages)
-    share = F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    rows = known.join(F.broadcast(counts), "lang").where(share < how.training / F.col("n"))
-    return [(r.lang, r.text) for r in rows.orderBy(F.xxhash64("doc_id", "text"), "doc_id").select("lang", "text").collect()]
+    hashed = F.xxhash64(F.lit("sample"), "doc_id", "text")
+    counts = known.groupBy("lang").agg(F.approx_count_distinct(hashed, 0.02).alias("n")).orderBy(F.desc("n"), "lang").limit(how.texts_in_all)
+    n_languages = counts.count()
+    each = min(how.training, max(1, how.texts_in_all // max(1, n_languages)))
+    share = F.pmod(hashed, F.lit(1 << 30)) / float(1 << 30)
+    rows = known.join(F.broadcast(counts), "lang").where(share < each / F.col("n")).dropDuplicates(["doc_id", "text", "lang"])
+    rows = rows.orderBy(F.xxhash64("doc_id", "text"), "doc_id").select("lang", "text").collect()
+    return [(r.lang, r.text) for r in rows]
 
 
 def identify(docs: DataFrame, classifier: Classifier) -> DataFrame:
