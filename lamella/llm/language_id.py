@@ -26,7 +26,7 @@ _BATCH = 128
 class Spectrum:
     """Landmarks and training texts per language, landmarks and texts in all, numbers in the landmarks, the ridge.
 
-    With many languages each has fewer landmarks and texts, but one at least.
+    With many languages each has fewer landmarks and texts; one text at least.
     """
 
     landmarks: int = 32
@@ -103,9 +103,9 @@ def fitted(texts: list[tuple[str, str]], how: Spectrum = DEFAULT) -> Classifier:
     each = min(how.landmarks, max(1, how.landmarks_in_all // len(languages)))
     chosen = _first_of_each(texts, each)
     codes = np.unique(np.concatenate([spectra[k] for k in chosen]))
-    while len(chosen) * len(codes) > how.numbers and each > 1:
-        each //= 2
-        chosen = _first_of_each(texts, each)
+    while len(chosen) * len(codes) > how.numbers and len(chosen) > 1:
+        each //= 2  # below one, languages share landmarks
+        chosen = _first_of_each(texts, each) if each else chosen[::2]
         codes = np.unique(np.concatenate([spectra[k] for k in chosen]))
     model = Classifier(codes, np.zeros((1, len(codes)), np.float32), np.empty((0, 0)), languages)
     rows = np.zeros((len(chosen), len(codes)), np.float32)

@@ -48,8 +48,9 @@ def test_five_hundred_languages_are_all_learned(spark):
     rows += [(10**6, "one text of many copies", "zz", "")] * 700
     sample = training_texts(spark.createDataFrame(rows, DOCS), Spectrum(landmarks_in_all=600, texts_in_all=3000))
     assert len({lang for lang, _ in sample}) == 501 and len([x for x, _ in sample if x == "zz"]) == 1
-    model = fitted(sample, Spectrum(landmarks_in_all=600, texts_in_all=3000, numbers=1 << 21))
-    assert len(model.languages) == 501 and model.landmarks.size <= 1 << 21
+    model = fitted(sample, Spectrum(landmarks_in_all=600, texts_in_all=3000, numbers=1 << 22))
+    assert len(model.languages) == 501 and model.landmarks.shape[0] == 501
+    assert fitted(sample, Spectrum(numbers=1 << 20)).landmarks.size <= 1 << 20
     found = [lang for lang, _ in model.predict([f"{name(k) * 5}" for k in range(500)])]
     assert sum(a == name(k) for k, a in enumerate(found)) >= 495
 
