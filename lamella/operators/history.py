@@ -20,9 +20,11 @@ from pyspark.sql import types as T
 
 from lamella.operators.skew import (
     SLICE,
+    Skew,
     SkewPolicy,
-    find_hot_buckets,
+    find_hot_keys,
     materialize,
+    sketch_keys,
     split_hot,
     with_slices,
 )
@@ -195,13 +197,14 @@ def _collapse_sliced(df: DataFrame, spec: HistorySpec, slices: int) -> DataFrame
     return inner.unionByName(stitched.select(*inner.columns)).drop(SLICE)
 
 
-def collapse_runs(df: DataFrame, spec: HistorySpec, skew: SkewPolicy | None = SkewPolicy()) -> DataFrame:
+def collapse_runs(df: DataFrame, spec: HistorySpec, skew: Skew = SkewPolicy()) -> DataFrame:
     """Collapse runs of the same key into maximal runs, adding ``_valid_to``.
 
     ``df`` has the payload, and ``_valid_from`` for the start of each row's run; the runs
-    of a key must not overlap. With ``skew=None`` the check for large keys is left out.
+    of a key must not overlap. With ``skew=None`` the check for large keys is left out; with
+    a sketch of the keys nothing is counted here.
     """
-    hot = find_hot_buckets(df, spec.keys, skew) if skew else None
+    hot = find_hot_keys(df, spec.keys, skew)
     if hot is None:
         return _collapse(df, spec, spec.keys).drop("_opens")
     cold, large = split_hot(df, spec.keys, hot)
@@ -229,7 +232,7 @@ def scd2(
     tracked: Sequence[str] | None = None,
     untracked: Sequence[str] = (),
     drop: Sequence[str] = (),
-    skew: SkewPolicy | None = SkewPolicy(),
+    skew: Skew = SkewPolicy(),
 ) -> DataFrame:
     """One row per version of each key, closed by the start of the next one.
 
@@ -310,7 +313,7 @@ def temporal_join(
     at: str,
     *,
     how: str = "inner",
-    skew: SkewPolicy | None = SkewPolicy(),
+    skew: Skew = SkewPolicy(),
 ) -> DataFrame:
     """Join each fact to the version of its key valid at the fact's time.
 
@@ -318,6 +321,8 @@ def temporal_join(
     version before it: one shuffle and one sort, linear in the rows, where an equality join
     with a range condition would pair every fact with every version of its key first.
     ``on`` names the key columns, present on both sides; the other columns must differ.
+    Sketches of facts and of the events behind a history, added up, may be handed on as
+    ``skew``; else both sides are counted.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"how must be inner or left, not {how!r}")
@@ -326,6 +331,11 @@ def temporal_join(
     shared = set(fact_columns) & set(version_columns)
     if shared:
         raise ValueError(f"rename these columns on one side first: {sorted(shared)}")
+    if isinstance(skew, SkewPolicy):
+        skew = sketch_keys(facts, on, skew) + sketch_keys(history, on, skew)
+    hot = skew.hot() if skew else None
+    if hot:
+        history = materialize(history)  # both routes read it; a lazy one would be computed for each
     fact, version = F.struct(*fact_columns), F.struct(*version_columns)
     no_fact = F.lit(None).cast(facts.select(fact.alias("f")).schema["f"].dataType)
     no_version = F.lit(None).cast(history.select(version.alias("v")).schema["v"].dataType)
@@ -341,7 +351,6 @@ def temporal_join(
             version.alias("_version"),
         )
     )
-    hot = find_hot_buckets(rows, on, skew) if skew else None
     if hot is None:
         met = _fill_forward(rows, on).where(F.col("_side") == 1)
     else:

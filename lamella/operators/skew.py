@@ -1,23 +1,25 @@
 """Finding keys too large for one task, and cutting them into ordered slices.
 
-Keys are hashed into a fixed number of buckets and counted with map-side combining, so
-the answer has at most ``buckets`` rows whatever the size of the table. A bucket is hot
-when it holds more rows than ``ratio`` times the mean bucket; at most ``buckets / ratio``
-can be. Small keys that share a hot bucket take the sliced route too, which changes
-nothing in their result.
+Keys are hashed, and a mergeable sketch of the most frequent hashes is taken: each task
+keeps a bounded number of counters, and what reaches the driver is as bounded, whatever
+the size of the table. Every key with more than about 3.5 / ``tracked`` of all rows is in it, with a
+count that is never too high. A sketch is taken once and can be handed on: that of events
+serves for their history too, which has no more rows per key, and sketches add up.
 """
 
 from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Mapping, Sequence
 from contextlib import contextmanager
 from contextvars import ContextVar
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lamella.session import work_dir
 
@@ -26,53 +28,78 @@ SLICE = "_slice"
 
 @dataclass(frozen=True)
 class SkewPolicy:
-    """When a bucket of keys counts as too large for one task."""
+    """Rows above which a key is too large for one task, and counters per sketch."""
 
     min_rows: int = 2_000_000
-    ratio: float = 4.0
-    buckets: int = 1 << 16
+    tracked: int = 1 << 16
 
 
 @dataclass(frozen=True)
-class HotBuckets:
-    buckets: tuple[int, ...]
+class HotKeys:
+    """Hashes of the keys above the limit, and the rows that they hold together."""
+
+    hashes: tuple[int, ...]
     rows: int
     rows_per_slice: int
-    of: int
 
     @property
     def slices(self) -> int:
         return max(2, math.ceil(self.rows / self.rows_per_slice))
 
 
+@dataclass(frozen=True)
+class KeySketch:
+    """Counts of the most frequent key hashes of some rows, and the policy they were taken under."""
+
+    policy: SkewPolicy
+    rows: int
+    counts: Mapping[int, int]
+
+    def __add__(self, other: KeySketch) -> KeySketch:
+        counts = Counter(self.counts) + Counter(other.counts)
+        return KeySketch(self.policy, self.rows + other.rows, dict(counts.most_common(self.policy.tracked)))
+
+    def hot(self) -> HotKeys | None:
+        """None when no key is above the limit."""
+        large = {h: n for h, n in self.counts.items() if n > self.policy.min_rows}
+        if not large:
+            return None
+        return HotKeys(tuple(sorted(large)), sum(large.values()), max(1, self.policy.min_rows))
+
+
+Skew = SkewPolicy | KeySketch | None
+
+
 def key_bucket(keys: Sequence[str | Column], buckets: int) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
 
-def find_hot_buckets(df: DataFrame, keys: Sequence[str], policy: SkewPolicy) -> HotBuckets | None:
-    """Count rows per key bucket; reads only the key columns. None when nothing is hot."""
-    per_bucket = df.groupBy(key_bucket(keys, policy.buckets).alias("bucket")).agg(
-        F.count(F.lit(1)).alias("rows")
-    )
-    large = F.when(F.col("rows") > policy.min_rows, F.struct("bucket", "rows"))
-    found = per_bucket.agg(
-        F.coalesce(F.sum("rows"), F.lit(0)).alias("total"), F.collect_list(large).alias("large")
-    ).first()
-    limit = max(policy.min_rows, policy.ratio * found.total / policy.buckets)
-    hot = [b for b in found.large if b.rows > limit]
-    if not hot:
+def _key_hash(df: DataFrame, keys: Sequence[str]) -> Column:
+    """Integral keys hash as bigint, so sketches of tables that differ in that add up."""
+    integral = {k for k in keys if isinstance(df.schema[k].dataType, T.IntegralType)}
+    return F.xxhash64(*(F.col(k).cast("long") if k in integral else F.col(k) for k in keys))
+
+
+def sketch_keys(df: DataFrame, keys: Sequence[str], policy: SkewPolicy = SkewPolicy()) -> KeySketch:
+    """One pass over the key columns, added up in tasks."""
+    state = F.call_function("approx_top_k_accumulate", F.col("h"), F.lit(policy.tracked))
+    hashed = df.select(_key_hash(df, keys).alias("h")).agg(state.alias("state"), F.count(F.lit(1)).alias("rows"))
+    top = F.call_function("approx_top_k_estimate", F.col("state"), F.lit(policy.tracked))
+    large = F.filter(top, lambda x: x["count"] > policy.min_rows // 8)  # others hardly matter to a sum of sketches
+    found = hashed.select("rows", large.alias("large")).first()
+    return KeySketch(policy, found.rows, {item: count for item, count in found.large})
+
+
+def find_hot_keys(df: DataFrame, keys: Sequence[str], skew: Skew) -> HotKeys | None:
+    """From a sketch that is handed on, or from one of ``df``; without a policy none is looked for."""
+    if skew is None:
         return None
-    return HotBuckets(
-        buckets=tuple(sorted(b.bucket for b in hot)),
-        rows=sum(b.rows for b in hot),
-        rows_per_slice=max(1, policy.min_rows, found.total // policy.buckets),
-        of=policy.buckets,
-    )
+    return (skew if isinstance(skew, KeySketch) else sketch_keys(df, keys, skew)).hot()
 
 
-def split_hot(df: DataFrame, keys: Sequence[str], hot: HotBuckets) -> tuple[DataFrame, DataFrame]:
-    """(rows of ordinary keys, rows of hot buckets)."""
-    is_hot = key_bucket(keys, hot.of).isin(list(hot.buckets))
+def split_hot(df: DataFrame, keys: Sequence[str], hot: HotKeys) -> tuple[DataFrame, DataFrame]:
+    """(rows of ordinary keys, rows of hot keys)."""
+    is_hot = _key_hash(df, keys).isin(list(hot.hashes))
     return df.where(~is_hot), df.where(is_hot)
 
 

@@ -18,7 +18,7 @@ from lamella.operators.history import (
     split_null_keys,
     temporal_join,
 )
-from lamella.operators.skew import SkewPolicy
+from lamella.operators.skew import KeySketch, SkewPolicy, sketch_keys
 from lamella.plans.registry import query, table
 from lamella.session import work_dir
 from lamella.sources.export import write_files
@@ -127,9 +127,10 @@ def _skewed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).withColumn("user_id", hot)
 
 
-def _sliced(events: DataFrame) -> SkewPolicy:
+def _sliced(events: DataFrame) -> KeySketch:
     """A limit that the large key is above at every size of the table."""
-    return SkewPolicy(min_rows=max(1, events.count() // 20))
+    found = sketch_keys(events, ["user_id"], SkewPolicy(min_rows=0))
+    return KeySketch(SkewPolicy(min_rows=max(1, found.rows // 20)), found.rows, found.counts)
 
 
 @query("scd2_skewed_key", versions_sql(SKEWED, "user_id", "ts", "event_id", "event_type", ", ".join(EVENTS)))
@@ -283,7 +284,7 @@ def scd2_as_of(spark, sf_dir):
     return as_of(scd2(_events(spark, sf_dir), **TYPES), datetime(2024, 1, 15))
 
 
-def _join_purchases(events: DataFrame, skew: SkewPolicy) -> DataFrame:
+def _join_purchases(events: DataFrame, skew: KeySketch) -> DataFrame:
     """Each purchase with what its user did last before it."""
     purchases = events.where(F.col("event_type") == "purchase").select("event_id", "user_id", "ts", "value")
     history = scd2(events.where(F.col("event_type") != "purchase"), **TYPES, skew=skew)
@@ -305,7 +306,8 @@ def _join_sql(source: str) -> str:
 
 @query("scd2_temporal_join", _join_sql("events"))
 def scd2_temporal_join(spark, sf_dir):
-    return _join_purchases(_events(spark, sf_dir), SkewPolicy())
+    events = _events(spark, sf_dir)
+    return _join_purchases(events, sketch_keys(events, ["user_id"]))
 
 
 @query("scd2_temporal_join_skewed", _join_sql(SKEWED))

@@ -5,12 +5,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lamella.operators.history import as_of, current, scd1, scd2, split_null_keys, temporal_join
-from lamella.operators.skew import SkewPolicy, find_hot_buckets, with_slices
+from lamella.operators.history import VALID_FROM, VALID_TO, as_of, current, scd1, scd2, split_null_keys, temporal_join
+from lamella.operators.skew import SkewPolicy, sketch_keys, with_slices
 
 from .conftest import rows
 
-SLICED = SkewPolicy(min_rows=3, ratio=0.0)
+SLICED = SkewPolicy(min_rows=3)
 PLANS = pytest.mark.parametrize("skew", [None, SkewPolicy(), SLICED], ids=["plain", "checked", "sliced"])
 
 
@@ -86,7 +86,7 @@ def test_no_tracked_column_gives_one_version_with_the_latest_values(spark):
 def test_map_columns_can_be_carried(spark):
     df = spark.sql("select * from values ('a', 1, map('x', 1)), ('a', 2, map('x', 2)) as t(k, seq, m)")
     assert scd2(df, ["k"], "seq", untracked=["m"]).first().m == {"x": 2}
-    assert scd2(df, ["k"], "seq", untracked=["m"], skew=SkewPolicy(min_rows=1, ratio=0.0)).first().m == {"x": 2}
+    assert scd2(df, ["k"], "seq", untracked=["m"], skew=SkewPolicy(min_rows=1)).first().m == {"x": 2}
     assert scd1(df, ["k"], "seq").first().m == {"x": 2}
 
 
@@ -136,7 +136,7 @@ def test_any_arrival_order_matches_brute_force(spark, seed):
     rng.shuffle(unique)
     df = events(spark, unique, "k string, seq int, tie int, v string, u int").repartition(5)
     want = brute_force(unique)
-    for skew in (None, SkewPolicy(min_rows=20, ratio=0.5), SLICED):
+    for skew in (None, SkewPolicy(min_rows=20), SLICED):
         got = scd2(df, ["k"], "seq", tie_break=["tie"], untracked=["u"], skew=skew)
         assert sorted(rows(got, "k", "v", "u", "_valid_from", "_valid_to"), key=str) == want
 
@@ -171,7 +171,7 @@ def test_as_of_is_half_open(spark):
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
-@pytest.mark.parametrize("skew", [None, SkewPolicy(min_rows=10, ratio=0.5), SLICED], ids=["plain", "some", "sliced"])
+@pytest.mark.parametrize("skew", [None, SkewPolicy(min_rows=10), SLICED], ids=["plain", "some", "sliced"])
 def test_temporal_join_matches_a_range_join(spark, how, skew):
     rng = random.Random(3)
     keys = ["hot"] * 4 + list("abcd") + [None]
@@ -199,9 +199,50 @@ def test_slices_follow_the_order_and_are_balanced(spark):
     assert all(a[2] < b[1] for a, b in zip(got, got[1:]))
 
 
-def test_hot_buckets_are_counted_per_bucket(spark):
+def test_hot_keys_are_found_and_sketches_add_up(spark):
     df = spark.range(1000).selectExpr("if(id < 400, 0, id) as k")
-    hot = find_hot_buckets(df, ["k"], SkewPolicy(min_rows=100))
-    assert len(hot.buckets) == 1 and 400 <= hot.rows <= 420 and hot.slices >= 4
-    assert find_hot_buckets(df, ["k"], SkewPolicy(min_rows=500)) is None
-    assert find_hot_buckets(df.limit(0), ["k"], SkewPolicy(min_rows=0)) is None
+    found = sketch_keys(df, ["k"], SkewPolicy(min_rows=100))
+    assert found.rows == 1000 and list(found.counts.values()) == [400]
+    assert found.hot().rows == 400 and found.hot().slices == 4
+    twice = found + sketch_keys(df.selectExpr("cast(k as int) as k"), ["k"], SkewPolicy(min_rows=100))
+    assert twice.rows == 2000 and twice.hot().rows == 800 and twice.hot().hashes == found.hot().hashes
+    assert sketch_keys(df, ["k"], SkewPolicy(min_rows=500)).hot() is None
+    assert sketch_keys(df.limit(0), ["k"], SkewPolicy(min_rows=0)).hot() is None
+    assert sketch_keys(spark.range(100_000), ["id"], SkewPolicy(min_rows=50, tracked=256)).hot() is None
+
+
+def counted(spark, df):
+    """The rows, and a count of how often rows were computed."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(run, df.schema), seen
+
+
+def test_a_sketch_handed_on_spares_passes_over_the_input(spark):
+    plain = spark.range(6000).selectExpr("if(id % 3 = 0, 0, id % 50) as k", "id as seq", "id % 7 as v").repartition(4)
+    want = rows(scd2(plain, ["k"], "seq", skew=None))
+    policy = SkewPolicy(min_rows=500)
+    sketch = sketch_keys(plain, ["k"], policy)
+    passes = {}
+    for name, skew in (("none", None), ("policy", policy), ("sketch", sketch)):
+        df, seen = counted(spark, plain)
+        assert rows(scd2(df, ["k"], "seq", skew=skew)) == want
+        passes[name] = seen.value / 6000
+    assert passes == {"none": 1, "policy": 3, "sketch": 2}
+
+
+def test_a_lazy_history_is_computed_once_for_a_large_key(spark):
+    events_ = spark.range(3000).selectExpr("if(id % 3 = 0, 0, id % 50) as k", "id as seq", "id % 7 as v")
+    facts = spark.range(2000).selectExpr("if(id % 2 = 0, 0, id % 50) as k", "id as at", "id as n")
+    plain = scd2(events_, ["k"], "seq", skew=None).select("k", "v", VALID_FROM, VALID_TO)
+    want = rows(temporal_join(facts, plain, ["k"], "at", skew=None))
+    policy = SkewPolicy(min_rows=300)
+    sketch = sketch_keys(facts, ["k"], policy) + sketch_keys(events_, ["k"], policy)
+    df, seen = counted(spark, plain)
+    assert rows(temporal_join(facts, df, ["k"], "at", skew=sketch)) == want
+    assert seen.value == plain.count()

@@ -38,7 +38,7 @@ def test_late_event_falls_inside_a_collapsed_version(spark, folder):
     assert got == [(10, 15, "A", 1), (15, 20, "B", 9), (20, 30, "A", 2), (30, None, "B", 3)]
 
 
-PLAIN, SLICED = SkewPolicy(), SkewPolicy(min_rows=10, ratio=0.5)
+PLAIN, SLICED = SkewPolicy(), SkewPolicy(min_rows=10)
 
 
 @pytest.mark.parametrize(
