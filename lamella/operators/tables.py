@@ -3,28 +3,32 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.sources.commits import CommitLog
-from lamella.sources.tables import read_table, replace_table, table_folders
+from lamella.sources.commits import LANDED, CommitLog
+from lamella.sources.tables import changed_rows, compact_table, packed_scans, read_table, replace_table, table_folders
 
 
 def change_feed(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Row changes between two states of a table with unique keys.
 
     ``_change_type`` is ``insert``, ``delete``, or a pair ``update_preimage`` and
-    ``update_postimage``. One full outer join; unchanged rows end there. Columns that only
-    ``new`` has are null before.
+    ``update_postimage``. The rows of both states are grouped by key, each with its side,
+    and combined before the one shuffle; neither side is sorted. Columns that only ``new``
+    has are null before; types that differ are those of ``new``.
     """
     columns = [c for c in new.columns if c not in keys]
-    old = old.withColumns({c: F.lit(None).cast(new.schema[c].dataType) for c in columns if c not in old.columns})
-    before = old.select(*keys, F.struct(*columns).alias("_old"))
-    after = new.select(*keys, F.struct(*columns).alias("_new"))
-    both = before.join(after, list(keys), "full_outer")
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        given = {c: F.col(f"`{c}`") if c in df.columns else F.lit(None) for c in new.columns}
+        typed = df.select(*(value.cast(new.schema[c].dataType).alias(c) for c, value in given.items()))
+        return typed.select(*keys, F.struct(*columns).alias("_row"), F.lit(name).alias("_side"))
+
+    both = side(old, "old").unionByName(side(new, "new")).groupBy(*keys)
+    both = both.agg(*(F.any_value(F.when(F.col("_side") == s, F.col("_row")), ignoreNulls=F.lit(True)).alias(f"_{s}") for s in ("old", "new")))
     changed = [~F.col(f"_old.`{c}`").eqNullSafe(F.col(f"_new.`{c}`")) for c in columns]
     any_changed = reduce(lambda a, b: a | b, changed, F.lit(False))
 
@@ -42,8 +46,12 @@ def change_feed(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFram
 def table_changes(
     spark: SparkSession, path: str, keys: Sequence[str], since: int, until: int | None = None
 ) -> DataFrame:
-    """Row changes of a table from one of its versions to a later one, or to the current one."""
-    return change_feed(read_table(spark, path, version=since), read_table(spark, path, version=until), keys)
+    """Row changes of a table from one of its versions to a later one, or to the current one.
+
+    Only files that one of the two versions lacks are read.
+    """
+    before, after = changed_rows(spark, path, since, until)
+    return change_feed(before, after, keys)
 
 
 def profile(df: DataFrame) -> DataFrame:
@@ -63,44 +71,27 @@ def profile(df: DataFrame) -> DataFrame:
     return totals.select(F.inline(F.array(*entries)))
 
 
-@contextmanager
-def _settings(spark: SparkSession, **values: str):
-    names = {k.replace("__", "."): v for k, v in values.items()}
-    saved = {k: spark.conf.get(k, None) for k in names}
-    for k, v in names.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in saved.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def compact(
     spark: SparkSession, path: str, target_bytes: int = 256 << 20, into: str | None = None
 ) -> tuple[int, int]:
-    """Rewrite a table of small files into files of about ``target_bytes``.
-
-    A table that a stream appends to is compacted ``into`` another one, as its own stream
-    goes on to add files to it.
+    """Pack the small files of a table into files of about ``target_bytes``; larger ones stay.
 
-    Packing happens in the scan, where one task reads many small files, so nothing is
-    shuffled and no task holds more than its own output. Returns files before and after.
+    A plain folder is brought into a table, or ``into`` another one. Bronze tables, which
+    streams add to and read from, have ``compact_bronze``. Packing happens in the scan,
+    where one task reads many small files, so nothing is shuffled and no task holds more
+    than its own output. Returns files before and after.
     """
     log = CommitLog(spark, f"{path}/_commits")
-    if into is None and log.exists(f"{path}/_spark_metadata"):
-        raise ValueError(f"{path} is appended to by a stream; compact it into another table")
+    if into is None and (log.exists(f"{path}/_spark_metadata") or log.exists(f"{path}/{LANDED}")):
+        raise ValueError(f"{path} is appended to by a stream; use compact_bronze, or compact it into another table")
+    if into is None and log.numbers():
+        return compact_table(spark, path, target_bytes)
 
     def files(table: str) -> int:
-        return sum(len(log.file_sizes(f)) for f in table_folders(spark, table))
+        return sum(len(log.sized_files(f)) for f in table_folders(spark, table))
 
     before = files(path)
-    with _settings(
-        spark,
-        spark__sql__files__maxPartitionBytes=str(target_bytes),
-        spark__sql__files__openCostInBytes="0",
-        spark__sql__files__minPartitionNum="1",
-    ):
+    with packed_scans(spark, target_bytes):
         replace_table(read_table(spark, path), into or path)
     return before, files(into or path)
 

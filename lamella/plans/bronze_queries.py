@@ -16,7 +16,8 @@ from lamella.sources.files import FileSource, read_control_table
 from lamella.sources.records import CORRUPT, UNMATCHED
 from lamella.sources.schemas import SchemaStore
 from lamella.sources.tables import stream_table
-from lamella.streaming.bronze import append_stream, ingest, read_bronze
+from lamella.streaming.bronze import append_stream, bronze_schema, default_schema_dir, ingest, read_bronze
+from lamella.streaming.landing import compact_bronze, landed_batches, landed_rows
 
 AUDIT = "_ingestion_timestamp"
 ADDED = (AUDIT, UNMATCHED)
@@ -307,3 +308,31 @@ def bronze_unmatched_fields(spark, sf_dir):
     bronze = read_bronze(spark, source, f"{root}/bronze", f"{root}/schemas")
     rest = lambda name: F.try_element_at(UNMATCHED, F.lit(name)).alias({"user_id": "other_user"}.get(name, name))
     return bronze.select("event_id", "user_id", rest("user_id"), rest("extra"))
+
+
+@query("bronze_compacted", "SELECT *, true AS fewer FROM orders")
+def bronze_compacted(spark, sf_dir):
+    """A bronze table of many small files after compaction, and one more batch after that."""
+    df = table(spark, sf_dir, "orders")
+    root = work_dir(spark, "bronze-compacted")
+    source = FileSource(f"{root}/files", "parquet", schema=df.schema, max_files=1)
+    write_files(df.where(F.col("o_orderkey") % 5 != 0).repartition(6), f"{root}/files", "parquet")
+    ingest(spark, source, f"{root}/bronze", f"{root}/checkpoint")
+    before, after = compact_bronze(spark, f"{root}/bronze", bronze_schema(spark, source, default_schema_dir(f"{root}/bronze")))
+    write_files(df.where(F.col("o_orderkey") % 5 == 0).coalesce(1), f"{root}/files", "parquet")
+    ingest(spark, source, f"{root}/bronze", f"{root}/checkpoint")
+    return read_bronze(spark, source, f"{root}/bronze").drop(*ADDED).withColumn("fewer", F.lit(after < before))
+
+
+@query("bronze_change_feed", "SELECT *, 'insert' AS _change_type FROM orders WHERE o_orderkey % 3 <> 0")
+def bronze_change_feed(spark, sf_dir):
+    """What the second and third arrival brought, from their files alone."""
+    df = table(spark, sf_dir, "orders")
+    root = work_dir(spark, "bronze-changes")
+    source = FileSource(f"{root}/files", "csv", schema=df.schema, max_files=1000)
+    for arrival in range(3):
+        write_files(df.where(F.col("o_orderkey") % 3 == arrival), f"{root}/files", "csv")
+        ingest(spark, source, f"{root}/bronze", f"{root}/checkpoint")
+    ((stream, batches),) = landed_batches(spark, f"{root}/bronze").items()
+    schema = bronze_schema(spark, source, default_schema_dir(f"{root}/bronze"))
+    return landed_rows(spark, f"{root}/bronze", schema, stream, after=batches[0]).drop(*ADDED, "_batch")

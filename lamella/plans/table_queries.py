@@ -11,7 +11,7 @@ from lamella.operators.tables import compact, profile, table_changes
 from lamella.plans import gold
 from lamella.plans.registry import query, table
 from lamella.session import work_dir
-from lamella.sources.tables import append_table, read_table, replace_table
+from lamella.sources.tables import append_table, delete_rows, read_table, replace_table
 
 
 @query("compact_table", "SELECT * FROM lineitem")
@@ -23,6 +23,27 @@ def compact_table(spark, sf_dir):
     return read_table(spark, path)
 
 
+@query(
+    "change_feed_evolved",
+    """
+    SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice, NULL::VARCHAR AS note, 'delete' AS _change_type
+    FROM part WHERE p_partkey % 10 = 3
+    UNION ALL SELECT p_partkey + 1000000000, p_name, p_brand, p_type, p_size, p_retailprice, 'new ' || p_brand, 'insert'
+    FROM part WHERE p_partkey % 4 = 0
+    """,
+)
+def change_feed_evolved(spark, sf_dir):
+    """Rows are deleted, then rows with one more column are appended: changes across both versions."""
+    part = table(spark, sf_dir, "part")
+    path = work_dir(spark, "evolved-changes")
+    for rest in (0, 1):
+        append_table(part.where(F.col("p_partkey") % 2 == rest), path)
+    delete_rows(spark, path, F.col("p_partkey") % 10 == 3)
+    added = part.where(F.col("p_partkey") % 4 == 0).withColumn("note", F.concat(F.lit("new "), "p_brand"))
+    append_table(added.withColumn("p_partkey", F.col("p_partkey") + 1000000000), path)
+    return table_changes(spark, path, ["p_partkey"], since=1)
+
+
 @query(
     "change_feed",
     """

@@ -15,6 +15,9 @@ from typing import Any
 from pyspark.sql import SparkSession
 
 
+LANDED = "_landed"  # records of the batches of a bronze table
+
+
 class CommitLog:
     def __init__(self, spark: SparkSession, folder: str):
         self._spark = spark
@@ -33,15 +36,11 @@ class CommitLog:
         fs, where = self._at(path)
         return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
 
-    def file_sizes(self, path: str) -> list[int]:
-        """Sizes of the data files below ``path``."""
+    def sized_files(self, path: str) -> list[tuple[str, int]]:
+        """Names and sizes of the data files directly below ``path``, or of the file that it is."""
         fs, where = self._at(path)
-        sizes, files = [], fs.listFiles(where, True)
-        while files.hasNext():
-            status = files.next()
-            if not status.getPath().getName().startswith(("_", ".")):
-                sizes.append(status.getLen())
-        return sizes
+        found = [(s.getPath().getName(), s.getLen()) for s in fs.listStatus(where) if s.isFile()] if fs.exists(where) else []
+        return sorted((name, size) for name, size in found if not name.startswith(("_", ".")))
 
     def read_text(self, path: str) -> str:
         fs, where = self._at(path)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import math
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
@@ -47,10 +49,12 @@ def observed_rows(counted: Observation) -> int:
 class _Parts:
     """The live folders of a table; each write adds one, each commit names the live ones.
 
-    A commit holds the schema too, so that columns of any part are read from all of them.
+    Of a folder of which some files were rewritten the others are named one by one, as
+    folder/file. A commit holds the schema too, so that columns of any part are read from
+    all of them, and what a writer notes besides.
     """
 
-    PATTERN = r"/(part-[0-9a-f]{32})/"
+    PATTERN = r"/(part-[0-9a-f]{32}/[^/]+)$"
 
     def __init__(self, spark: SparkSession, path: str, version: int | None = None):
         self.spark = spark
@@ -60,6 +64,7 @@ class _Parts:
         self.number = last[0] + 1 if last else 0
         self.live: list[str] = last[1]["parts"] if last else []
         self._stored = last[1].get("schema") if last else None
+        self.notes: dict[str, str] = last[1].get("notes", {}) if last else {}
 
     def require_commits(self) -> None:
         """Changing a plain folder in part would hide the rest of it from readers."""
@@ -75,8 +80,38 @@ class _Parts:
             return T.StructType.fromJson(json.loads(self._stored))
         return self.spark.read.option("mergeSchema", "true").parquet(*self.folders() or [self.path]).schema
 
+    def files(self) -> list[tuple[str, int]]:
+        """Live files as folder/file, with their sizes."""
+        found = []
+        for entry in self.live:
+            at = f"{self.path}/{entry}"
+            for name, size in self.log.sized_files(at):
+                found.append((entry if "/" in entry else f"{entry}/{name}", size))
+        return found
+
+    def without(self, gone: set[str]) -> list[str]:
+        """The live entries less these files; folders that lose none of theirs stay as they are."""
+        touched, kept = {file.split("/")[0] for file in gone}, []
+        for entry in self.live:
+            if "/" not in entry and entry in touched:
+                kept += [f"{entry}/{n}" for n, _ in self.log.sized_files(f"{self.path}/{entry}") if f"{entry}/{n}" not in gone]
+            elif entry not in gone:
+                kept.append(entry)
+        return kept
+
+    def read(self, entries: Iterable[str]) -> DataFrame:
+        """Rows of some entries, with the table's schema."""
+        paths = [f"{self.path}/{e}" for e in entries]
+        reader = self.spark.read.schema(self.schema())
+        return reader.parquet(*paths) if paths else self.spark.createDataFrame([], self.schema())
+
     def add(
-        self, df: DataFrame, keep: list[str], schema: T.StructType, check: Callable[[DataFrame], None] | None = None
+        self,
+        df: DataFrame,
+        keep: list[str],
+        schema: T.StructType,
+        check: Callable[[DataFrame], None] | None = None,
+        notes: dict[str, str] | None = None,
     ) -> int:
         """Write a part, have ``check`` look at what was written, and commit it."""
         part = f"part-{uuid.uuid4().hex}"
@@ -89,7 +124,8 @@ class _Parts:
             except Exception:
                 self.log.delete_folder(f"{self.path}/{part}")
                 raise
-        self.log.commit(self.number, {"parts": [*keep, part], "schema": schema.json(), "rows_written": rows})
+        content = {"parts": [*keep, part], "schema": schema.json(), "rows_written": rows}
+        self.log.commit(self.number, {**content, "notes": notes} if notes else content)
         return rows
 
 
@@ -117,20 +153,65 @@ def append_table(df: DataFrame, path: str, check: Callable[[DataFrame], None] |
 def delete_rows(spark: SparkSession, path: str, matches: Column) -> int:
     """Delete matching rows; rows where the condition is null stay. Returns the rows deleted.
 
-    Only the parts that hold a match are rewritten, and none when there is no match.
+    Only the files that hold a match are rewritten, and none when there is no match.
     """
     parts = _Parts(spark, path)
     parts.require_commits()
-    part = F.regexp_extract("_metadata.file_path", parts.PATTERN, 1).alias("part")
-    hits = read_table(spark, path).where(matches).groupBy(part).agg(F.count(F.lit(1)).alias("rows")).collect()
+    file = F.regexp_extract("_metadata.file_path", parts.PATTERN, 1).alias("file")
+    hits = read_table(spark, path).where(matches).groupBy(file).agg(F.count(F.lit(1)).alias("rows")).collect()
     if not hits:
         return 0
-    touched, schema = {h.part for h in hits}, parts.schema()
-    rewritten = spark.read.schema(schema).parquet(*[f"{parts.path}/{p}" for p in parts.live if p in touched])
-    parts.add(rewritten.where(~F.coalesce(matches, F.lit(False))), [p for p in parts.live if p not in touched], schema)
+    touched, schema = {h.file for h in hits}, parts.schema()
+    rest = parts.read(sorted(touched)).where(~F.coalesce(matches, F.lit(False)))
+    parts.add(rest, parts.without(touched), schema, notes=parts.notes)
     return sum(h.rows for h in hits)
 
 
+def compact_table(spark: SparkSession, path: str, target_bytes: int) -> tuple[int, int]:
+    """Merge the small files of a table, those below half the target; larger ones are not touched.
+
+    Small files are packed in the scan, so nothing is shuffled. Returns files before and
+    after. Nothing is written where no two small files would become one.
+    """
+    parts = _Parts(spark, path)
+    parts.require_commits()
+    files = parts.files()
+    small = {name: size for name, size in files if size < target_bytes / 2}
+    merged = math.ceil(sum(small.values()) / target_bytes)
+    if len(small) <= max(1, merged):
+        return len(files), len(files)
+    with packed_scans(spark, target_bytes):
+        parts.add(parts.read(sorted(small)), parts.without(set(small)), parts.schema(), notes=parts.notes)
+    return len(files), len(_Parts(spark, path).files())
+
+
+@contextmanager
+def packed_scans(spark: SparkSession, target_bytes: int):
+    """Let one task read as many small files as come to ``target_bytes``."""
+    values = {"maxPartitionBytes": str(target_bytes), "openCostInBytes": "0", "minPartitionNum": "1"}
+    names = {f"spark.sql.files.{k}": v for k, v in values.items()}
+    saved = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in saved.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def changed_rows(spark: SparkSession, path: str, since: int, until: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows that only the older version's files hold, those of the later one); files in both are not read."""
+    old, new = _Parts(spark, path, since), _Parts(spark, path, until)
+    whole = ({e for e in old.live if "/" not in e}, {e for e in new.live if "/" not in e})
+    split = {e.split("/")[0] for e in [*old.live, *new.live] if "/" in e}
+    sides = []
+    for parts, own in ((old, whole[0]), (new, whole[1])):
+        by_file = [f"{e}/{n}" for e in own & split for n, _ in parts.log.sized_files(f"{parts.path}/{e}")]
+        sides.append({*(own - split), *by_file, *(e for e in parts.live if "/" in e)})
+    return old.read(sorted(sides[0] - sides[1])), new.read(sorted(sides[1] - sides[0]))
+
+
 def table_folders(spark: SparkSession, path: str) -> list[str]:
     """Folders of the current content; the path itself for a plain folder."""
     return _Parts(spark, path).folders() or [path]
@@ -161,7 +242,7 @@ def drop_table(spark: SparkSession, path: str) -> None:
 def expire_parts(spark: SparkSession, path: str, keep_commits: int = 2) -> int:
     """Delete parts that none of the last commits names; readers of older ones lose them."""
     table = _Parts(spark, path)
-    used = {p for n in table.log.numbers()[-keep_commits:] for p in table.log.get(n)["parts"]}
+    used = {p.split("/")[0] for n in table.log.numbers()[-keep_commits:] for p in table.log.get(n)["parts"]}
     gone = [c for c in table.log.children(table.path) if c.startswith("part-") and c not in used]
     for name in gone if used else []:
         table.log.delete_folder(f"{table.path}/{name}")

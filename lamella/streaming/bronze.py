@@ -10,7 +10,7 @@ from lamella.operators.history import INGESTED
 from lamella.sources.changed_files import ingest_changed_files, read_changed_files
 from lamella.sources.files import FileSource, has_files, read_files, require_avro, stream_paths, with_audit
 from lamella.sources.schemas import Resolved, SchemaStore, resolve
-from lamella.streaming.landing import land, stream_name
+from lamella.streaming.landing import land, read_landed, stream_name
 
 
 def append_stream(df: DataFrame, target: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
@@ -96,4 +96,4 @@ def read_bronze(spark: SparkSession, source: FileSource, target: str, schema_dir
     schema = bronze_schema(spark, source, schema_dir or default_schema_dir(target))
     if source.allow_overwrites:
         return read_changed_files(spark, target, schema)
-    return (spark.read.schema(schema) if schema else spark.read).parquet(target)
+    return read_landed(spark, target, schema)

@@ -14,15 +14,19 @@ from lamella.sources.commits import CommitLog
 from lamella.sources.files import FileSource
 from lamella.sources.tables import (
     TableRef,
+    _Parts,
     append_table,
+    changed_rows,
     delete_rows,
     expire_parts,
     read_table,
     replace_table,
+    stream_table,
     table_folders,
     table_versions,
 )
-from lamella.streaming.bronze import ingest
+from lamella.streaming.bronze import append_stream, bronze_schema, default_schema_dir, ingest, read_bronze
+from lamella.streaming.landing import compact_bronze, landed_batches, landed_rows, live_files, vacuum_bronze
 
 from .conftest import rows
 from .test_sources import put
@@ -76,6 +80,56 @@ def test_a_stream_table_is_compacted_into_another(spark, folder):
     assert read_table(spark, f"{folder}/packed").count() == 100
 
 
+def test_large_files_are_not_touched_by_compaction(spark, folder):
+    path = f"{folder}/t"
+    append_table(spark.range(200_000).coalesce(1), path)
+    for n in range(3):
+        append_table(spark.range(n * 10, n * 10 + 10).repartition(4), path)
+    large = [(n, size) for n, size in _Parts(spark, path).files() if size > 100_000]
+    before, after = compact(spark, path, target_bytes=large[0][1])
+    assert (before, after) == (13, 2) and large[0] in _Parts(spark, path).files()
+    assert compact(spark, path, target_bytes=large[0][1]) == (2, 2)
+    assert read_table(spark, path).count() == 200_030
+    assert read_table(spark, path, version=3).count() == 200_030
+
+
+def test_bronze_is_compacted_while_streams_go_on(spark, folder):
+    source = FileSource(f"{folder}/files", "json", max_files=1)
+    target = f"{folder}/bronze"
+
+    def arrive(low, high):
+        spark.range(low, high).coalesce(1).write.mode("append").json(f"{folder}/files")
+        ingest(spark, source, target, f"{folder}/checkpoint")
+
+    def copied():
+        append_stream(stream_table(spark, target), f"{folder}/copy", f"{folder}/copy-checkpoint")
+        return rows(spark.read.parquet(f"{folder}/copy"), "id")
+
+    arrive(1000, 60_000)
+    for n in range(4):
+        arrive(n * 10, n * 10 + 10)
+    schema = bronze_schema(spark, source, default_schema_dir(target))
+    large = max(size for _, size in live_files(spark, target))
+    everything = rows(spark.range(1000, 60_000).union(spark.range(40)))
+    assert copied() == everything
+    assert compact_bronze(spark, target, schema, large) == (5, 2)
+    assert large in [size for name, size in live_files(spark, target) if "/" not in name]
+    assert rows(read_bronze(spark, source, target), "id") == everything
+    arrive(40, 50)
+    arrive(50, 60)
+    everything = rows(spark.range(1000, 60_000).union(spark.range(60)))
+    assert compact_bronze(spark, target, schema, large) == (4, 2)
+    assert rows(read_bronze(spark, source, target), "id") == copied() == everything
+    assert vacuum_bronze(spark, target) == 7
+    assert vacuum_bronze(spark, target) == 0
+    assert rows(read_bronze(spark, source, target), "id") == everything
+    ((stream, batches),) = landed_batches(spark, target).items()
+    assert len(batches) == 7
+    arrive(60, 70)
+    assert rows(landed_rows(spark, target, schema, stream, after=batches[-1]), "id", "_change_type") == [(n, "insert") for n in range(60, 70)]
+    assert landed_rows(spark, target, schema, stream, after=99).count() == 0
+
+
 def test_a_plain_folder_is_not_changed_in_part(spark, folder):
     spark.range(5).write.parquet(f"{folder}/plain")
     with pytest.raises(ValueError, match="plain folder"):
@@ -98,7 +152,7 @@ def test_expired_parts_are_deleted_and_live_ones_kept(spark, folder):
 def test_balanced_write_ends_in_few_files(spark, folder):
     write_balanced(spark.range(1000).repartition(64), f"{folder}/t")
     (part,) = table_folders(spark, f"{folder}/t")
-    assert len(CommitLog(spark, f"{folder}/t/_commits").file_sizes(part)) == 1
+    assert len(CommitLog(spark, f"{folder}/t/_commits").sized_files(part)) == 1
 
 
 def test_change_feed_kinds(spark):
@@ -258,3 +312,31 @@ def test_changes_of_a_table_that_was_widened(spark, folder):
     append_table(spark.createDataFrame([(3, "c", 5)], "id int, x string, y int"), path)
     changes = table_changes(spark, path, ["id"], 0)
     assert rows(changes, "id", "x", "y", "_change_type") == [(3, "c", 5, "insert")]
+
+
+def files_read(df):
+    return {f.rsplit("/", 1)[1] for f in df.inputFiles()}
+
+
+def test_changes_read_only_files_that_differ(spark, folder):
+    path = f"{folder}/t"
+    replace_table(spark.range(1000).withColumn("v", F.col("id") % 3).repartition(10), path)
+    first = {n.split("/")[1] for n, _ in _Parts(spark, path).files()}
+    assert delete_rows(spark, path, F.col("id") == 77) == 1
+    after = {n.split("/")[1] for n, _ in _Parts(spark, path).files()}
+    assert len(first & after) == 9 and len(after) == 10  # one file of ten was rewritten
+    append_table(spark.range(2000, 2005).selectExpr("id", "id as v", "'x' as more").coalesce(1), path)
+    before, now = changed_rows(spark, path, 0)
+    assert files_read(before) == first - after and not files_read(now) & first
+    got = rows(table_changes(spark, path, ["id"], 0), "id", "more", "_change_type")
+    assert sorted(got) == [(77, None, "delete")] + [(n, "x", "insert") for n in range(2000, 2005)]
+    assert table_changes(spark, path, ["id"], 2).count() == 0
+    assert delete_rows(spark, path, F.col("id") < 1500) == 999 and read_table(spark, path).count() == 5
+    assert expire_parts(spark, path, keep_commits=1) == 2 and read_table(spark, path).count() == 5
+
+
+def test_change_feed_of_null_keys_maps_and_other_types(spark):
+    old = spark.sql("select * from values (cast(null as int), 1, map('a', 1)), (2, 2, map('b', 2)), (3, 3, null) as t(id, v, m)")
+    new = spark.sql("select * from values (cast(null as bigint), 1L, map('a', 1)), (2L, 2L, map('b', 3)), (4L, 4L, null) as t(id, v, m)")
+    got = change_feed(old.drop("m"), new.drop("m"), ["id"])
+    assert rows(got) == [(3, 3, "delete"), (4, 4, "insert")]
