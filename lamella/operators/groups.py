@@ -1,4 +1,4 @@
-"""Per-group questions; all combine on the map side before the one shuffle."""
+"""Per-group questions; all but ranks combine on the map side before the one shuffle."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lamella.functions import json as J
 from lamella.functions.text import is_blank
+from lamella.operators.skew import SLICE, Skew, SkewPolicy, find_hot_keys, materialize, split_hot, with_slices
 
 
 def group_count(df: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -44,8 +45,45 @@ def sort_by_json_number(df: DataFrame, column: str, key: str, *then: str | Colum
 
 
 def rank_by_json_number(
-    df: DataFrame, by: Sequence[str], column: str, key: str, *then: str | Column, default: int = 0, name: str = "position"
+    df: DataFrame,
+    by: Sequence[str],
+    column: str,
+    key: str,
+    *then: str | Column,
+    default: int = 0,
+    name: str = "position",
+    skew: Skew = SkewPolicy(),
 ) -> DataFrame:
-    """The rows with their place, from 1, in that order within each group; a group is sorted in one task."""
-    order = Window.partitionBy(*by).orderBy(J.field(column, key, "int", default), *then)
-    return df.withColumn(name, F.row_number().over(order))
+    """The rows with their place, from 1, in that order within each group.
+
+    Groups too large for one task are cut into ordered slices; rows are numbered within
+    each, and the sizes of the slices before are added.
+    """
+    order = [J.field(column, key, "int", default), *(F.col(c) if isinstance(c, str) else c for c in then)]
+
+    def numbered(rows: DataFrame) -> DataFrame:
+        return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+
+    hot = find_hot_keys(df, by, skew)
+    if hot is None:
+        return numbered(df)
+    ordinary, large = split_hot(df, by, hot)
+    return numbered(ordinary).unionByName(_numbered_in_slices(large, by, order, name, hot.slices))
+
+
+def _numbered_in_slices(rows: DataFrame, by: Sequence[str], order: Sequence[Column], name: str, slices: int) -> DataFrame:
+    ordering = [f"_order{i}" for i in range(len(order))]
+    # positions in a written table do not change, so ties and copies keep one order
+    fixed = materialize(rows.select("*", *(c.alias(o) for o, c in zip(ordering, order))))
+    fixed = fixed.withColumn("_copy", F.monotonically_increasing_id())
+    sliced = with_slices(fixed, [*by, *ordering, "_copy"], slices)
+    within = Window.partitionBy(*by, SLICE).orderBy(*ordering, "_copy")
+    placed = materialize(sliced.withColumn("_place", F.row_number().over(within)).drop("_copy", *ordering))
+    earlier = Window.partitionBy(*by).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy(*by, SLICE).agg(F.count(F.lit(1)).alias("_rows"))
+    before = sizes.select(
+        F.struct(*by).alias("_by"), F.col(SLICE).alias("_of"), F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before")
+    )
+    same = (F.col("_of") == F.col(SLICE)) & F.col("_by").eqNullSafe(F.struct(*by))
+    place = (F.col("_place") + F.col("_before")).cast("int").alias(name)
+    return placed.join(before, same).select(*rows.columns, place)

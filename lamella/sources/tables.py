@@ -138,16 +138,24 @@ def replace_table(df: DataFrame, path: str) -> int:
     return _Parts(df.sparkSession, path).add(df, [], merge_schemas(T.StructType(), df.schema))
 
 
-def append_table(df: DataFrame, path: str, check: Callable[[DataFrame], None] | None = None) -> int:
+def append_table(
+    df: DataFrame, path: str, check: Callable[[DataFrame], None] | None = None, notes: dict[str, str] | None = None
+) -> int:
     """Add rows; what is there already is not touched. Returns the rows added.
 
     Columns that the table lacks widen it and are null in older rows. ``check`` is given
-    the rows as they were written; when it raises, nothing is added.
+    the rows as they were written; when it raises, nothing is added. ``notes`` are kept
+    with the commit; deletes and compaction hand them on, other writes do not.
     """
     parts = _Parts(df.sparkSession, path)
     parts.require_commits()
     before = parts.schema() if parts.live else T.StructType()
-    return parts.add(df, parts.live, merge_schemas(before, df.schema), check)
+    return parts.add(df, parts.live, merge_schemas(before, df.schema), check, notes)
+
+
+def table_notes(spark: SparkSession, path: str) -> dict[str, str]:
+    """What the writer of the last commit noted."""
+    return _Parts(spark, path).notes
 
 
 def delete_rows(spark: SparkSession, path: str, matches: Column) -> int:

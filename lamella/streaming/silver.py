@@ -41,6 +41,7 @@ from lamella.sources.tables import observed_rows
 
 BUCKET, STATE, GEN = "_bucket", "_state", "_gen"
 KEY_HASH = "integral keys as bigint"
+MERGED = 8  # generations of a tier that become one of the next
 
 
 def _as_type(field: T.StructField, wanted: T.DataType) -> Column:
@@ -220,6 +221,7 @@ class SilverTable:
                 self._write_runs(runs, gen, state, touched, rewritten)
         self._log.commit(number + 1, state)
         self._log.delete_folder(scratch)
+        self._maintain(spark)
         return True
 
     def _bucket(self, schema: T.StructType) -> Column:
@@ -329,22 +331,55 @@ class SilverTable:
         is rewritten by generation and bucket.
         """
         number, state = self._state()
-        gen = f"g{number + 1:08d}-{uuid.uuid4().hex[:8]}"
-        old = {part: dict(list(state[part].items())[:-keep] if keep else state[part]) for part in ("closed", "log")}
+        old = {part: list(state[part])[:-keep] if keep else list(state[part]) for part in ("closed", "log")}
         if len(old["closed"]) < 2 and len(old["log"]) < 2:
             return
-        if old["closed"]:
-            runs = self._closed(spark, {**state, "closed": old["closed"]}).drop(GEN).withColumn(STATE, F.lit("closed"))
+        for part, gens in old.items():
+            if gens:
+                self._fold(spark, state, part, gens, number + 1)
+        self._log.commit(number + 1, state)
+
+    def _maintain(self, spark: SparkSession) -> None:
+        """Fold ``MERGED`` generations of one tier into one of the next.
+
+        A row is written again once per tier, and live generations, folders read and the
+        size of commits grow with the logarithm of the number of batches.
+        """
+        number, state = self._state()
+        tiers, folded = state.setdefault("tiers", {}), False
+        for part in ("closed", "log"):
+            while True:
+                by_tier: dict[int, list[str]] = {}
+                for gen in state[part]:
+                    by_tier.setdefault(tiers.get(f"{part}/{gen}", 0), []).append(gen)
+                full = [(tier, gens) for tier, gens in by_tier.items() if len(gens) >= MERGED]
+                if not full:
+                    break
+                tier, gens = min(full)
+                new = self._fold(spark, state, part, gens, number + 1)
+                if new:
+                    tiers[f"{part}/{new}"] = tier + 1
+                folded = True
+        if folded:
+            live = {f"{part}/{gen}" for part in ("closed", "log") for gen in state[part]}
+            state["tiers"] = {k: v for k, v in tiers.items() if k in live}
+            self._log.commit(number + 1, state)
+
+    def _fold(self, spark: SparkSession, state: dict, part: str, gens: Sequence[str], number: int) -> str | None:
+        """Write some generations of closed runs or of the log as one; None where no row is left."""
+        gen = f"g{number:08d}-{uuid.uuid4().hex[:8]}"
+        if part == "closed":
+            runs = self._closed(spark, {**state, "closed": {g: state["closed"][g] for g in gens}}).drop(GEN)
+            runs = runs.withColumn(STATE, F.lit("closed"))
             runs.hint("rebalance", BUCKET).write.partitionBy(STATE, BUCKET).parquet(f"{self._path}/runs/{GEN}={gen}")
-            rest = {g: gone for g, gone in state["closed"].items() if g not in old["closed"]}
-            folded = {gen: []} if self._log.exists(f"{self._path}/runs/{GEN}={gen}/{STATE}=closed") else {}
-            state["closed"] = {**folded, **rest}
-        if old["log"]:
-            events = self._logged(spark, state, list(old["log"])).drop(GEN).withColumn("usable", F.lit(True))
+            written = self._log.exists(f"{self._path}/runs/{GEN}={gen}/{STATE}=closed")
+            new = {gen: []} if written else {}
+        else:
+            events = self._logged(spark, state, list(gens)).drop(GEN).withColumn("usable", F.lit(True))
             events.hint("rebalance", BUCKET).write.partitionBy("usable", BUCKET).parquet(f"{self._path}/log/{GEN}={gen}")
-            rest = {g: rows for g, rows in state["log"].items() if g not in old["log"]}
-            state["log"] = {gen: sum(old["log"].values()), **rest}
-        self._log.commit(number + 1, state)
+            written, new = True, {gen: sum(state["log"][g] for g in gens)}
+        state[part] = {**new, **{g: v for g, v in state[part].items() if g not in set(gens)}}
+        return gen if written else None
 
     def vacuum(self, keep_commits: int = 2) -> int:
         """Delete generations that none of the last commits names; run it between batches."""

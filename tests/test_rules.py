@@ -9,8 +9,9 @@ from lamella.functions import json as J
 from lamella.functions import text
 from lamella.operators import groups
 from lamella.operators import rules as R
+from lamella.operators.skew import SkewPolicy
 from lamella.plans.control import config_rules
-from lamella.sources.tables import read_table, replace_table
+from lamella.sources.tables import append_table, delete_rows, read_table, replace_table
 
 from .conftest import rows
 
@@ -111,6 +112,33 @@ def test_append_is_all_or_nothing(spark, folder):
     assert rows(read_table(spark, path)) == [(1, "a", "x"), (2, "b", "y")]
 
 
+def test_stored_rows_are_checked_again_only_when_the_rules_changed(spark, folder, monkeypatch):
+    path, checked = f"{folder}/t", []
+    monkeypatch.setattr(R, "require", lambda df, *a, f=R.require: checked.append(df.count()) or f(df, *a))
+    make = lambda n, w="x": spark.range(n).selectExpr("id", "'a' as v", f"'{w}' as w", """'{"to": ["a@b.c"]}' as j""")
+    rules = lambda: [R.not_null("v"), R.in_set("w", ["x", "y"]), R.array_forall("j", "to", ["@", "."])]
+    assert R.fingerprint(rules()) == R.fingerprint(rules()[::-1]) != R.fingerprint(rules()[:2])
+    replace_table(make(100), path)
+    R.append_validated(path, make(5), rules(), "id")
+    R.append_validated(path, make(6, "y"), rules(), "id")
+    assert delete_rows(spark, path, F.col("id") == 50) == 1
+    R.append_validated(path, make(7).drop("j"), rules()[:2], "id")  # other rules
+    R.append_validated(path, make(8), rules()[:2], "id")
+    append_table(make(1, "z"), path)  # not checked
+    with pytest.raises(R.RuleViolations):
+        R.append_validated(path, make(2), rules()[:2], "id")
+    assert checked == [105, 6, 117, 8, 128]
+    with pytest.raises(R.RuleViolations):
+        R.append_validated(path, make(3, "q"), rules()[:2], "id")
+    delete_rows(spark, path, F.col("w") == "z")
+    R.append_validated(path, make(1), rules()[:2], "id")
+    with pytest.raises(R.RuleViolations):  # the stored rows lack the column
+        R.append_validated(path, make(1).withColumn("more", F.lit(1)), [*rules()[:2], R.not_null("more")], "id")
+    with pytest.raises(R.RuleViolations):  # known rules, a bad new row
+        R.append_validated(path, make(1, "q"), rules()[:2], "id")
+    assert checked[-1] == 1 and read_table(spark, path).count() == 126
+
+
 def test_all_violations_are_kept_and_the_error_shows_some(spark):
     df = spark.range(300).select(F.col("id"), F.lit(" ").alias("v"))
     with pytest.raises(R.RuleViolations) as failed:
@@ -172,3 +200,20 @@ def test_sort_by_json_number_defaults_to_zero_and_keeps_ties_in_order(spark):
     assert [r.id for r in groups.sort_by_json_number(df, "j", "order", "id").collect()] == [3, 2, 9, 1, 4, 0]
     ranked = groups.rank_by_json_number(df.withColumn("g", F.col("id") % 2), ["g"], "j", "order", "id")
     assert rows(ranked, "id", "position") == [(0, 3), (1, 3), (2, 1), (3, 1), (4, 2), (9, 2)]
+
+
+def test_ranks_in_a_group_of_a_third_of_all_rows_by_several_tasks(spark, monkeypatch):
+    df = spark.range(3000).selectExpr(
+        "if(id % 3 = 0, 0, if(id % 100 = 1, null, id % 50 + 1)) as g", "id", "concat('{\"order\": ', id * 7 % 40, '}') as j", "'clash' as _slice2"
+    )
+    plain = groups.rank_by_json_number(df, ["g"], "j", "order", "id", skew=None)
+    seen = []
+    monkeypatch.setattr(groups, "with_slices", lambda *a, f=groups.with_slices: seen.append(f(*a)) or seen[-1])
+    sliced = groups.rank_by_json_number(df, ["g"], "j", "order", "id", skew=SkewPolicy(min_rows=200))
+    assert sliced.columns == plain.columns and rows(sliced) == rows(plain)
+    per_task = seen[0].groupBy("_slice").count().collect()
+    assert len(per_task) >= 4 and max(r["count"] for r in per_task) < 500
+    tied = groups.rank_by_json_number(df, ["g"], "j", "absent", skew=SkewPolicy(min_rows=200))
+    assert rows(tied, "g", "position") == rows(plain, "g", "position")
+    nulls = groups.rank_by_json_number(df.withColumn("g", F.lit(None).cast("int")), ["g"], "j", "order", "id", skew=SkewPolicy(min_rows=200))
+    assert sorted(r.position for r in nulls.collect()) == list(range(1, 3001))
