@@ -11,7 +11,8 @@ What tasks hold is bounded by parameters and is a cache only: the most frequent
 the most frequent words with their backoff weights. The pass follows the failure arc for a
 pair that it does not hold and hands on the pair's hash; a join adds what each such pair
 that the model has gains over that arc. Words beyond the cache are joined alike, so every
-count and every pair enters the scores whatever the size of the input. A bit set of fixed
+count, and every pair of at least ``least`` occurrences, enters the scores whatever the
+size of the input. A bit set of fixed
 size keeps most pairs that the model does not have out of the join.
 """
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm.rows import WordHashes, hold, spaced_words
+from lamella.llm.rows import WORDS_KEPT, LocalWords, hold, release, spaced_words
 
 TOGETHER = 2_000_000  # tokens that a task adds up at a time
 END = np.uint64(0x2545F4914F6CDD1D)  # of the end token, and of the place before the first word
@@ -33,7 +34,11 @@ PRIMES = [0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77
 
 @dataclass(frozen=True)
 class Backoff:
-    """Pairs and words that a task holds, the least count of a pair, the discount, and bits for the pairs not held."""
+    """Pairs and words that a task holds, the least count of a pair, the discount, and bits for the pairs not held.
+
+    ``least`` is the cut-off of the model: a pair that occurs less often in all training
+    texts is no arc, and is scored by its words. The README says what that does to held-out scores.
+    """
 
     pairs: int = 1 << 20
     words: int = 1 << 20
@@ -50,12 +55,21 @@ def held_out(doc_id: str = "doc_id", parts: int = 7, part: int = 2) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % parts == part
 
 
-def _hashes(text: str | None, words: WordHashes) -> np.ndarray:
-    return np.append(words.of(spaced_words(text)), END)
-
+class _Texts:
+    """Tokens of some texts one after the other: word numbers, those before them, and where each text starts."""
 
-def _before(tokens: np.ndarray) -> np.ndarray:
-    return np.concatenate([[END], tokens[:-1]])
+    def __init__(self, texts: list[str | None], words: LocalWords):
+        flat: list[bytes] = []
+        starts = []
+        for text in texts:
+            starts.append(len(flat))
+            flat += spaced_words(text)
+            flat.append(LocalWords.END)
+        self.starts = np.array(starts, np.int64)
+        self.second = words.numbers(flat)
+        self.first = np.concatenate([[0], self.second[:-1]])  # an end stands before each first word
+        self.row = np.repeat(np.arange(len(texts)), np.diff(np.append(self.starts, len(flat))))
+        self.pairs = (self.first << 32) | self.second
 
 
 def _turned(values: np.ndarray, by: int) -> np.ndarray:
@@ -75,37 +89,36 @@ def _pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return seed
 
 
-def _counts(texts: DataFrame, pairs: bool) -> DataFrame:
-    """Counts of words (key, n) or of pairs (first, second, n) over all texts, added up in tasks first."""
-    names = ["first", "second", "n"] if pairs else ["key", "n"]
+def _counts(texts: DataFrame, least: int) -> DataFrame:
+    """first, second, n: counts of words, with a null first, and of pairs that occur ``least`` times.
 
-    def added(tokens: list[np.ndarray]) -> pa.RecordBatch:
-        second = np.concatenate(tokens)
-        if not pairs:
-            return _batch([*np.unique(second, return_counts=True)], names)
-        first = np.concatenate([_before(x) for x in tokens])
-        _, places, n = np.unique(_pair(first, second), return_index=True, return_counts=True)
-        return _batch([first[places], second[places], n], names)
+    Both come from one scan, added up in tasks first.
+    """
+
+    def added(words: LocalWords, held: list[np.ndarray]) -> pa.RecordBatch:
+        pairs, n = np.unique(np.concatenate(held), return_counts=True)
+        second = pairs & 0xFFFFFFFF
+        totals = np.bincount(second, weights=n).astype(np.int64)
+        seen, hashes = np.flatnonzero(totals), words.hashes()
+        first = pa.concat_arrays([pa.array(hashes[pairs >> 32].view(np.int64)), pa.nulls(len(seen), pa.int64())])
+        both = np.concatenate([hashes[second], hashes[seen]]).view(np.int64)
+        return pa.RecordBatch.from_arrays([first, pa.array(both), pa.array(np.concatenate([n, totals[seen]]))], ["first", "second", "n"])
 
     def run(batches):
-        words, held, size = WordHashes(), [], 0
+        words, held, size = LocalWords(int(END)), [], 0
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                for text in batch.column(0).slice(at, 256).to_pylist():
-                    held.append(_hashes(text, words))
-                    size += len(held[-1])
-                    if size > TOGETHER:
-                        yield added(held)
-                        held, size = [], 0
+                held.append(_Texts(batch.column(0).slice(at, 256).to_pylist(), words).pairs)
+                size += len(held[-1])
+                if size > TOGETHER or len(words) > WORDS_KEPT:
+                    yield added(words, held)
+                    held, size = [], 0
+                    words = words if len(words) <= WORDS_KEPT else LocalWords(int(END))
         if held:
-            yield added(held)
-
-    each = texts.select("text").mapInArrow(run, ", ".join(f"{name} long" for name in names))
-    return each.groupBy(*names[:-1]).agg(F.sum("n").alias("n"))
+            yield added(words, held)
 
-
-def _batch(columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], names)
+    each = texts.select("text").mapInArrow(run, "first long, second long, n long")
+    return each.groupBy("first", "second").agg(F.sum("n").alias("n")).where(F.col("first").isNull() | (F.col("n") >= least))
 
 
 @dataclass
@@ -121,35 +134,82 @@ class Automaton:
     tokens: int
     vocabulary: int
 
-    def score(self, tokens: np.ndarray) -> tuple[float, float, int, tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
-        """Log-probability and base score of what is held, words known, and what is to be joined.
+    def scorer(self) -> Scorer:
+        return Scorer(self)
 
-        Of words not held: hashes, how often they occur, are reached through the root, and are left by the
-        failure arc. Of pairs not held, which count as failures here: hashes and how often they occur.
-        """
-        key = _pair(_before(tokens), tokens)
-        arc, scored = _find(self.pairs, key)
-        place, held = _find(self.words, tokens)
-        total = self.pair_scores[arc[scored]].sum()
-        base = np.log10((self.word_counts[place[held]] + 1) / (self.tokens + self.vocabulary + 1))
-        root = np.zeros(len(tokens))
-        root[held] = base
-        total += root[~scored].sum()
-        fails = np.append(~scored[1:], ~scored[0])  # at the word after each; the end stands before the first
-        total += self.backoff[place[held & fails]].sum()
-        words, which = np.unique(tokens[~held], return_inverse=True)
-        counts = (np.bincount(which, weights=x[~held], minlength=len(words)) for x in (np.ones(len(tokens)), ~scored, fails))
-        pairs = key[~scored]
-        pairs = np.unique(pairs[self._marked(pairs)], return_counts=True)
-        return float(total), float(base.sum()), int(held.sum()), (words, *(c.astype(np.int64) for c in counts)), pairs
-
-    def _marked(self, pairs: np.ndarray) -> np.ndarray:
+    def marked(self, pairs: np.ndarray) -> np.ndarray:
         if not len(self.rare):
             return np.zeros(len(pairs), bool)
         bits = self.rare[(pairs >> np.uint64(6)) & np.uint64(len(self.rare) - 1)]
         return (bits >> (pairs & np.uint64(63))) & np.uint64(1) > 0
 
 
+class Scorer:
+    """The automaton's pass over batches of texts; what it knows of words met stays from batch to batch."""
+
+    def __init__(self, model: Automaton):
+        self.model = model
+        self._clear()
+
+    def _clear(self) -> None:
+        self.words = LocalWords(int(END))
+        self.hashes = np.empty(0, np.uint64)
+        self.held = np.empty(0, bool)
+        self.base = self.backoff = np.empty(0)  # 0 for words not held
+
+    def _learn(self) -> None:
+        new = self.words.hashes(len(self.hashes))
+        if len(new):
+            place, held = _find(self.model.words, new)
+            base, backoff = np.zeros(len(new)), np.zeros(len(new))
+            base[held] = np.log10((self.model.word_counts[place[held]] + 1) / (self.model.tokens + self.model.vocabulary + 1))
+            backoff[held] = self.model.backoff[place[held]]
+            self.hashes = np.concatenate([self.hashes, new])
+            self.held = np.concatenate([self.held, held])
+            self.base = np.concatenate([self.base, base])
+            self.backoff = np.concatenate([self.backoff, backoff])
+
+    def score(self, texts: list[str | None]) -> list[pa.Array]:
+        """Columns n_tokens, n_known, base, total of what is held, and lists of what is to be joined.
+
+        Of words not held: hashes, how often they occur, are reached through the root, and are
+        left by the failure arc. Of pairs not held, which count as failures here: hashes and
+        how often they occur.
+        """
+        if len(self.words) > WORDS_KEPT:
+            self._clear()
+        t = _Texts(texts, self.words)
+        self._learn()
+        rows = len(texts)
+        pairs, which = np.unique(t.pairs, return_inverse=True)
+        keys = _pair(self.hashes[pairs >> 32], self.hashes[pairs & 0xFFFFFFFF])
+        arc, there = _find(self.model.pairs, keys)
+        scores = np.zeros(len(pairs))
+        scores[there] = self.model.pair_scores[arc[there]]
+        scored, base = there[which], self.base[t.second]
+        each = np.where(scored, scores[which], base + self.backoff[t.first])
+        held, missed = self.held[t.second], ~scored
+        totals = [np.add.reduceat(x, t.starts) for x in (np.ones(len(t.second), np.int64), held.astype(np.int64), base, each)]
+
+        rest, left = ~held, missed & ~self.held[t.first]
+        place = np.concatenate([(t.row[rest] << 32) | t.second[rest], (t.row[left] << 32) | t.first[left]])
+        words, of = np.unique(place, return_inverse=True)
+        none, some = np.zeros(left.sum()), np.zeros(rest.sum())
+        counts = [np.concatenate(x) for x in ([some + 1, none], [missed[rest], none], [some, none + 1])]
+        counts = [np.bincount(of, weights=c, minlength=len(words)).astype(np.int64) for c in counts]
+        marked = missed & self.model.marked(keys)[which]
+        rare, times = np.unique((t.row[marked] << 32) | which[marked], return_counts=True)
+        lists = [_lists(words, v, rows) for v in (self.hashes[words & 0xFFFFFFFF].view(np.int64), *counts)]
+        lists += [_lists(rare, v, rows) for v in (keys[rare & 0xFFFFFFFF].view(np.int64), times)]
+        return [*map(pa.array, totals), *lists]
+
+
+def _lists(places: np.ndarray, values: np.ndarray, rows: int) -> pa.Array:
+    """Values by row, which the upper half of each ascending place is."""
+    offsets = np.searchsorted(places, np.arange(rows + 1) << 32)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int64()))
+
+
 @dataclass
 class Tables:
     """What tasks do not hold: (key, n, backoff) of all words, and (key, gain) of the pairs beyond the cache.
@@ -195,10 +255,11 @@ def _bits(keys: DataFrame, bits: int) -> np.ndarray:
 
 def train(texts: DataFrame, how: Backoff = DEFAULT) -> tuple[Automaton, Tables]:
     """The automaton of the texts, and the tables of all words and of the pairs that it does not hold."""
-    words = hold(_counts(texts, False), "words")
+    counts = hold(_counts(texts, how.least), "counts")
+    words = counts.where("first is null").select(F.col("second").alias("key"), "n")
     totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     size = float(totals.n + totals.v + 1)
-    pairs = _counts(texts, True).where(F.col("n") >= how.least)
+    pairs = counts.where("first is not null")
     pairs = hold(pairs.join(words.select(F.col("key").alias("second"), F.col("n").alias("word_n")), "second"), "pairs")
     # something follows every word, and the end stands for the beginning: totals are the words' counts
     states = pairs.groupBy(F.col("first").alias("key")).agg(
@@ -207,6 +268,7 @@ def train(texts: DataFrame, how: Backoff = DEFAULT) -> tuple[Automaton, Tables]:
     left, unseen = (F.greatest(1 - x, F.lit(1e-12)) for x in (F.col("held") / F.col("n"), F.col("q")))
     words = words.join(states, "key", "left").select("key", "n", F.coalesce(F.log10(left / unseen), F.lit(0.0)).alias("backoff"))
     words = hold(words, "states")
+    release(counts)
 
     bound = _bound(pairs, how.pairs)
     firsts = words.select(F.col("key").alias("first"), F.col("n").alias("total"), "backoff")
@@ -238,20 +300,14 @@ def score_documents(docs: DataFrame, automaton: Automaton, tables: Tables) -> Da
     shared = docs.sparkSession.sparkContext.broadcast(automaton)
 
     def run(batches):
-        model, hashes = shared.value, WordHashes()
+        scorer = shared.value.scorer()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                rows = []
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    tokens = _hashes(text, hashes)
-                    total, base, known, rest, rare = model.score(tokens)
-                    lists = (x.view(np.int64) for x in (*rest, *rare))
-                    rows.append((doc_id, len(tokens), known, base, total, *lists))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+                columns = scorer.score(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), *columns], names)
 
     names = ["doc_id", "n_tokens", "n_known", "base", "total", "word", "times", "root", "fails", "pair", "pair_times"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), *[pa.list_(pa.int64())] * 6]
     schema = "doc_id long, n_tokens long, n_known long, base double, total double, " + ", ".join(f"{x} array<long>" for x in names[5:])
     scored = docs.select("doc_id", "text").mapInArrow(run, schema)
     scored = hold(scored.withColumn("row", F.monotonically_increasing_id()), "scored")

@@ -12,6 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from lamella.session import work_dir
+from lamella.sources.commits import CommitLog
 
 SLICE = 256
 WORDS_KEPT = 400_000
@@ -44,6 +45,30 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+class LocalWords(dict):
+    """Word to a small number, the same for this object's life, with the hash of each.
+
+    The number 0 is the end token, written as one blank, which no word is.
+    """
+
+    END = b" "
+
+    def __init__(self, end: int):
+        super().__init__({self.END: 0})
+        self._hashes = [end]
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self._hashes)
+        self._hashes.append(xxhash.xxh3_64_intdigest(word))
+        return number
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+    def hashes(self, since: int = 0) -> np.ndarray:
+        return np.array(self._hashes[since:], np.uint64)
+
+
 def mixed(values: np.ndarray) -> np.ndarray:
     """Spread 64-bit values so that all their bits depend on each other."""
     values = (values ^ (values >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
@@ -80,4 +105,12 @@ def hold(df: DataFrame, purpose: str) -> DataFrame:
     """
     path = work_dir(df.sparkSession, purpose)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._held_at = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of ``hold`` that nothing reads any more: all that was made of them is written."""
+    for table in tables:
+        CommitLog(table.sparkSession, table._held_at).delete_folder(table._held_at)
