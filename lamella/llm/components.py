@@ -5,13 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm.rows import hold
+from lamella.llm.rows import hold, release
 
+HEAVY = 1000  # links from which a node may count as heavy
+HEAVY_NODES = 10_000  # there are no more than these
 
-def _lowest(links: DataFrame) -> DataFrame:
-    """Each node with its neighbours and the smallest of itself and them."""
-    lowest = links.groupBy("a").agg(F.min("b").alias("low"))
-    return links.join(lowest.select("a", F.least("a", "low").alias("low")), "a")
+
+def _lowest(links: DataFrame, n: int) -> DataFrame:
+    """Each of ``n`` links with the smallest of its first node and that node's neighbours.
+
+    A node of very many links would be one key of the join. Nodes with more than ``HEAVY``
+    links and more than one in ``HEAVY_NODES`` of all go to every task instead.
+    """
+    degrees = links.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("degree"))
+    is_heavy = F.col("degree") > max(HEAVY, n // HEAVY_NODES)
+    lowest = F.least("a", "low")
+    heavy = F.broadcast(degrees.where(is_heavy).select("a", lowest.alias("low")))
+    marked = links.join(heavy, "a", "left")
+    light = marked.where("low is null").drop("low").join(degrees.where(~is_heavy).select("a", lowest.alias("low")), "a")
+    return marked.where("low is not null").unionByName(light)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -21,17 +33,22 @@ def components(links: DataFrame) -> DataFrame:
     node are tied to its smallest neighbour, then those below it. Tables stay linear in the
     links; nothing but a count and a checksum reaches the driver. Nulls and loops are no links.
     """
-    links = links.where("a <> b").select("a", "b")
-    seen = None
+    links = hold(links.where("a <> b").select("a", "b"), "links")
+    seen = _mark(links)
     while True:
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = _lowest(both).where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        small = _lowest(large.where("b < a").distinct())
+        large = _lowest(both, 2 * seen.n).where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        small = _lowest(large.where("b < a").distinct(), 2 * seen.n)
         tied = small.select(F.col("b").alias("a"), F.col("low").alias("b")).union(small.select("a", F.col("low").alias("b")))
-        links = hold(tied.where("a <> b").distinct(), "links")
-        mark = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
+        following = hold(tied.where("a <> b").distinct(), "links")
+        release(links)
+        links, mark = following, _mark(following)
         if seen == mark:
             break
         seen = mark
     ends = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return ends.union(links.select("b", "b")).distinct()
+
+
+def _mark(links: DataFrame):
+    return links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamella.llm.components import components
-from lamella.llm.rows import WordHashes, hold, map_rows, mixed, spaced_words
+from lamella.llm.rows import WordHashes, hold, map_rows, mixed, release, spaced_words
 
 
 @dataclass(frozen=True)
@@ -181,6 +181,25 @@ def _alone(sets: DataFrame) -> DataFrame:
     return held.where("n = 1").groupBy("node").agg(F.count("*").alias("alone"))
 
 
+MARKS = 1 << 18  # rows of 64 bits each
+
+
+def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id and text of the rows whose id is in ``wanted``.
+
+    Bits of hashed ids, a table of at most ``MARKS`` rows, go to all tasks and keep most other texts
+    out of the shuffle; the join behind them is exact.
+    """
+    hashed = F.xxhash64(F.lit("mark"), "doc_id")
+    place, bit = F.shiftrightunsigned(hashed, 6).bitwiseAND(MARKS - 1), F.call_function(
+        "shiftleft", F.lit(1).cast("long"), hashed.bitwiseAND(63).cast("int")
+    )
+    marks = wanted.groupBy(place.alias("_place")).agg(F.bit_or(bit).alias("_bits"))
+    near = docs.select("doc_id", "text", place.alias("_place"), bit.alias("_bit")).join(F.broadcast(marks), "_place")
+    near = near.where(F.col("_bits").bitwiseAND(F.col("_bit")) != 0).select("doc_id", "text")
+    return near.join(wanted.distinct(), "doc_id")  # a semi-join would be moved before the filter
+
+
 def near_duplicates(docs: DataFrame, how: MinHash = DEFAULT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable) and kept, one row per row.
 
@@ -215,8 +234,7 @@ def near_duplicates(docs: DataFrame, how: MinHash = DEFAULT) -> DataFrame:
     a = packed.select(F.col("node").alias("a"), F.col("packed").alias("p"))
     b = packed.select(F.col("node").alias("b"), F.col("packed").alias("q"))
     pairs = hold(star.join(a, "a").join(b, "b").where(_plausible("p", "q", how)).select("a", "b"), "pairs")
-    wanted = live.select(F.col("node").alias("doc_id")).distinct()
-    sets = hold(shingle_sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), how), "sets")
+    sets = hold(shingle_sets(_texts_of(docs, live.select(F.col("node").alias("doc_id"))), how), "sets")
     links = hold(_confirmed(pairs, sets, how), "links")
 
     label = components(links)
@@ -244,6 +262,7 @@ def near_duplicates(docs: DataFrame, how: MinHash = DEFAULT) -> DataFrame:
     more = hold(_confirmed(rest, sets, how), "links")
     bridges = label.select(F.col("node").alias("a"), F.col("component").alias("b"))
     final = components(bridges.union(more))
+    release(live, pairs, sets, links, unsettled, more)
 
     of_set = nodes.join(final, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
     joined = sketched.join(of_set, "set_key", "left")
