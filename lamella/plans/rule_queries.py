@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lamella.operators import rules as R
+from lamella.plans.control import config_rules
 from lamella.plans.registry import query, table
 
 
@@ -187,3 +188,45 @@ def rule_quarantine(spark, sf_dir):
     return (
         good.withColumn("bad", F.lit(False)).unionByName(bad.withColumn("bad", F.lit(True))).select("event_id", "props", "bad")
     )
+
+
+@query(
+    "rule_config_table",
+    """
+    SELECT c_custkey AS row_key, CASE c_custkey % 10
+        WHEN 1 THEN 'source_type_in_set' WHEN 2 THEN 'file_format_in_set' WHEN 3 THEN 'trigger_type_in_set'
+        WHEN 4 THEN 'cluster_size_in_set' WHEN 5 THEN 'source_path_prefix' WHEN 6 THEN 'cluster_config_json'
+        WHEN 7 THEN 'autoloader_options_schema_location_prefix' WHEN 8 THEN 'email_notifications_recipients_format'
+        ELSE 'email_notifications_email_on_success_type' END AS rule,
+      CASE c_custkey % 10
+        WHEN 1 THEN 'invalid source_type: ftp' WHEN 2 THEN 'invalid file_format: xml' WHEN 3 THEN 'invalid trigger_type: null'
+        WHEN 4 THEN 'invalid cluster_size: huge' WHEN 5 THEN 'invalid source_path: s3://' || c_name
+        WHEN 6 THEN 'invalid JSON in cluster_config: {' || c_name WHEN 7 THEN 'invalid schema_location: /tmp/' || c_name
+        WHEN 8 THEN 'invalid recipients: nobody' ELSE 'email_on_success must be BOOLEAN, not STRING' END AS message
+    FROM customer WHERE c_custkey % 10 <> 0
+    """,
+)
+def rule_config_table(spark, sf_dir):
+    """All checks of a control table, over one that is derived from customers; nine of ten rows break one."""
+    customer = table(spark, sf_dir, "customer")
+    fault = F.col("c_custkey") % 10
+
+    def value(good, number: int, bad):
+        return F.when(fault == number, bad).otherwise(good)
+
+    options = F.struct(
+        value(F.concat(F.lit("abfss://c@a/"), "c_name"), 7, F.concat(F.lit("/tmp/"), "c_name")).alias("schema_location"),
+        F.lit("abfss://c@a/checkpoint").alias("checkpoint_location"),
+    )
+    people = F.array(F.lit("a@b.org"), value(F.lit("c@d.org"), 8, F.lit("nobody")))
+    mail = F.struct(people.alias("recipients"), F.lit(True).alias("email_on_success"), F.lit(False).alias("email_on_failure"))
+    odd = F.struct(people.alias("recipients"), F.lit("yes").alias("email_on_success"), F.lit(False).alias("email_on_failure"))
+    config = customer.select(
+        "c_custkey", F.lit("dlt").alias("pipeline_type"), value(F.lit("adls"), 1, F.lit("ftp")).alias("source_type"),
+        value(F.concat(F.lit("abfss://c@a/"), "c_name"), 5, F.concat(F.lit("s3://"), "c_name")).alias("source_path"),
+        value(F.lit("csv"), 2, F.lit("xml")).alias("file_format"), value(F.lit("time"), 3, F.lit(None)).alias("trigger_type"),
+        value(F.lit("small"), 4, F.lit("huge")).alias("cluster_size"), F.to_json(options).alias("autoloader_options"),
+        value(F.lit("{}"), 6, F.concat(F.lit("{"), "c_name")).alias("cluster_config"),
+        value(F.to_json(mail), 9, F.to_json(odd)).alias("email_notifications"),
+    )
+    return R.validate(config, config_rules(), "c_custkey")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lamella.sources.changed_files import ingest_changed_files, read_changed_files
+from lamella.sources.changed_files import changed_runs, ingest_changed_files, read_changed_files
 from lamella.sources.commits import CommitLog
 from lamella.sources.export import convert, write_files
 from lamella.sources.files import FileSource, infer_schema, read_control_table, read_files, split_corrupt
@@ -137,12 +137,15 @@ def test_a_rewritten_file_is_ignored_or_taken_again(spark, folder):
 
 def test_the_ledger_is_folded_and_forgets_nothing(spark, folder, monkeypatch):
     monkeypatch.setattr("lamella.sources.changed_files.LEDGERS", 2)
+    monkeypatch.setattr("lamella.sources.changed_files.RUNS", 2)
+    monkeypatch.setattr("lamella.sources.changed_files.AHEAD", 2)
     source = FileSource(f"{folder}/files", "json", schema=schema("id int"), allow_overwrites=True, max_files=1)
     for n in range(5):
         put(folder, f"files/{n}.json", f'{{"id": {n}}}\n')
     assert ingest_changed_files(spark, source, source.schema, f"{folder}/bronze") == 5
     assert ingest_changed_files(spark, source, source.schema, f"{folder}/bronze") == 0
-    assert len(CommitLog(spark, f"{folder}/bronze/_commits").latest()[1]["ledgers"]) < 3
+    state = CommitLog(spark, f"{folder}/bronze/_commits").latest()[1]
+    assert len(state["ledgers"]) < 3 and len(state["runs"]) <= 2 and len(changed_runs(spark, f"{folder}/bronze")) == 5
     assert rows(read_changed_files(spark, f"{folder}/bronze"), "id") == [(n,) for n in range(5)]
 
 
