@@ -35,17 +35,20 @@ MARKS = [1.0, 2.0, 3.0, 4.0, 6.0, 8.0, 12.0]  # thresholds on ``marked``
 class Covering:
     """How the list is learned.
 
-    ``sample`` bounds the labelled documents, taken by hash of their id. A marked stem is in
-    at least ``least`` toxic documents, whatever their share, and ``purity`` of its
-    documents are toxic.
+    ``sample`` bounds the labelled documents, taken by hash of their id; a rule has ``precision`` on the part
+    that prunes. A marked stem is in at least ``least`` toxic texts, whatever their share, and
+    ``purity`` of its texts are toxic, where ``weight`` texts of the usual mixture are added to
+    them. It goes on letter by letter as long as the longer one has ``share`` of its toxic texts.
     """
 
     sample: int = 10_000
     rules: int = 8
     conditions: int = 3
     precision: float = 0.95
-    least: int = 6
-    purity: float = 0.97
+    least: int = 4
+    purity: float = 0.7
+    weight: float = 2.0
+    share: float = 0.9
 
 
 DEFAULT = Covering()
@@ -151,7 +154,7 @@ def with_measures(df: DataFrame, marked: tuple[str, ...]) -> DataFrame:
         bars=100.0 * count(r"\|") / words,
         digits=count("[0-9]") / chars,
         variety=F.size(F.array_distinct("_words")) / words,
-        marked=hits.cast("double"),
+        marked=hits / F.greatest(F.lit(1.0), words / 1000),
     )
     return df.drop("_text", "_words", "_lines")
 
@@ -178,22 +181,32 @@ def labelled(docs: DataFrame, labels: DataFrame, how: Covering = DEFAULT) -> Dat
 
 
 def marked_stems(rows: DataFrame, how: Covering = DEFAULT) -> tuple[str, ...]:
-    """Beginnings of words, and whole words, whose documents are toxic, most frequent first.
+    """Beginnings of words, and whole words, that mark toxic texts.
 
     Words are lower-cased. Their first four to nine letters count, and the whole word, which
-    ends in a blank here. Copies of a text count once. Of nested stems the shortest that is
-    pure stays.
+    ends in a blank here. Copies of a text count once. Of nested stems that qualify the
+    shortest is taken, and made as long as its texts allow, so that what its words share with
+    harmless ones does not count.
     """
     texts = rows.groupBy(F.xxhash64("text").alias("copy")).agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))
     words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.length(w) > 3))
     parts = F.transform(words, lambda w: F.array(*(F.left(w, F.lit(k)) for k in range(4, 10)), F.concat(w, F.lit(" "))))
+    usual = texts.agg(F.coalesce(F.avg(F.col("toxic").cast("int")), F.lit(0.0))).first()[0]
     counts = texts.select("toxic", F.explode(F.array_distinct(F.flatten(parts))).alias("stem")).groupBy("stem")
     counts = counts.agg(F.count_if("toxic").alias("bad"), F.count("*").alias("n"))
-    found = counts.where((F.col("bad") >= how.least) & (F.col("bad") >= how.purity * F.col("n")))
-    out: dict[str, None] = {}
-    for r in found.orderBy(F.desc("bad"), F.length("stem"), "stem").collect():  # stems of at most ``sample`` texts
-        if not any(r.stem[:k] in out for k in range(4, len(r.stem))):
-            out[r.stem] = None
+    pure = F.col("bad") + how.weight * usual >= how.purity * (F.col("n") + how.weight)
+    found = {r.stem: r.bad for r in counts.where((F.col("bad") >= how.least) & pure).collect()}  # stems of at most ``sample`` texts
+    longer: dict[str, list[str]] = {}
+    for stem in found:
+        longer.setdefault(stem[:-1], []).append(stem)
+    out = []
+    for stem in sorted(found):
+        if any(stem[:k] in found for k in range(4, len(stem))):
+            continue
+        most, enough = stem, how.share * found[stem]
+        while following := [x for x in longer.get(most, ()) if found[x] >= enough]:
+            most = max(following, key=lambda x: (found[x], x))
+        out.append(most)
     return tuple(out)
 
 
@@ -275,7 +288,7 @@ def _grown(left: DataFrame, edges: dict[str, list[float]], how: Covering) -> lis
 
 
 def _settled(left: DataFrame, rule: list[Condition], how: Covering) -> list[Condition]:
-    """The rule with the least threshold on ``marked`` that is precise on the other part, if there is one.
+    """``marked`` counts per thousand words, begun ones counting whole. The rule with the least threshold on ``marked`` that is precise on the other part, if there is one.
 
     Stems are learned where the rule was grown and look better there than they are.
     """
