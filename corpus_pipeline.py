@@ -1,6 +1,13 @@
 """Documents to packed training sequences, in five stages.
 
 Each stage works on all that the one before kept, is written as Parquet and read again.
+
+Null and empty texts fail the first stage's base rules, so later stages have none from it; each
+handles them all the same, as its operator says. Rows without an id, repeated rows and
+further columns, whatever their names, pass through the first four stages like any other.
+Empty tables give empty ones.
+
+Near-duplicates are removed at the similarity of 0.85 that ``op1`` is given.
 """
 
 from __future__ import annotations
@@ -23,22 +30,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates; rows of one id are one document, null ids are copies of any equal text."""
     return without_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark passages cut out; documents that are mostly passages removed."""
+    """Benchmark passages cut out; documents that are mostly passages removed. Null texts stay."""
     return without_overlaps(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced by its kind."""
+    """Personal data replaced by its kind; all rows stay."""
     return pii.redact(docs, pii.learn(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of tokenized documents with their sequence and offset."""
+    """Pieces of tokenized documents with their sequence and offset; every row is a document of its own."""
     return pack_documents(docs, byte_pairs())
 
 

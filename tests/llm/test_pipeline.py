@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 
 import corpus_pipeline
@@ -73,3 +75,42 @@ def test_packing(stages):
 
 def test_run_gives_the_same(stages, spark):
     assert corpus_pipeline.run(spark, SF_DIR).select("doc_id", "piece", "ids_crc32").distinct().count() == len(stages["packing"])
+
+
+def small_tables(spark, folder, documents, labels, benchmark):
+    """Tables of the three kinds, documents with columns that clash with names inside the operators."""
+    clash = "n_chars long, kept string, node long, spans string, _text string, piece int, label string, `a.b` string"
+    values = (7, "k", 1, "s", "t", 2, "l", "d")
+    rows = [(d, t, "en", "web", *values) for d, t in documents]
+    spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, {clash}").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(benchmark, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+
+def test_nulls_long_texts_repeated_rows_and_clashing_columns(spark, folder):
+    pick = random.Random(11)
+    prose = lambda n, salt: " ".join(f"{salt}{pick.randrange(10_000)}" for _ in range(n))
+    item = prose(30, "item")
+    documents = [(k, prose(80, "w")) for k in range(30)] + [(None, prose(70, "x")), (None, None), (40, None), (41, ""), (42, " ")]
+    documents += [(50, documents[3][1])] * 3 + [(51, documents[3][1] + " tail"), (None, documents[3][1])]
+    documents += [(60, prose(400_000, "l")), (61, "7" * 300_000), (62, prose(90, "y") + " " + item), (63, prose(90, "z") + " mail a.b@c.de"), (60, prose(60, "v"))]
+    labels = [(0, 1, 0), (0, 1, 0), (1, None, None), (None, 0, 1), (99, 0, 0)]
+    small_tables(spark, folder, documents, labels, [(1, item), (None, item), (2, None), (1, item)])
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    columns, sizes = docs.columns, []
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, hold(stage(spark, docs, folder), name)
+        sizes.append(docs.count())
+        if name != "packing":
+            assert docs.columns == columns
+    # nulls, blanks and the text of one word go; then the copies with an id and the near copy. Rows without an id stay
+    # together, and one of them is no copy
+    assert sizes[:4] == [40, 36, 36, 36]
+    texts = {r.doc_id: r.text for r in before.collect() if r.doc_id in (62, 63)}
+    assert item not in texts[62] and texts[63].endswith(" mail [EMAIL]")
+    check_packing([r for r in docs.collect() if r.doc_id not in (None, 60)], [(r.doc_id, r.text) for r in before.collect() if r.doc_id not in (None, 60)])
+
+
+def test_empty_tables(spark, folder):
+    small_tables(spark, folder, [], [], [])
+    assert corpus_pipeline.run(spark, folder).count() == 0
