@@ -169,9 +169,11 @@ def _read_csv(spark: SparkSession, source: FileSource, schema: T.StructType, pat
 def stream_paths(spark: SparkSession, source: FileSource) -> DataFrame:
     """Stream of the paths of new files, at most ``max_files`` per micro-batch; contents are not read.
 
-    A file is known by its path: once taken, rewriting it adds nothing.
+    A file is known by its path: once taken, rewriting it adds nothing. Files older than the
+    option ``maxFileAge`` before the newest are neither looked at nor remembered, which bounds
+    what the driver remembers; by default none is that old.
     """
-    files = spark.readStream.format("binaryFile").schema(LISTED).options(**source.options)
+    files = spark.readStream.format("binaryFile").schema(LISTED).options(**{"maxFileAge": "36500d", **source.options})
     files = files.option("maxFilesPerTrigger", source.max_files)
     return files.load(source.path).select("path")
 

@@ -193,11 +193,11 @@ def test_dropped_columns_are_not_on_disk(spark, folder):
 
 
 def test_many_small_batches_leave_few_generations(spark, folder, monkeypatch):
-    monkeypatch.setattr("lamella.streaming.silver.MERGED", 3)
+    monkeypatch.setattr("lamella.streaming.silver.MERGED", 2)
     table = SilverTable(spark, f"{folder}/silver", ["k"], "seq", tracked=["v"], buckets=2)
-    events = spark.range(220).selectExpr("id % 7 as k", "id as seq", "id % 3 as v")
+    events = spark.range(130).selectExpr("id % 7 as k", "id as seq", "id % 3 as v")
     sizes = []
-    for n in range(22):
+    for n in range(13):
         part = events.where((F.col("seq") >= n * 10) & (F.col("seq") < n * 10 + 10))
         if n % 5 == 4:
             part = part.union(spark.sql(f"select {n % 7}L, {n * 3}L, 9L"))  # a late event
@@ -205,7 +205,7 @@ def test_many_small_batches_leave_few_generations(spark, folder, monkeypatch):
         state = table._state()[1]
         sizes.append((len(state["closed"]), len(state["log"]), len(str(state.get("tiers", {})))))
     assert max(c for c, _, _ in sizes) <= 8 and max(n for _, n, _ in sizes) <= 8 and max(t for _, _, t in sizes) < 400
-    late = spark.createDataFrame([(n % 7, n * 3, 9) for n in range(4, 22, 5)], "k long, seq long, v long")
+    late = spark.createDataFrame([(n % 7, n * 3, 9) for n in range(4, 13, 5)], "k long, seq long, v long")
     every = events.union(late)
     assert rows(table.read(spark), "k", "v", VALID_FROM, VALID_TO) == rows(scd2(every, ["k"], "seq", tracked=["v"]), "k", "v", VALID_FROM, VALID_TO)
     assert table.vacuum() > 0 and table.read(spark).count() == scd2(every, ["k"], "seq", tracked=["v"]).count()

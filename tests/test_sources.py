@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 from pathlib import Path
 from urllib.parse import urlparse
 
@@ -339,6 +340,17 @@ def test_a_batch_that_fails_half_way_is_there_once_in_the_end(spark, folder, mon
     assert rows(bronze(spark, folder, source, schema_dir=f"{folder}/schemas")) == rows(spark.range(30))
 
 
+def test_files_with_an_old_modification_time_are_taken(spark, folder):
+    source = FileSource(f"{folder}/files", "json")
+    for n, age in enumerate((0, 400 * 86400, 20 * 365 * 86400)):
+        put(folder, f"files/{n}.json", f'{{"id": {n}, "c{n}": 1}}\n')
+        where = Path(urlparse(folder).path) / f"files/{n}.json"
+        os.utime(where, (where.stat().st_mtime - age,) * 2)
+        bronze(spark, folder, source)
+    got = read_bronze(spark, source, f"{folder}/bronze")
+    assert rows(got, "id") == [(0,), (1,), (2,)] and {"c0", "c1", "c2"} < set(got.columns)
+
+
 def test_folder_columns_and_odd_file_names(spark, folder):
     put(folder, "files/day=2024-01-15/a [1].json", '{"id": 1}\n')
     put(folder, "files/day=2024-01-16/b.json", '{"id": 2}\n')
