@@ -91,3 +91,10 @@ def test_no_letters_nulls_and_nothing(spark):
     nothing = fitted(training_texts(df.limit(0)))
     assert {r.lang_pred for r in identify(df, nothing).collect()} == {"und"}
     assert identify(df.limit(0), model).count() == 0
+
+
+def test_very_long_texts(spark):
+    model = fitted([("de", "guten tag und auf wiedersehen"), ("en", "hello there the weather is fine")])
+    texts = ["hello there the weather is fine ", "guten tag und auf wiedersehen ", "7 "]
+    df = spark.createDataFrame([(k, t * 100_000, "", "") for k, t in enumerate(texts)], DOCS)
+    assert [r.lang_pred for r in identify(df, model).orderBy("doc_id").collect()] == ["en", "de", "und"]

@@ -113,3 +113,16 @@ def test_pairs_are_hashed_as_by_spark(spark):
     expected = [r[0] for r in spark.createDataFrame(values, "a long, b long").selectExpr("xxhash64(a, b)").collect()]
     first, second = np.array(values, np.int64).view(np.uint64).T
     assert _pair(first, second).view(np.int64).tolist() == expected
+
+
+def test_very_long_texts(spark, monkeypatch):
+    pick = random.Random(8)
+    long = " ".join(f"v{min(pick.randrange(30_000), pick.randrange(30_000))}" for _ in range(250_000))
+    documents = [*corpus(4), (500, long), (501, long), (502, "b" * 1_000_000)]
+    df = spark.createDataFrame([(d, t, "") for d, t in documents], DOCS)
+    how = Backoff(pairs=2000, words=500)
+    expected, *_ = by_hand(documents, how.least, how.discount)
+    automaton, tables = train(df.where(~held_out()), how)
+    for r in score_documents(df, automaton, tables).collect():
+        assert (r.n_tokens, r.n_known, r.train_tokens) == expected[r.doc_id][1:4]
+        assert math.isclose(r.base_score, expected[r.doc_id][4], rel_tol=1e-9) and math.isclose(r.score, expected[r.doc_id][5], rel_tol=1e-9)

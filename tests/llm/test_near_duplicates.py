@@ -91,3 +91,26 @@ def test_components_of_a_long_path(spark):
     links = [(k, k + 1) for k in range(60)] + [(100, 90), (90, 95)]
     got = dict(components(spark.createDataFrame(links, "a long, b long")).collect())
     assert got == {**{k: 0 for k in range(61)}, 90: 90, 95: 90, 100: 90}
+
+
+def test_very_long_texts(spark):
+    pick = random.Random(4)
+    words = [f"w{pick.randrange(50_000)}" for _ in range(150_000)]
+    near, far = list(words), list(words)
+    for k in range(0, len(words), 100):
+        near[k] = "x"
+    for k in range(0, len(words), 20):
+        far[k] = f"y{k}"
+    documents = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far)), (4, "z" * 2_000_000), (5, "z" * 2_000_000)]
+    df = spark.createDataFrame([(d, t, "") for d, t in documents], SCHEMA)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df).collect())
+    assert got == by_hand(documents)
+
+
+def test_a_star_of_very_many_links(spark):
+    star = spark.range(2, 6002).selectExpr("1L as a", "id as b")
+    chains = spark.range(10_000, 10_500).selectExpr("id as a", "id + 500 as b")
+    got = components(star.union(chains))
+    assert got.where("node <= 6001").select("component").distinct().collect() == [(1,)]
+    assert got.where("node > 6001 and component <> least(node, node - 500)").where("node >= 10500").count() == 0
+    assert got.count() == 6001 + 1000

@@ -41,6 +41,24 @@ def test_base_statistics(spark):
         assert r.kept == (not r.base_failed)
 
 
+def test_very_long_texts_and_repeated_rows(spark):
+    pick = random.Random(9)
+    long = [" ".join(f"w{pick.randrange(n)}" for _ in range(150_000)) + "\nx\nx" for n in (60, 3000)] + ["7" * 1_000_000, "a\n" * 200_000]
+    documents = [(k, t) for k, t in enumerate(long)] + [(9, long[0])] * 2 + [(None, "a b c")] * 2
+    df = spark.createDataFrame([(d, t, "clash", 1) for d, t in documents], DOCS)
+    out = judge(df, DecisionList(((Condition("marked", True, 1.0),),), ("rude",))).collect()
+    got = sorted((r.doc_id is None, r.doc_id or 0, *(r[c] for c in BASE), r.base_failed) for r in out)
+    assert got == sorted((d is None, d or 0, *base_by_hand(t)) for d, t in documents)
+
+
+def test_stems_are_as_long_as_their_texts_allow(spark):
+    clean = [(k, f"path pathway word{k} wort wortlaut nice", False) for k in range(40)]
+    toxic = [(100 + k, f"pathetic {'worthless' if k % 2 else 'worthlessness'} thing{k}", True) for k in range(8)]
+    toxic += [(200 + k, f"abcd{e} here{k}", True) for k, e in enumerate(["efgh", "xy", "efgi", "uvw", "efgh", "zz"])]
+    rows = spark.createDataFrame(clean + toxic + [toxic[0]] * 5, "doc_id long, text string, toxic boolean")
+    assert marked_stems(rows) == ("abcd", "pathetic ", "worthless")
+
+
 def test_rules_are_ordered_and_printed(spark):
     rules = DecisionList(((Condition("symbols", True, 30.0), Condition("length", False, 400.0)), (Condition("marked", True, 1.0),)), ("rude",))
     good = " ".join(f"w{k}" for k in range(60))
