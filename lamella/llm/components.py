@@ -7,19 +7,21 @@ from pyspark.sql import functions as F
 
 from lamella.llm.rows import hold, release
 
-HEAVY = 1000  # links from which a node may count as heavy
-HEAVY_NODES = 10_000  # there are no more than these
+FEW = 1_000_000  # links that one task can hold, all of one node's
+HEAVY_NODES = 10_000  # nodes that may count as heavy
 
 
 def _lowest(links: DataFrame, n: int) -> DataFrame:
     """Each of ``n`` links with the smallest of its first node and that node's neighbours.
 
-    A node of very many links would be one key of the join. Nodes with more than ``HEAVY``
-    links and more than one in ``HEAVY_NODES`` of all go to every task instead.
+    A node of very many links would be one key of the join. Where there are more than ``FEW``
+    links, the nodes of more than one in ``HEAVY_NODES`` of them go to every task instead.
     """
     degrees = links.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("degree"))
-    is_heavy = F.col("degree") > max(HEAVY, n // HEAVY_NODES)
     lowest = F.least("a", "low")
+    if n <= FEW:
+        return links.join(degrees.select("a", lowest.alias("low")), "a")
+    is_heavy = F.col("degree") > n // HEAVY_NODES
     heavy = F.broadcast(degrees.where(is_heavy).select("a", lowest.alias("low")))
     marked = links.join(heavy, "a", "left")
     light = marked.where("low is null").drop("low").join(degrees.where(~is_heavy).select("a", lowest.alias("low")), "a")

@@ -107,7 +107,10 @@ def test_very_long_texts(spark):
     assert got == by_hand(documents)
 
 
-def test_a_star_of_very_many_links(spark):
+@pytest.mark.parametrize("few", [1_000_000, 1000])
+def test_a_star_of_very_many_links(spark, monkeypatch, few):
+    monkeypatch.setattr("lamella.llm.components.FEW", few)
+    monkeypatch.setattr("lamella.llm.components.HEAVY_NODES", 20)
     star = spark.range(2, 6002).selectExpr("1L as a", "id as b")
     chains = spark.range(10_000, 10_500).selectExpr("id as a", "id + 500 as b")
     got = components(star.union(chains))
