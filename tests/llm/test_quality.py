@@ -53,8 +53,8 @@ def test_very_long_texts_and_repeated_rows(spark):
 
 def test_stems_are_as_long_as_their_texts_allow(spark):
     clean = [(k, f"path pathway word{k} wort wortlaut nice", False) for k in range(40)]
-    toxic = [(100 + k, f"pathetic {'worthless' if k % 2 else 'worthlessness'} thing{k}", True) for k in range(8)]
-    toxic += [(200 + k, f"abcd{e} here{k}", True) for k, e in enumerate(["efgh", "xy", "efgi", "uvw", "efgh", "zz"])]
+    toxic = [(100 + k, f"pathetic {'worthless' if k % 2 else 'worthlessness'} to{k}", True) for k in range(8)]
+    toxic += [(200 + k, f"abcd{e} at{k}", True) for k, e in enumerate(["efgh", "xy", "efgi", "uvw", "efgh", "zz"])]
     rows = spark.createDataFrame(clean + toxic + [toxic[0]] * 5, "doc_id long, text string, toxic boolean")
     assert marked_stems(rows) == ("abcd", "pathetic ", "worthless")
 
