@@ -17,7 +17,6 @@ import functools
 import json
 import math
 import re
-import struct
 import zlib
 from bisect import bisect_left, insort
 from dataclasses import dataclass
@@ -30,8 +29,8 @@ from pyspark.sql import functions as F
 
 from lamella.llm.rows import hold
 
-STRETCHES_KEPT = 400_000
 LONG_RUN = 4096  # characters of white space in one run that are left to the library
+SAMPLED = 64  # of so many characters the first one is looked at before all are
 
 
 @dataclass(frozen=True)
@@ -53,10 +52,10 @@ PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 
 def byte_pair_encoder(path: str):
-    """Function from text to ids, for a byte-level vocabulary file of the ``tokenizers`` library.
+    """Function from text to an array of ids, for a byte-level vocabulary file of the ``tokenizers`` library.
 
     Ids of such a vocabulary rise with the order of merges, so it can be run as ranks, which
-    is faster on short stretches; the tests hold the ids against the library's own.
+    is faster; the tests hold the ids against the library's own.
     """
     import tiktoken
 
@@ -64,29 +63,32 @@ def byte_pair_encoder(path: str):
         content = json.load(file)
     others = [b for b in range(256) if b not in PRINTED]
     byte = {chr(b): b for b in PRINTED} | {chr(256 + k): b for k, b in enumerate(others)}
-    special = {t["content"] for t in content["added_tokens"]}
+    special = {t["content"]: t["id"] for t in content["added_tokens"]}
     ranks = {bytes(byte[c] for c in token): id_ for token, id_ in content["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    encoding = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    if not special:  # the array's way looks for these at every place if there are none
+        return lambda text: np.array(encoding.encode_ordinary(text), "<u4")
+    return functools.partial(encoding.encode_to_numpy, disallowed_special=())
 
 
 class Encoder:
-    """Token ids of texts, with the ids of stretches already met.
+    """Token ids of texts.
 
     A text that holds one of the file's added tokens literally is left to ``tokenizers``,
-    which gives these their own ids. A blank or line end after another character always begins a new token, so the ids of a
-    text are those of its stretches up to such places, one after the other. The ranks' engine
-    overflows its stack on runs of about a million white-space characters, so stretches with
-    long runs are encoded by ``tokenizers``.
+    which gives these their own ids. The ranks' engine overflows its stack on runs of about a
+    million white-space characters, so a text with long runs is cut: a blank or line end after
+    another character always begins a new token, so the ids of a text are those of its
+    stretches up to such places, one after the other. Stretches with long runs are encoded by
+    ``tokenizers``. All other texts are run as ranks as they are, each in one call.
     """
 
     def __init__(self, path: str):
         self.path = path
         self.encode = byte_pair_encoder(path)
         self.long_run = re.compile(rf"\s{{{LONG_RUN}}}")
+        self.sampled_run = re.compile(rf"\s{{{LONG_RUN // SAMPLED}}}")
         with open(path, encoding="utf-8") as file:
             self.added = [t["content"] for t in json.load(file)["added_tokens"]]
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}  # the last full table; what is met again moves over
 
     @functools.cached_property
     def library(self):
@@ -94,30 +96,26 @@ class Encoder:
 
         return Tokenizer.from_file(self.path)
 
-    def encode_long(self, stretch: str) -> list[int]:
-        """Ids of a stretch of ``LONG_RUN`` characters or more."""
-        if self.long_run.search(stretch):
-            return self.library.encode(stretch, add_special_tokens=False).ids
-        return self.encode(stretch)
+    def has_long_run(self, text: str) -> bool:
+        """Whether ``LONG_RUN`` white-space characters stand together; every so many characters are looked at first."""
+        return len(text) >= LONG_RUN and bool(self.sampled_run.search(text[::SAMPLED]) and self.long_run.search(text))
 
-    def ids_with_added(self, text: str) -> bytes:
-        return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def _ids(self, text: str) -> bytes:
+        if any(token in text for token in self.added):
+            found = self.library.encode(text, add_special_tokens=False).ids
+        elif not self.has_long_run(text):
+            found = self.encode(text)
+        else:
+            return b"".join(map(self._stretch_ids, stretches(text)))
+        return np.asarray(found, "<u4").tobytes()
+
+    def _stretch_ids(self, stretch: str) -> bytes:
+        found = self.library.encode(stretch, add_special_tokens=False).ids if self.has_long_run(stretch) else self.encode(stretch)
+        return np.asarray(found, "<u4").tobytes()
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if any(token in text for token in self.added for text in texts):
-            return [self.ids_with_added(t) if any(token in t for token in self.added) else self.ids([t])[0] for t in texts]
-        if len(self.known) > STRETCHES_KEPT:
-            self.before, self.known = self.known, {}
-        known, before = self.known, self.before
-        cut = [stretches(text) for text in texts]
-        met = {s for row in cut for s in row if s not in known}
-        known.update((s, before[s]) for s in met if s in before)
-        new = [s for s in met if s not in known]
-        for stretch in new:
-            found = self.encode(stretch) if len(stretch) < LONG_RUN else self.encode_long(stretch)
-            known[stretch] = struct.pack(f"<{len(found)}I", *found)
-        return [b"".join(map(known.__getitem__, row)) for row in cut]
+        return [self._ids(text) for text in texts]
 
 
 def stretches(text: str) -> list[str]:

@@ -57,6 +57,26 @@ def test_added_tokens_have_their_own_ids():
     assert 50256 in ids[0] and 50256 not in ids[4]
 
 
+def test_texts_are_encoded_in_one_call_each():
+    texts = [t for t, in duckdb.sql("select text from '/root/testdata/sf0.01/documents.parquet' where text is not null limit 300").fetchall()]
+    texts += ["a b " * 5000, "x" * 70 + " " * 4000 + "\n" * 95 + "y", "word" + " " * 4095 + "b" * 9000]
+    encoder, calls = Encoder(PATH), []
+    plain = encoder.encode
+    encoder.encode = lambda text: calls.append(text) or plain(text)
+    ids = encoder.ids(texts)
+    assert calls == texts
+    whole = Tokenizer.from_file(PATH)
+    assert [np.frombuffer(x, "<u4").tolist() for x in ids] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize("before", [0, 1, 63, 64, 65, 4095])
+def test_runs_of_the_long_length_are_seen_wherever_they_begin(before):
+    encoder = Encoder(PATH)
+    for n, seen in ((4095, False), (4096, True), (4160, True)):
+        for run in (" " * n, (" \n\t" * n)[:n]):
+            assert encoder.has_long_run("x" * before + run + "y") == seen
+
+
 def check(rows, documents, capacity=1024):
     whole = Tokenizer.from_file(PATH)
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
