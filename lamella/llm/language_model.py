@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from lamella.llm.rows import WORDS_KEPT, LocalWords, hold, release, spaced_words
 
 TOGETHER = 2_000_000  # tokens that a task adds up at a time
+ROWS = 1 << 16  # of a batch that a task hands to Spark
 END = np.uint64(0x2545F4914F6CDD1D)  # of the end token, and of the place before the first word
 PRIMES = [0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5]  # of XXH64
 
@@ -95,14 +96,25 @@ def _counts(texts: DataFrame, least: int) -> DataFrame:
     Both come from one scan, added up in tasks first.
     """
 
-    def added(words: LocalWords, held: list[np.ndarray]) -> pa.RecordBatch:
-        pairs, n = np.unique(np.concatenate(held), return_counts=True)
-        second = pairs & 0xFFFFFFFF
-        totals = np.bincount(second, weights=n).astype(np.int64)
-        seen, hashes = np.flatnonzero(totals), words.hashes()
-        first = pa.concat_arrays([pa.array(hashes[pairs >> 32].view(np.int64)), pa.nulls(len(seen), pa.int64())])
-        both = np.concatenate([hashes[second], hashes[seen]]).view(np.int64)
-        return pa.RecordBatch.from_arrays([first, pa.array(both), pa.array(np.concatenate([n, totals[seen]]))], ["first", "second", "n"])
+    def added(words: LocalWords, held: list[np.ndarray]):
+        """Batches of at most ``ROWS`` rows; ``held`` is emptied."""
+        pairs = np.concatenate(held)
+        held.clear()
+        pairs.sort()
+        ends = np.append(np.flatnonzero(pairs[1:] != pairs[:-1]), len(pairs) - 1)
+        totals = np.zeros(len(words), np.int64)
+        for at in range(0, len(pairs), ROWS):
+            totals += np.bincount(pairs[at : at + ROWS] & 0xFFFFFFFF, minlength=len(words))
+        pairs, n = pairs[ends], np.diff(ends, prepend=-1)
+        hashes, seen = words.hashes(), np.flatnonzero(totals)
+        for at in range(0, len(pairs), ROWS):
+            part = pairs[at : at + ROWS]
+            columns = hashes[part >> 32].view(np.int64), hashes[part & 0xFFFFFFFF].view(np.int64), n[at : at + ROWS]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names)
+        for at in range(0, len(seen), ROWS):
+            part = seen[at : at + ROWS]
+            columns = [pa.nulls(len(part), pa.int64()), pa.array(hashes[part].view(np.int64)), pa.array(totals[part])]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     def run(batches):
         words, held, size = LocalWords(int(END)), [], 0
@@ -111,12 +123,13 @@ def _counts(texts: DataFrame, least: int) -> DataFrame:
                 held.append(_Texts(batch.column(0).slice(at, 256).to_pylist(), words).pairs)
                 size += len(held[-1])
                 if size > TOGETHER or len(words) > WORDS_KEPT:
-                    yield added(words, held)
-                    held, size = [], 0
+                    yield from added(words, held)
+                    size = 0
                     words = words if len(words) <= WORDS_KEPT else LocalWords(int(END))
         if held:
-            yield added(words, held)
+            yield from added(words, held)
 
+    names = ["first", "second", "n"]
     each = texts.select("text").mapInArrow(run, "first long, second long, n long")
     return each.groupBy("first", "second").agg(F.sum("n").alias("n")).where(F.col("first").isNull() | (F.col("n") >= least))
 

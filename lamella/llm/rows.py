@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -55,7 +56,7 @@ class LocalWords(dict):
 
     def __init__(self, end: int):
         super().__init__({self.END: 0})
-        self._hashes = [end]
+        self._hashes = array("Q", [end])
 
     def __missing__(self, word: bytes) -> int:
         number = self[word] = len(self._hashes)
@@ -66,7 +67,7 @@ class LocalWords(dict):
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
     def hashes(self, since: int = 0) -> np.ndarray:
-        return np.array(self._hashes[since:], np.uint64)
+        return np.array(self._hashes[since:], np.uint64)  # a copy, as the array grows
 
 
 def mixed(values: np.ndarray) -> np.ndarray:

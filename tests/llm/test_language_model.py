@@ -9,9 +9,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from lamella.llm.language_model import Backoff, _pair, held_out, score_documents, train
+from lamella.llm.language_model import Backoff, _counts, _pair, held_out, score_documents, train
 
 DOCS = "doc_id long, text string, score string"
 
@@ -74,6 +75,31 @@ def test_scores(spark, how):
         assert math.isclose(sum(probability(state, w) for w in vocabulary), 1, rel_tol=1e-9)
 
 
+def test_counts_leave_a_task_in_small_batches():
+    pick = random.Random(11)
+    texts = [" ".join(f"w{pick.randrange(90_000)}" for _ in range(1000)) for _ in range(200)]
+
+    class Task:
+        """Runs the function of a task over the texts and looks no further."""
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            raise StopIteration([*run([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])])])
+
+    with pytest.raises(StopIteration) as got:
+        _counts(Task(), 1)
+    batches = got.value.value
+    assert max(b.num_rows for b in batches) <= 1 << 16 < sum(b.num_rows for b in batches)
+    rows = pa.Table.from_batches(batches).to_pylist()
+    tokens = [tokens_of(t) for t in texts]
+    pairs, words = Counter(p for t in tokens for p in zip([None, *t], t)), Counter(w for t in tokens for w in t)
+    assert Counter(r["n"] for r in rows if r["first"] is not None) == Counter(pairs.values())
+    assert Counter(r["n"] for r in rows if r["first"] is None) == Counter(words.values())
+    assert len({(r["first"], r["second"]) for r in rows}) == len(rows) == len(pairs) + len(words)
+
+
 def test_fewer_pairs_raise_the_least_count(spark):
     df = spark.createDataFrame([(d, t, "") for d, t in corpus(3)], DOCS)
     automaton, _ = train(df, Backoff(pairs=20))
